@@ -52,3 +52,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bytes of text that a Python step takes at a time.
+SLICE_BYTES = 4 << 20
+
+
+def with_python_columns(df: DataFrame, load: Callable[[], Callable], column: str, fields: str) -> DataFrame:
+    """Add columns computed in Python from one string column, a bounded slice of rows at a time.
+
+    load() runs once per task and returns a function from a list of texts (None for null)
+    to a list of Arrow arrays, one for each of `fields` (a DDL string). Other columns
+    pass through; one that has the name of a new column gives way to it.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from verispan.session import ship
+
+    ship(df.sparkSession)
+    new = StructType.fromDDL(fields)
+    names = {f.name.lower() for f in new}
+    kept = [c for c in df.columns if c.lower() not in names]
+    source = df.select(F.col(f"`{column}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    schema = StructType([*source.schema.fields[1:], *new.fields])
+
+    def run(batches):
+        work = load()
+        for b in batches:
+            size = b.column(0).get_total_buffer_size() // max(1, b.num_rows) + 1
+            step = max(1, min(b.num_rows, SLICE_BYTES // size))
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                out = work(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=schema.names)
+
+    return source.mapInArrow(run, schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verispan.llm import quality, simhash
+from verispan.llm import bpe, quality, simhash, tokencount
 from verispan.llm.common import documents
 
 
@@ -18,9 +19,27 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return tokencount.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    return bpe.decode(ids.select("doc_id", "ids")).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLE: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
