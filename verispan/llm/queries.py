@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import bpe, quality, simhash, tokencount
+from verispan.llm import bpe, quality, simhash, tokencount, warc
 from verispan.llm.common import documents
 
 
@@ -25,6 +25,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> Dat
     return tokencount.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    full = F.col("record_type") == "response"
+    return warc.read(index).select(
+        "page_id",
+        F.when(full, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))
     return bpe.decode(ids.select("doc_id", "ids")).select(
@@ -39,7 +51,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_warc": op7_warc,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
 ORACLE: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
+
+ORACLE["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM m
+"""
