@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import bpe, quality, simhash, tokencount, warc
+from verispan.llm import bpe, fingerprint, quality, simhash, tokencount, warc
 from verispan.llm.common import documents
 
 
@@ -25,6 +25,32 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> Dat
     return tokencount.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fingerprint.fingerprint(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    turn = fingerprint.in_turn(own)
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    head = F.expr("substring(next_text, 1, cast(floor(char_length(text) / 2) as int))")
+    turn = turn.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        "text",
+        F.concat(F.substring("text", F.lit(1), n - half), head).alias("edited"),
+        F.col("mark").alias("fingerprint"),
+        "next_mark",
+    )
+    both = fingerprint.fingerprint(turn.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fingerprint")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprint.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprint.likeness(F.col("fingerprint"), F.col("next_mark")).alias("near_next"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     full = F.col("record_type") == "response"
@@ -51,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
