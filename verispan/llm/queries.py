@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import bpe, fingerprint, quality, simhash, tokencount, warc
+from verispan.llm import bpe, fingerprint, packing, quality, simhash, tokencount, warc
 from verispan.llm.common import documents
 
 
@@ -63,6 +63,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))
     return bpe.decode(ids.select("doc_id", "ids")).select(
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
