@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import bpe, fingerprint, packing, quality, simhash, tokencount, warc
+from verispan.llm import bpe, fingerprint, linededup, packing, quality, simhash, tokencount, warc
 from verispan.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -80,6 +84,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
@@ -98,3 +103,4 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM m
 """
+ORACLE["op3_line_dedup"] = linededup.ORACLE
