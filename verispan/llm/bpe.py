@@ -24,7 +24,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ LONG = 2048
 LEAF = 1024
 WINDOW = 64
 #: Runs kept with their ids in a worker.
-KEPT_RUNS = 1_000_000
+KEPT_RUNS = 400_000
 #: New runs that go to the library as one text.
 _GROUP = 64
 
@@ -63,15 +63,22 @@ class WordBpe:
         self.tok = Tokenizer.from_file(file)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.raw = Tokenizer.from_file(file)  # for text that is normalized already
-        self.raw.no_truncation()
-        self.raw.no_padding()
-        self.raw.normalizer = None
+        self.file = file
         self.kept, self.long, self.leaf, self.window = kept, long, leaf, window
         self.seen: dict[str, bytes] = {}
         special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+
+    @cached_property
+    def raw(self):  # noqa: ANN201
+        """The tokenizer without its normalizer, for text that is normalized already."""
+        from tokenizers import Tokenizer
+
+        raw = Tokenizer.from_file(self.file)
+        raw.no_truncation()
+        raw.no_padding()
+        raw.normalizer = None
+        return raw
 
     def _runs(self, text: str) -> list[str]:
         if _SEPARATORS.search(text):
@@ -213,21 +220,27 @@ def encode(docs: DataFrame, file: str | None = None, text: str = "text", ids: st
     return with_python_columns(docs, load, text, f"`{ids}` binary")
 
 
-def decode_ids(enc: WordBpe, ids: bytes) -> str:
+@lru_cache(maxsize=4)
+def names(file: str) -> list[str | None]:
+    """The vocabulary by id."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(file)
+    return [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
+
+
+def decode_ids(names: list[str | None], ids: bytes) -> str:
     """The text of some ids, special ones included: the vocabulary has no decoder, so names joined by spaces."""
-    names = enc.names
     found = [names[i] for i in memoryview(ids).cast("I")]
     return " ".join(x for x in found if x is not None) if None in found else " ".join(found)
 
 
 def decode(df: DataFrame, file: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the text that its ids decode to; null ids count as none."""
-    from pyspark.sql import functions as F
-
     file = file or path()
 
     def load():
-        enc = encoder(file)
-        return lambda hexes: [pa.array([decode_ids(enc, bytes.fromhex(x or "")) for x in hexes], pa.string())]
+        known = names(file)
+        return lambda found: [pa.array([decode_ids(known, x or b"") for x in found], pa.string())]
 
-    return with_python_columns(df.withColumn("__ids", F.hex(f"`{ids}`")), load, "__ids", f"`{decoded}` string").drop("__ids")
+    return with_python_columns(df, load, ids, f"`{decoded}` string", "binary")

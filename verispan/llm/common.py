@@ -58,8 +58,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLICE_BYTES = 4 << 20
 
 
-def with_python_columns(df: DataFrame, load: Callable[[], Callable], column: str, fields: str) -> DataFrame:
-    """Add columns computed in Python from one string column, a bounded slice of rows at a time.
+def slices(batch, column: int):
+    """(start, number) of runs of rows that hold about SLICE_BYTES of the column, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, n = 0, batch.num_rows
+    while i < n:
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, "right"))
+        j = max(j, i + 1)
+        yield i, j - i
+        i = j
+
+
+def with_python_columns(df: DataFrame, load: Callable[[], Callable], column: str, fields: str, kind: str = "string") -> DataFrame:
+    """Add columns computed in Python from one string (or binary) column, a bounded slice of rows at a time.
 
     load() runs once per task and returns a function from a list of texts (None for null)
     to a list of Arrow arrays, one for each of `fields` (a DDL string). Other columns
@@ -74,15 +88,13 @@ def with_python_columns(df: DataFrame, load: Callable[[], Callable], column: str
     new = StructType.fromDDL(fields)
     names = {f.name.lower() for f in new}
     kept = [c for c in df.columns if c.lower() not in names]
-    source = df.select(F.col(f"`{column}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    source = df.select(F.col(f"`{column}`").cast(kind).alias("__text"), *[F.col(f"`{c}`") for c in kept])
     schema = StructType([*source.schema.fields[1:], *new.fields])
 
     def run(batches):
         work = load()
         for b in batches:
-            size = b.column(0).get_total_buffer_size() // max(1, b.num_rows) + 1
-            step = max(1, min(b.num_rows, SLICE_BYTES // size))
-            for i in range(0, b.num_rows, step):
+            for i, step in slices(b, 0):
                 part = b.slice(i, step)
                 out = work(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=schema.names)

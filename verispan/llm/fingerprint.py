@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispan.llm.common import SLICE_BYTES
+from verispan.llm.common import slices
 from verispan.session import ship
 
 SLOTS = 64
@@ -234,9 +234,7 @@ def in_turn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mark: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its follower
         for b in batches:
-            size = b.get_total_buffer_size() // max(1, b.num_rows) + 1
-            step = max(1, min(b.num_rows, SLICE_BYTES // size))
-            for i in range(0, b.num_rows, step):
+            for i, step in slices(b, 3):
                 out: list[tuple] = []
                 for at, copy, doc, t, mark in zip(*(c.to_pylist() for c in b.slice(i, step).columns), strict=True):
                     if held is not None and held[0] == at:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispan.llm import bpe
-from verispan.llm.common import SLICE_BYTES, written
+from verispan.llm.common import slices, written
 from verispan.session import ship
 
 CAPACITY = 4096
@@ -47,9 +47,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(file)
         for b in batches:
-            size = b.column(1).get_total_buffer_size() // max(1, b.num_rows) + 1
-            step = max(1, min(b.num_rows, SLICE_BYTES // size))
-            for i in range(0, b.num_rows, step):
+            for i, step in slices(b, 1):
                 part = b.slice(i, step)
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(enc.encode_all(part.column(1).to_pylist())):
