@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import bpe, fingerprint, linededup, packing, quality, simhash, tokencount, warc
+from verispan.llm import bpe, fingerprint, linededup, packing, pii, quality, simhash, tokencount, warc
 from verispan.llm.common import documents
 
 
@@ -81,6 +81,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    of = lambda kind: F.regexp_count("base_spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
