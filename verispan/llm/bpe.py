@@ -39,6 +39,7 @@ LEAF = 1024
 WINDOW = 64
 #: Runs kept with their ids in a worker.
 KEPT_RUNS = 400_000
+_MARKS = ".,;:!?"
 #: New runs that go to the library as one text.
 _GROUP = 64
 
@@ -99,7 +100,7 @@ class WordBpe:
             self.seen.clear()
             new = set().union(*lists)
         long = [x for x in new if len(x) > self.long]
-        self._learn(sorted(new.difference(long)))
+        self._learn_all(new.difference(long))
         for x in long:
             self.seen[x] = self._long_run(x)
         out = [b"".join(map(self.seen.__getitem__, runs)) for runs in lists]
@@ -107,6 +108,28 @@ class WordBpe:
             del self.seen[x]
         return out
 
+    def _learn_all(self, new: set[str]) -> None:
+        """Ids of new runs. A word with a capital or with marks after it is a known word and known marks.
+
+        Letters, and marks other than apostrophes, are pre-tokens of their own, and below
+        U+0250 lower case goes letter by letter, so the parts' ids in order are the run's.
+        """
+        parts: dict[str, tuple[str, str]] = {}
+        need: set[str] = set()
+        for x in new:
+            word = x.rstrip(_MARKS)
+            if word and word.isalpha() and max(word) < "\u0250" and "\u0130" not in word and (low := word.lower()) != x:
+                marks = x[len(word) :]
+                parts[x] = (low, marks)
+                need.add(low)
+                if marks:
+                    need.add(marks)
+            else:
+                need.add(x)
+        self._learn(sorted(need.difference(self.seen)))
+        for x, (low, marks) in parts.items():
+            self.seen[x] = self.seen[low] + self.seen[marks] if marks else self.seen[low]
+
     def _learn(self, runs: list[str]) -> None:
         """Encode runs in groups joined by spaces, which have no token, and part the ids by their offsets."""
         groups = [runs[i : i + _GROUP] for i in range(0, len(runs), _GROUP)]

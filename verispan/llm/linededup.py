@@ -98,12 +98,15 @@ def _ranked(sets: DataFrame, rarity: Column) -> DataFrame:
 
 def _pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
     """Pairs of a line and an earlier one with a common key whose lengths and positions allow the overlap."""
-    x, y = probe.alias("x"), index.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
+    # Length and position travel in one long.
+    tight = lambda df: df.select("k", "a", "b", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
+    x, y = tight(probe).alias("x"), tight(index).alias("y")
+    n, m = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
+    p, q = F.col("x.np").bitwiseAND(0x7FFFFFFF), F.col("y.np").bitwiseAND(0x7FFFFFFF)
     earlier = (F.col("y.a") < F.col("x.a")) | ((F.col("y.a") == F.col("x.a")) & (F.col("y.b") < F.col("x.b")))
     lengths = (n * NUM <= m * DEN) & (m * NUM <= n * DEN)
     # Common tokens are 1 and those after the key in either at most; 9 * overlap >= 4 * (n + m) is needed.
-    places = (1 + F.least(n - F.col("x.p"), m - F.col("y.p"))) * (NUM + DEN) >= (n + m) * NUM
+    places = (1 + F.least(n - p, m - q)) * (NUM + DEN) >= (n + m) * NUM
     return (
         x.join(y, (F.col("x.k") == F.col("y.k")) & earlier & lengths & places)
         .select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb"))
