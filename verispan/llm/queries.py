@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import bpe, fingerprint, linededup, packing, pii, quality, simhash, tokencount, warc
+from verispan.llm import bpe, fingerprint, linededup, packing, pii, quality, simhash, tokenbin, tokencount, warc
 from verispan.llm.common import documents
 
 
@@ -23,6 +23,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tokenbin.write(documents(spark, sf_dir).select("doc_id", "text"))
+    return tokenbin.read(index).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32")
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
