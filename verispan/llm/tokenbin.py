@@ -42,6 +42,8 @@ from verispan.session import ship
 
 #: Ids in a block, and blocks coded in step.
 BLOCK, LANES = 8192, 768
+#: What ends a file is cut into this many blocks if they hold LEAST ids each: a step costs about the same for few lanes.
+SPLIT, LEAST = 256, 1024
 BITS = 16
 END_ID = 1
 MAGIC = b"VTID\x01"
@@ -273,7 +275,8 @@ class Writer:
     def _flush(self, last: bool) -> None:
         stream = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
         end = len(stream) if last else len(stream) - len(stream) % self.block
-        blocks = [stream[i : min(i + self.block, end)] for i in range(0, end, self.block)]
+        block = min(self.block, max(LEAST, -(-end // SPLIT))) if last else self.block
+        blocks = [stream[i : min(i + block, end)] for i in range(0, end, block)]
         for i in range(0, len(blocks), self.lanes):
             part = blocks[i : i + self.lanes]
             for ids, code in zip(part, encode_blocks(part, self.bits), strict=True):
