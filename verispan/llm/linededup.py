@@ -16,7 +16,10 @@ without words stay. All of it is DataFrame operations.
    alone, the key is the token with each later one of a prefix longer by one (two similar
    lines share their first two common tokens there). Only lines not yet decided look for
    earlier ones.
-5. Candidates are verified by their exact token sets.
+5. A sketch of 128 bits of each set goes along with its index rows. Bits that only one of
+   two sets has are tokens that the other lacks, which bounds the overlap; most candidates
+   end there, inside the join.
+6. Candidates are verified by their exact token sets.
 
 Defined results. Null texts count as empty and stay empty strings in the cleaned text.
 Rows of one doc_id stand in the order of a hash of their texts; rows equal in both are one
@@ -96,10 +99,22 @@ def _ranked(sets: DataFrame, rarity: Column) -> DataFrame:
     return sets.withColumn("ids", F.sort_array(one(F.split("toks", " "))))
 
 
+def _prefixes(ranked: DataFrame) -> DataFrame:
+    """(a, b, n, u, ids, s0, s1): of each set the prefix's length u, its tokens and one more, and the set's sketch."""
+
+    def half(k: int) -> Column:
+        mine = F.filter("ids", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)) == k)
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+    rows = ranked.withColumn("u", F.col("n") - _least(F.col("n")) + 1)
+    return rows.select("a", "b", "n", "u", F.slice("ids", F.lit(1), F.col("u") + 1).alias("ids"), half(0).alias("s0"), half(1).alias("s1"))
+
+
 def _pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
     """Pairs of a line and an earlier one with a common key whose lengths and positions allow the overlap."""
     # Length and position travel in one long.
-    tight = lambda df: df.select("k", "a", "b", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
+    tight = lambda df: df.select("k", "a", "b", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"), "s0", "s1")
     x, y = tight(probe).alias("x"), tight(index).alias("y")
     n, m = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
     p, q = F.col("x.np").bitwiseAND(0x7FFFFFFF), F.col("y.np").bitwiseAND(0x7FFFFFFF)
@@ -107,8 +122,10 @@ def _pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
     lengths = (n * NUM <= m * DEN) & (m * NUM <= n * DEN)
     # Common tokens are 1 and those after the key in either at most; 9 * overlap >= 4 * (n + m) is needed.
     places = (1 + F.least(n - p, m - q)) * (NUM + DEN) >= (n + m) * NUM
+    only = lambda v, w: sum(F.bit_count(F.col(f"{v}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{w}.{s}")))) for s in ("s0", "s1"))
+    sketched = F.least(n - only("x", "y"), m - only("y", "x")) * (NUM + DEN) >= (n + m) * NUM
     return (
-        x.join(y, (F.col("x.k") == F.col("y.k")) & earlier & lengths & places)
+        x.join(y, (F.col("x.k") == F.col("y.k")) & earlier & lengths & places & sketched)
         .select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb"))
         .distinct()
     )
@@ -136,13 +153,13 @@ def _index(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The prefix index by one token, and by two where the first is frequent."""
     limit = F.lit(64.0) * F.log2(F.lit(float(FREQUENT)))
     frequent = lambda k: F.shiftright(k, _HASH_BITS) > limit
-    rows = ranked.withColumn("u", F.col("n") - _least(F.col("n")) + 1)
-    rows = rows.select("*", F.posexplode(F.slice("ids", F.lit(1), F.col("u"))).alias("p0", "k"))
-    one = rows.filter(~frequent(F.col("k"))).select("a", "b", "n", (F.col("p0") + 1).alias("p"), "k", "todo")
+    rows = ranked.select("*", F.posexplode(F.slice("ids", F.lit(1), F.col("u"))).alias("p0", "k"))
+    held = ["a", "b", "n", "s0", "s1", "todo", (F.col("p0") + 1).alias("p"), "k"]
+    one = rows.filter(~frequent(F.col("k"))).select(*held)
     later = F.slice("ids", F.col("p0") + 2, F.greatest(F.col("u") - F.col("p0"), F.lit(0)))
     two = (
         rows.filter(frequent(F.col("k")))
-        .select("a", "b", "n", (F.col("p0") + 1).alias("p"), "k", "todo", F.explode(later).alias("k2"))
+        .select(*held, F.explode(later).alias("k2"))
         .withColumn("k", F.xxhash64("k", "k2"))
         .drop("k2")
     )
@@ -154,17 +171,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     sets = written(token_sets(docs), "token-sets")
     # A set of under 4 tokens is similar to an equal one only; those are one row by now.
     able = sets.filter("n >= 4")
-    ranked = _ranked(able, _rarity(sets)).select("a", "b", "n", "ids")
+    ranked = written(_prefixes(_ranked(able, _rarity(sets))), "prefixes")
 
-    few = ranked.select("a", "b", "n", F.posexplode(F.slice("ids", F.lit(1), F.least(F.lit(PIVOT_TOKENS), F.col("n") - _least(F.col("n")) + 1))).alias("p", "k"))
-    few = few.select("a", "b", "n", (F.col("p") + 1).alias("p"), "k")
-    pivots = few.groupBy("k").agg(F.min(F.struct("a", "b", "n", "p")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    pivots = pivots.select("k", "m.a", "m.b", "m.n", "m.p")
+    few = ranked.select("*", F.posexplode(F.slice("ids", F.lit(1), F.least(F.lit(PIVOT_TOKENS), F.col("u")))).alias("p0", "k"))
+    few = few.select("a", "b", "n", (F.col("p0") + 1).alias("p"), "k", "s0", "s1")
+    pivots = few.groupBy("k").agg(F.min(F.struct("a", "b", "n", "p", "s0", "s1")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    pivots = pivots.select("k", "m.*")
     decided = written(_verified(_pairs(few, pivots), sets), "decided")
 
     marked = ranked.join(_small(decided.withColumn("done", F.lit(1))), ["a", "b"], "left").withColumn("todo", F.col("done").isNull())
     one, two = _index(marked)
-    cols = ["a", "b", "n", "p", "k"]
+    cols = ["a", "b", "n", "p", "k", "s0", "s1"]
     found = _pairs(one.filter("todo").select(*cols), one.select(*cols)).union(_pairs(two.filter("todo").select(*cols), two.select(*cols)))
     gone = decided.union(_verified(found, sets)).distinct()
     kept = sets.select("a", "b").join(_small(written(gone, "gone")), ["a", "b"], "left_anti")
