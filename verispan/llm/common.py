@@ -49,8 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     release(spark)
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_path"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by written() that nothing refers to any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_path"])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispan.llm.common import let, words, written
+from verispan.llm.common import discard, let, words, written
 
 #: The similarity as a fraction, so that bounds are exact in whole numbers.
 NUM, DEN = 4, 5
@@ -112,9 +112,11 @@ def _prefixes(ranked: DataFrame) -> DataFrame:
 
 
 def _pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs of a line and an earlier one with a common key whose lengths and positions allow the overlap."""
-    # Length and position travel in one long.
-    tight = lambda df: df.select("k", "a", "b", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"), "s0", "s1")
+    """Pairs of a line still to do and an earlier one with a common key whose lengths and positions allow the overlap."""
+    # Length, whether to do, and position travel in one long. Whether to do is asked in a condition on both sides,
+    # so that one shuffle serves both where the index is its own probe.
+    flag = lambda df: F.shiftleft(F.col("todo").cast("long"), 31) if "todo" in df.columns else F.lit(1 << 31)
+    tight = lambda df: df.select("k", "a", "b", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(flag(df)).bitwiseOR(F.col("p").cast("long")).alias("np"), "s0", "s1")
     x, y = tight(probe).alias("x"), tight(index).alias("y")
     n, m = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
     p, q = F.col("x.np").bitwiseAND(0x7FFFFFFF), F.col("y.np").bitwiseAND(0x7FFFFFFF)
@@ -123,7 +125,8 @@ def _pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
     # Common tokens are 1 and those after the key in either at most; 9 * overlap >= 4 * (n + m) is needed.
     places = (1 + F.least(n - p, m - q)) * (NUM + DEN) >= (n + m) * NUM
     only = lambda v, w: sum(F.bit_count(F.col(f"{v}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{w}.{s}")))) for s in ("s0", "s1"))
-    sketched = F.least(n - only("x", "y"), m - only("y", "x")) * (NUM + DEN) >= (n + m) * NUM
+    todo = F.shiftright("x.np", 31).bitwiseAND(1)
+    sketched = F.least(n - only("x", "y"), m - only("y", "x")) * (NUM + DEN) * todo >= (n + m) * NUM
     return (
         x.join(y, (F.col("x.k") == F.col("y.k")) & earlier & lengths & places & sketched)
         .select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb"))
@@ -181,10 +184,10 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
     marked = ranked.join(_small(decided.withColumn("done", F.lit(1))), ["a", "b"], "left").withColumn("todo", F.col("done").isNull())
     one, two = _index(marked)
-    cols = ["a", "b", "n", "p", "k", "s0", "s1"]
-    found = _pairs(one.filter("todo").select(*cols), one.select(*cols)).union(_pairs(two.filter("todo").select(*cols), two.select(*cols)))
-    gone = decided.union(_verified(found, sets)).distinct()
-    kept = sets.select("a", "b").join(_small(written(gone, "gone")), ["a", "b"], "left_anti")
+    found = _pairs(one, one).union(_pairs(two, two))
+    gone = written(decided.union(_verified(found, sets)).distinct(), "gone")
+    discard(ranked)
+    kept = sets.select("a", "b").join(_small(gone), ["a", "b"], "left_anti")
     return kept.groupBy("a", F.shiftright("b", 32).cast("int").alias("h")).agg(
         F.collect_list(F.col("b").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keep")
     )
