@@ -21,7 +21,7 @@ from verispan.operators.ingest import embedding_text
 K1, B = 1.5, 0.75
 RRF_K = 60
 CANDIDATES, TOP = 30, 8
-#: Questions up to this many are broadcast; more are answered in several calls.
+#: Questions up to this many are broadcast.
 MOST_QUESTIONS = 10_000
 
 
@@ -68,10 +68,9 @@ def identifiers_match(idents: Column, wanted: Column) -> Column:
 
 
 def small(questions: DataFrame) -> DataFrame:
+    """Questions for a join: broadcast behind a check of their number; more of them meet the chunks in blocks, by a shuffle."""
     n = questions.limit(MOST_QUESTIONS + 1).count()
-    if n > MOST_QUESTIONS:
-        raise ValueError(f"answer at most {MOST_QUESTIONS} questions in one call")
-    return F.broadcast(questions)
+    return F.broadcast(questions) if n <= MOST_QUESTIONS else questions
 
 
 def best(scored: DataFrame, k: int, by: str = "score", places: int | None = 5, per: str = "qid", ident: str = "chunk_id") -> DataFrame:
@@ -139,15 +138,15 @@ def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     totals = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
     tf = (
         toks.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
-        .join(F.broadcast(small(q).select("term").distinct()), "term", "left_semi")
+        .join(small(q.select("term").distinct()), "term", "left_semi")
         .groupBy("chunk_id", "len", "term")
         .agg(F.count(F.lit(1)).cast("double").alias("tf"))
     )
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = df.join(F.broadcast(totals)).select("term", "avg_len", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # idf has a row per question term, as the broadcast question terms do.
-    return tf.join(F.broadcast(q.join(idf, "term")), "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
+    # Terms with their idf are as many as the questions have.
+    return tf.join(small(q).join(idf, "term"), "term").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def keyword_search(

@@ -68,11 +68,10 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vector_questions(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """The first vectors as questions, of one group or the other in turn."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(
-        F.col("vec_id").alias("qid"), F.array(F.when(F.col("vec_id") % 2 == 0, "commercial").otherwise("quality")).alias("groups"), "embedding"
-    )
+def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 as a question, of one group or the other in turn."""
+    asker = F.when(F.floor(F.col("vec_id") / 100) % 2 == 0, "commercial").otherwise("quality")
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.array(asker).alias("groups"), "embedding")
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
