@@ -18,8 +18,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v at length one; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(F.transform(doubles(v), lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    return bind(norm, lambda n: F.when(n == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / n)))
+
+    def scaled(x: Column) -> Column:
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
+        return bind(norm, lambda n: F.when(n == 0, x).otherwise(F.transform(x, lambda y: y / n)))
+
+    return bind(doubles(v), scaled)
 
 
 def features(text: Column) -> Column:
@@ -36,12 +40,14 @@ def features(text: Column) -> Column:
     return bind(content_tokens(text), of)
 
 
-def bucket(feature: Column, dim: int) -> Column:
-    return (F.conv(F.substring(F.md5(feature), 1, 8), 16, 10).cast("long") % dim).cast("int")
+def bucket(digest: Column, dim: int) -> Column:
+    """The bucket by a feature's MD5."""
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
-def sign(feature: Column) -> Column:
-    return F.when(F.conv(F.substring(F.md5(feature), 9, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+def sign(digest: Column) -> Column:
+    """The sign by a feature's MD5: its ninth digit odd or even."""
+    return F.when(F.substring(digest, 9, 1).isin(*"13579bdf"), 1.0).otherwise(-1.0)
 
 
 def hash_embedding(text: Column, dim: int = 512) -> Column:
@@ -53,16 +59,11 @@ def hash_embedding(text: Column, dim: int = 512) -> Column:
             F.transform(fs, lambda f, i: F.struct(f.alias("f"), i.alias("i"), (F.get(fs, i + 1) == f).alias("more"))),
             lambda x: ~F.coalesce(x["more"], F.lit(False)),
         )
-        return bind(
-            runs,
-            lambda rs: F.transform(
-                rs,
-                lambda x, k: F.struct(
-                    bucket(x["f"], dim).alias("b"),
-                    (sign(x["f"]) * (1 + F.ln((x["i"] - F.coalesce(F.get(rs, k - 1)["i"], F.lit(-1))).cast("double")))).alias("w"),
-                ),
-            ),
-        )
+        def one(x: Column, before: Column) -> Column:
+            weight = 1 + F.ln((x["i"] - before).cast("double"))
+            return bind(F.md5(x["f"]), lambda m: F.struct(bucket(m, dim).alias("b"), (sign(m) * weight).alias("w")))
+
+        return bind(runs, lambda rs: F.transform(rs, lambda x, k: one(x, F.coalesce(F.get(rs, k - 1)["i"], F.lit(-1)))))
 
     def placed(ws: Column) -> Column:
         # Sorted by bucket, each bucket's weights are a run of the array, summed by its slice.

@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, dealt out anew where the scan has fewer parts than there are cores: what is done to a text costs far more than moving it."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def groups_of(number):  # noqa: ANN001, ANN201
     """Every fifth source is for one group only, another fifth for the other, the rest for both."""
     return (
@@ -29,7 +36,7 @@ def document_chunks(spark: SparkSession, sf_dir: str, embed: bool = False) -> Da
     Currency is told by a digest's largest id, pre-aggregated, so that a much copied text
     is not one task's.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.md5("text").alias("_d"))
+    docs = texts(spark, sf_dir).select("doc_id", "text", "lang", "source", F.md5("text").alias("_d"))
     newest = docs.groupBy("_d").agg(F.max("doc_id").alias("_top"))
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     cols = [

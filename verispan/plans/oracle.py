@@ -96,7 +96,7 @@ ORACLE: dict[str, str] = {
     "graph_hubs": f"WITH {_EDGES} SELECT entity FROM hub",
     "graph_stats": f"WITH {_EDGES} SELECT count(DISTINCT entity) AS entities, count(DISTINCT chunk_id) AS chunks, count(*) AS mentions, (SELECT count(*) FROM hub) AS hubs FROM e",
     "graph_walk_1hop": f"WITH {_HOP1} {_WALKED} h1",
-    "graph_walk_2hop": f"WITH {_HOP2} {_WALKED} w",
+    "graph_walk_2hop": f"WITH {_HOP2} SELECT * FROM ({_WALKED} w) WHERE rank <= 30",
     "column_acl_view": "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
     "trace_chain_build": f"{_CHAIN} SELECT * FROM ch",
     "trace_chain_verify": "SELECT user_id AS bundle_id, count(*) AS n, count(*) < 3 AS ok, CASE WHEN count(*) > 3 THEN 'chain broken' WHEN count(*) = 3 THEN 'a receipt does not match its event' END AS reason FROM events GROUP BY user_id",

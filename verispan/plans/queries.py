@@ -85,17 +85,17 @@ def _freq(df: DataFrame, toks) -> DataFrame:
 
 @query
 def tokens_freq(spark, d):
-    return _freq(B.table(spark, d, "documents"), T.tokens(F.col("text")))
+    return _freq(B.texts(spark, d), T.tokens(F.col("text")))
 
 
 @query
 def content_tokens_freq(spark, d):
-    return _freq(B.table(spark, d, "documents"), T.content_tokens(F.col("text")))
+    return _freq(B.texts(spark, d), T.content_tokens(F.col("text")))
 
 
 @query
 def stems(spark, d):
-    raw = _freq(B.table(spark, d, "documents"), T.raw_content_tokens(F.col("text")))
+    raw = _freq(B.texts(spark, d), T.raw_content_tokens(F.col("text")))
     return raw.select("term", T.stem(F.col("term")).alias("stem"))
 
 
@@ -209,7 +209,7 @@ def markdown_rows(spark, d):
 
 @query
 def upload_chunks(spark, d):
-    files = B.table(spark, d, "documents").select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text")
+    files = B.texts(spark, d).select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text")
     return I.chunk_uploads(files).select("chunk_id", "document_id", "section", F.length("text").alias("chars"), "is_table_row")
 
 
@@ -242,7 +242,7 @@ def graph_walk_1hop(spark, d):
 
 @query
 def graph_walk_2hop(spark, d):
-    return _hits(_walk(spark, d, 2))
+    return _hits(_walk(spark, d, 2).filter(F.col("rank") <= S.CANDIDATES))
 
 
 # --- guarded SQL ---
