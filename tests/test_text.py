@@ -1,0 +1,59 @@
+import re
+
+from pyspark.sql import functions as F
+
+from verispan.functions import text as T
+from verispan.operators.ingest import windows
+
+
+def one(spark, column, value):
+    return spark.createDataFrame([(value,)], "t string").select(column(F.col("t"))).first()[0]
+
+
+def test_tokens_keep_compounds_and_their_parts(spark):
+    assert one(spark, T.tokens, "The SOP-008.v2 é5") == ["the", "sop-008.v2", "sop", "008", "v2", "5"]
+
+
+def test_stems(spark):
+    words = "regulations calibration settings storing batteries stored boxes cats bed storage 100s".split()
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select(T.stem(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["regul", "calibr", "sett", "stor", "battery", "stor", "box", "cat", "bed", "storag", "100"]
+
+
+def test_numbers_against_python(spark):
+    text = "é5 and 7é, 12 kg, -3.50, 1,200 and 4.00; see SOP-12 v3 and 99-7"
+
+    def brute(t):
+        t = re.sub(r"\b(?:SOP|DEV|CC|DR|AF|MEMO|SPEC|P|B)-[0-9A-Z]+(?:-[0-9A-Za-z]+)*\b", " ", t)
+        found = [x.replace(",", "") for x in re.findall(r"(?<![\w.-])-?\d+(?:,\d{3})*(?:\.\d+)?(?![\w-])", t)]
+        return [x.rstrip("0").rstrip(".") if "." in x else x for x in found]
+
+    assert one(spark, T.numbers, text) == brute(text)
+
+
+def test_sentences_claims_and_citations(spark):
+    assert one(spark, T.sentences, "One is here. Two is!  Three\n- a list") == ["One is here.", "Two is!", "Three", "- a list"]
+    got = one(spark, T.claims, "A is 4. B is 5 [1][2]. C.")
+    assert [(c["text"], c["cites"]) for c in got] == [("A is 4.", [1, 2]), ("B is 5", [1, 2]), ("C.", [])]
+    assert one(spark, lambda c: T.cited_numbers(c, F.lit(3)), "x [2] y [9] z [1][2]") == [2, 1]
+
+
+def test_facts(spark):
+    has = lambda fact, text: one(spark, lambda c: T.has_fact(F.lit(fact), c), text)
+    assert has("4", "it is 4.0 hours") and not has("4", "it is 14 hours")
+    assert has("4 hours", "after 4  hours") and not has("4 hours", "after 14 hours")
+    assert has("Cold Chain", "the cold chain")
+
+
+def test_markdown_rows(spark):
+    body = "intro\n| A | B | A |\n|---|---|---|\n| 1 | 2 | 3 |\n| 4 |"
+    assert [tuple(r) for r in one(spark, T.markdown_rows, body)] == [(1, "A: 3; B: 2"), (2, "A: 4")]
+    assert one(spark, T.markdown_rows, "| A |\n|---|") == []
+
+
+def test_windows_pack_and_cut(spark):
+    text = "aa\n\nbb\n\n" + "w. " * 30
+    got = one(spark, lambda c: windows(c, 20), text)
+    assert got[0] == "aa\n\nbb" or got[0].startswith("aa\n\nbb")
+    assert "".join("".join(got).split()) == "".join(text.split())
+    assert one(spark, windows, "") == []

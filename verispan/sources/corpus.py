@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from verispan.functions.text import strip
 
@@ -138,7 +137,7 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.coalesce(utf8, F.decode("content", F.lit("ISO-8859-1"))).alias("text"))
 
 
-GOLDEN = T.StructType.fromDDL(
+GOLDEN = (
     "id string, type string, text string, ask_as_group string, expected_verdict string, expected_answer string, expected_value double, "
     "key_facts array<string>, secret_facts array<string>, supporting_refs array<struct<kind:string,ref:string,table:string>>, hypothesis string"
 )
