@@ -9,8 +9,9 @@ without words stay. All of it is DataFrame operations.
 2. Tokens are ordered by rarity. Rarity is a count by hash bucket, a table of BUCKETS
    numbers whatever the corpus; any order is exact, a good one is fast.
 3. Pivots: in the buckets of each line's few rarest tokens, every line is compared with the
-   bucket's earliest line only. That is linear, and decides nearly all members of large
-   groups of near copies.
+   bucket's earliest line only, then lines not yet decided with its SECOND earliest ones.
+   Both are linear, and decide nearly all members of large groups of near copies; they skip
+   no comparison of the index below for lines that they don't decide.
 4. Prefix index: of n tokens the rarest n - ceil(0.8 n) + 1. Lines that share a token there
    meet, if lengths and positions allow the overlap. For tokens too frequent to meet by
    alone, the key is the token with each later one of a prefix longer by one (two similar
@@ -30,7 +31,7 @@ an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispan.llm.common import discard, let, words, written
@@ -41,6 +42,8 @@ NUM, DEN = 4, 5
 BUCKETS = 1 << 15
 #: Rarest tokens whose buckets have pivots.
 PIVOT_TOKENS = 4
+#: Earliest lines of a bucket that undecided lines are compared with in the second round.
+SECOND = 16
 #: A token seen more often than this meets others only together with a second token.
 FREQUENT = 1000
 #: Up to this many (id, place) rows are broadcast; more are joined by a shuffle.
@@ -176,14 +179,20 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     able = sets.filter("n >= 4")
     ranked = written(_prefixes(_ranked(able, _rarity(sets))), "prefixes")
 
-    few = ranked.select("*", F.posexplode(F.slice("ids", F.lit(1), F.least(F.lit(PIVOT_TOKENS), F.col("u")))).alias("p0", "k"))
-    few = few.select("a", "b", "n", (F.col("p0") + 1).alias("p"), "k", "s0", "s1")
-    pivots = few.groupBy("k").agg(F.min(F.struct("a", "b", "n", "p", "s0", "s1")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    pivots = pivots.select("k", "m.*")
-    decided = written(_verified(_pairs(few, pivots), sets), "decided")
+    def few(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", F.posexplode(F.slice("ids", F.lit(1), F.least(F.lit(PIVOT_TOKENS), F.col("u")))).alias("p0", "k"))
+        return rows.select("a", "b", "n", (F.col("p0") + 1).alias("p"), "k", "s0", "s1")
 
-    marked = ranked.join(_small(decided.withColumn("done", F.lit(1))), ["a", "b"], "left").withColumn("todo", F.col("done").isNull())
-    one, two = _index(marked)
+    def marked(decided: DataFrame) -> DataFrame:
+        return ranked.join(_small(decided.withColumn("done", F.lit(1))), ["a", "b"], "left").withColumn("todo", F.col("done").isNull())
+
+    pivots = few(ranked).groupBy("k").agg(F.min(F.struct("a", "b", "n", "p", "s0", "s1")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    decided = written(_verified(_pairs(few(ranked), pivots.select("k", "m.*")), sets), "decided")
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("a", "b"))
+    earliest = few(ranked).withColumn("r", nth).filter(F.col("r") <= SECOND).drop("r")
+    decided = written(decided.union(_verified(_pairs(few(marked(decided).filter("todo")), earliest), sets)), "decided-twice")
+
+    one, two = _index(marked(decided))
     found = _pairs(one, one).union(_pairs(two, two))
     gone = written(decided.union(_verified(found, sets)).distinct(), "gone")
     discard(ranked)
