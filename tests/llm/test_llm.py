@@ -318,3 +318,38 @@ def test_pipeline_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def jaccard(a, b):
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_dedup_links_all_pairs_of_jaccard_08(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    common = " ".join(word() for _ in range(30))
+    rows, want = [], set()
+    for i in range(60):
+        ws = [word() for _ in range(r.choice([12, 60, 200, 500]))]
+        copies = [list(ws)]
+        for _ in range(3):
+            at, k = r.randrange(len(ws)), max(1, int(len(ws) * r.choice([0.01, 0.03, 0.06, 0.09, 0.12])))
+            copies.append(ws[:at] + [word() for _ in range(min(k, len(ws) - at))] + ws[at + k :])
+        rows += [(4 * i + j, common + " " + " ".join(c)) for j, c in enumerate(copies)]
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    near = [(a, b, j) for a, s in rows for b, t in rows if a < b and a // 4 == b // 4 for j in [jaccard(s, t)]]
+    for a, b, j in near:
+        if j >= 0.8:
+            up[find(b)] = find(a)
+    assert sum(0.8 <= j < 0.9 for _, _, j in near) > 20 and sum(0.7 < j < 0.8 for _, _, j in near) > 20
+    for i in up:
+        want.add(min(x for x in up if find(x) == find(i)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want

@@ -41,25 +41,27 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The SimHash of one text as an unsigned 64-bit integer."""
-    if not text:
-        return 0
-    ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 values of a text's word shingles in their order; none without words."""
+    ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     h64 = xxhash.xxh64_intdigest
     if len(ws) <= width:
-        hashes = np.array([h64(b" ".join(ws), SEED)], np.uint64)
-    else:
-        whole, at, starts = b" ".join(ws), 0, []
-        for w in ws:
-            starts.append(at)
-            at += len(w) + 1
+        return np.array([h64(b" ".join(ws), SEED)], np.uint64)
+    whole, at, starts = b" ".join(ws), 0, []
+    for w in ws:
         starts.append(at)
-        hashes = np.fromiter(
-            (h64(whole[starts[i] : starts[i + width] - 1], SEED) for i in range(len(ws) - width + 1)), np.uint64
-        )
+        at += len(w) + 1
+    starts.append(at)
+    return np.fromiter((h64(whole[starts[i] : starts[i + width] - 1], SEED) for i in range(len(ws) - width + 1)), np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of one text as an unsigned 64-bit integer."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _STEP):
         part = hashes[i : i + _STEP].astype("<u8").view(np.uint8)
