@@ -353,3 +353,13 @@ def test_near_dedup_links_all_pairs_of_jaccard_08(spark):
         want.add(min(x for x in up if find(x) == find(i)))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    r = random.Random(22)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(7, a), (None, a), (None, b), (None, b + " more"), (None, c), (3, c), (4, d), (4, d), (4, d + " more"), (3, e), (9, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["text"][:20]) for x in corpus_pipeline.near_dedup(spark, docs.repartition(3), "").collect())
+    assert got == sorted([(False, 7, a[:20]), (True, 0, b[:20]), (False, 3, c[:20]), (False, 4, d[:20]), (False, 3, e[:20])])
