@@ -153,3 +153,29 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select("chunk_id").first()[0] == "a#h-1"
     e = spark.createDataFrame([("x", 1.0)], "event_type string, value double").withColumn("ts", F.lit("2024-01-01 05:00:00").cast("timestamp"))
     assert event_counts(e).first()["n"] == 1
+
+
+def test_whole_leak_sweep(spark):
+    from verispan.models import HashingEmbedder
+
+    rows = [
+        ("c1", "D1", "D1#a", "Alpha costs rose. SOP-1001 grew. Third one.", ["x"], False),
+        ("c2", "D1", "D1#b", "Open notes on SOP-1001 and alpha.", ["x", "y"], False),
+        ("c3", "D2", "D2#a", "Beta plan for SOP-2002. It is secret.", ["y"], False),
+        ("c4", "D2", "D2#a", "Beta row | 5", ["x", "y"], True),
+        ("c5", "D3", "D2#a", "Shared beta ref with SOP-1001.", ["x"], False),
+    ]
+    chunks = spark.createDataFrame([(*r, f"Title {r[1]}", "s", "current", "", "upload") for r in rows], "chunk_id string, document_id string, ref string, text string, groups array<string>, is_table_row boolean, title string, section string, status string, context string, doc_type string")
+    emb = HashingEmbedder(16)
+    chunks = chunks.withColumn("embedding", emb.embed(F.col("text")))
+    groups = chunks.select(F.explode("groups").alias("grp")).distinct()
+    q = E.sweep_questions(chunks, groups, emb)
+    n = {r["grp"]: r["count"] for r in q.groupBy("grp").count().collect()}
+    assert n == {"x": 3, "y": 5}
+    got = {r["path"]: (r["checks"], r["leaks"]) for r in E.sweep_hidden(chunks, groups, emb, G.mentions(chunks)).collect()}
+    assert set(got) == {"vector pre", "vector post", "keyword", "document", "by_ref", "graph"}
+    assert all(leaks == 0 and checks > 0 for checks, leaks in got.values())
+    # x sees c1, c2, c4, c5 and y sees c2, c3, c4, table rows too.
+    assert got["vector pre"] == got["vector post"] == (3 * 4 + 5 * 3, 0)
+    # y is refused c1 and c5: D1 gives c2, ref D2#a gives c3. x is refused c3: ref D2#a gives c5.
+    assert got["document"] == (1, 0) and got["by_ref"] == (2, 0)

@@ -185,6 +185,42 @@ def sweep(chunks: DataFrame, found: dict[str, DataFrame], questions: DataFrame)
     return out
 
 
+def sweep_hidden(chunks: DataFrame, groups: DataFrame, embedder, edges: DataFrame, asked: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """The whole sweep: (path, checks, leaks) over vector pre and post, keyword, document, by_ref and graph.
+
+    Texts come from the hidden chunks of `asked` (all chunks if None) and meet all chunks,
+    table rows included. Documents, refs and record ids of all hidden chunks are asked for too.
+    """
+    from verispan.functions.text import entities
+    from verispan.operators import graph as G
+    from verispan.operators import search as S
+
+    q = sweep_questions(chunks if asked is None else asked, groups, embedder, extra)
+    name = lambda g: F.concat(F.lit("sweep-"), g)
+    askers = groups.select(name(F.col("grp")).alias("qid"), F.array("grp").alias("groups")).distinct()
+    by_ref = documents = seeds = None
+    add = lambda out, more: more if out is None else out.unionByName(more)
+    for g in sorted(r["grp"] for r in groups.distinct().collect()):
+        qid = name(F.lit(g)).alias("qid")
+        hidden = chunks.filter(S.eligible() & ~S.visible("groups", [g]))
+        by_ref = add(by_ref, S.by_ref(chunks, hidden, [g]).select(qid, "chunk_id"))
+        documents = add(documents, S.document(chunks, hidden, [g]).select(qid, "chunk_id"))
+        seeds = add(seeds, hidden.select(qid, F.explode(entities(F.concat_ws(" ", "document_id", "text"))).alias("entity")))
+    if seeds is None:
+        seeds = askers.select("qid", F.lit(None).cast("string").alias("entity")).limit(0)
+        by_ref = documents = chunks.select(F.lit("").alias("qid"), "chunk_id").limit(0)
+    seeds = seeds.distinct().join(edges.select("entity").distinct(), "entity", "left_semi")
+    found = {
+        "vector pre": S.vector_search(chunks, q, table_rows=True).hits,
+        "vector post": S.vector_search(chunks, q, mode="post", table_rows=True).hits,
+        "keyword": S.keyword_search(chunks, q, table_rows=True),
+        "document": documents,
+        "by_ref": by_ref,
+        "graph": G.walk(edges, seeds, askers),
+    }
+    return sweep(chunks, found, q.select("qid", "groups").unionByName(askers))
+
+
 def foreign_key(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """One row: how many of the child's keys have no parent."""
     return child.select(F.col(key).alias("k")).filter("k IS NOT NULL").join(parent.select(F.col(parent_key).alias("k")), "k", "left_anti").agg(F.count(F.lit(1)).alias("violations"))

@@ -51,9 +51,12 @@ def by_ref(chunks: DataFrame, refs: Sequence[str] | DataFrame, principal: Sequen
     return found.filter(F.col("ref").isin(*refs)) if refs else found.limit(0)
 
 
-def document(chunks: DataFrame, document_id: str, principal: Sequence[str]) -> DataFrame:
-    """A document's visible chunks by id, superseded ones too."""
-    return chunks.filter((F.col("document_id") == document_id) & eligible() & visible("groups", principal)).orderBy("chunk_id")
+def document(chunks: DataFrame, document_id: str | DataFrame, principal: Sequence[str]) -> DataFrame:
+    """A document's visible chunks by id, superseded ones too; or those of a table of documents."""
+    found = chunks.filter(eligible() & visible("groups", principal))
+    if isinstance(document_id, DataFrame):
+        return found.join(document_id.select("document_id").distinct(), "document_id", "left_semi")
+    return found.filter(F.col("document_id") == document_id).orderBy("chunk_id")
 
 
 def all_visible(chunks: DataFrame, principal: Sequence[str]) -> DataFrame:

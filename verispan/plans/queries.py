@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verispan.functions import text as T
 from verispan.functions.vectors import features, hash_embedding
+from verispan.models import HashingEmbedder
 from verispan.operators import answer as A
 from verispan.operators import evaluate as E
 from verispan.operators import graph as G
@@ -388,7 +389,7 @@ def hypotheses(spark, d):
 
 @query
 def leak_sweep(spark, d):
-    """Benchmark texts asked by each group over every path."""
+    """Benchmark texts asked by each group over four search paths, without table rows; leak_sweep_hidden is the whole sweep."""
     chunks, q = _embedded(spark, d)
     both = F.explode(F.array(F.lit("commercial"), F.lit("quality")))
     q = q.withColumn("grp", both).select(F.concat_ws("-", F.col("qid").cast("string"), "grp").alias("qid"), "text", F.array("grp").alias("groups"), "embedding")
@@ -401,6 +402,14 @@ def leak_sweep(spark, d):
     return E.sweep(chunks, found, q)
 
 
+@query
+def leak_sweep_hidden(spark, d):
+    """The whole sweep over all documents; the texts asked are those of hidden documents with an id divisible by 100."""
+    chunks = B.document_chunks(spark, d, embed=True)
+    groups = chunks.select(F.explode("groups").alias("grp")).distinct()
+    return E.sweep_hidden(chunks, groups, HashingEmbedder(B.DIM), G.mentions(chunks), chunks.filter("doc_id % 100 = 0"))
+
+
 FOREIGN = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("labels", "doc_id", "documents", "doc_id"))
 
 

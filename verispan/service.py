@@ -100,7 +100,7 @@ def sources(chunks: DataFrame, refs: Sequence[str], groups: Sequence[str]) -> li
 def main(argv: Sequence[str] | None = None) -> int:
     """ask, eval, sweep and gate over a folder of documents; 1 for a rejected gate or a leak."""
     from verispan.operators import evaluate as E
-    from verispan.operators import search as S
+    from verispan.operators import graph as G
     from verispan.session import local_session
     from verispan.sources import corpus, sinks
 
@@ -121,9 +121,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     if a.command == "sweep":
         groups = engine.chunks.select(F.explode("groups").alias("grp")).distinct()
-        q = E.sweep_questions(engine.chunks, groups, engine.embedder)
-        found = {"vector": S.vector_search(engine.chunks, q).hits, "keyword": S.keyword_search(engine.chunks, q)}
-        rows = E.sweep(engine.chunks, found, q).collect()
+        rows = E.sweep_hidden(engine.chunks, groups, engine.embedder, G.mentions(engine.chunks, engine.names)).collect()
         print("\n".join(f"{r['path']}: {r['checks']} checks, {r['leaks']} leaks" for r in rows))
         return int(any(r["leaks"] for r in rows))
     from verispan.engine import evaluate
