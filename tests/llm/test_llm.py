@@ -363,3 +363,12 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["text"][:20]) for x in corpus_pipeline.near_dedup(spark, docs.repartition(3), "").collect())
     assert got == sorted([(False, 7, a[:20]), (True, 0, b[:20]), (False, 3, c[:20]), (False, 4, d[:20]), (False, 3, e[:20])])
+
+
+def test_long_spans_are_found_at_every_offset():
+    mails = ["margarethe_unterkeit [@] wordationmentschungkeit [.] example", "anteration" * 5 + "[@]" + "schungkeitmento" * 4 + "[.]example"]
+    for mail in mails:
+        texts = [("the word and " * 20)[k:] + mail + " and then the rest of it all " * 6 for k in range(48)]
+        for text, found in zip(texts, pii.model_spans(pii.trained(), texts), strict=True):
+            at = text.index(mail)
+            assert found == [("email", at, at + len(mail))]

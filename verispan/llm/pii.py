@@ -6,7 +6,9 @@ numbers without a plus sign or addresses with bracketed dots. It is trained here
 alone, from labelled spans that a seeded generator writes (no corpus text enters), so its
 weights are the same on every machine and run. It tags overlapping windows of the whole
 text; a span counts when it lies inside a window, the window where it is most central has
-the say, and spans must pass their kind's own check and touch no base span.
+the say, and spans must pass their kind's own check and touch no base span. Where a span
+touches an inner edge and no window holds it whole, a wider window around it is tagged, of
+double the width each time, until the span ends inside or the text does.
 
 A window without a digit or an @ is not tagged: no kind's check passes without one, so
 nothing is lost by that.
@@ -14,7 +16,7 @@ nothing is lost by that.
 Defined results. A null text counts as an empty one. Offsets are code points, ends are
 exclusive. Rows are independent; null or repeated ids, repeated rows and extra columns
 pass through, and a column named as a new one gives way. An empty table gives an empty
-result. Memory: one slice of rows and one batch of windows.
+result. Memory: one slice of rows and one batch of windows, or the widest window.
 """
 
 from __future__ import annotations
@@ -359,12 +361,55 @@ def plausible(kind: str, s: str) -> bool:
     return 8 <= len(d) <= 15 and len(groups) >= 3 and s[-1].isdigit() and not re.search(r"[A-Za-z]", s) and not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", s)
 
 
+Found = tuple[int, str, int, int]
+
+
+def _wider(model: Tagger, codes: dict[int, np.ndarray], cut: dict[int, list[tuple[int, int]]], found: list[list[Found]]) -> None:
+    """Add to found the spans of which windows saw a part only. cut: (start, end) of such parts by text."""
+    todo = {i: [x for x in parts if not any(a <= x[0] and x[1] <= b for _, _, a, b in found[i])] for i, parts in cut.items()}
+    width = WINDOW
+    while any(todo.values()):
+        width *= 2
+        where: list[tuple[int, int, int, int]] = []
+        for i, parts in todo.items():
+            merged: list[list[int]] = []
+            for a, b in sorted(parts):
+                # Parts that overlap, as those of one long span do, are one.
+                if merged and a < merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            where += [(i, a, b, max(0, (a + b - max(width, 2 * (b - a))) // 2)) for a, b in merged]
+        todo = {i: [] for i in todo}
+        at = 0
+        while at < len(where):
+            # A batch has about as many characters as one of plain windows.
+            some = where[at : at + max(1, _BATCH * WINDOW // width)]
+            at += len(some)
+            sizes = [max(width, 2 * (b - a)) for _, a, b, _ in some]
+            rows = np.full((len(some), max(sizes)), N_CHARS - 1, np.int16)
+            for row, size, (i, _, _, lo) in zip(rows, sizes, some, strict=True):
+                part = codes[i][lo : lo + size]
+                row[: len(part)] = part
+            for tags, size, (i, a, b, lo) in zip(model.decode(rows), sizes, some, strict=True):
+                n, end = len(codes[i]), min(lo + size, len(codes[i]))
+                for k, x, y in _spans_of(tags):
+                    x, y = lo + x, lo + y
+                    if y <= a or b <= x or y > n:
+                        continue
+                    if (x == lo and lo > 0) or (y >= end and end < n):
+                        todo[i].append((min(a, x), max(b, min(y, end))))
+                    else:
+                        found[i].append((-min(x - lo if lo else size, end - y if end < n else size), KINDS[k], x, y))
+
+
 def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
     """What the model finds in whole texts; windows of all texts are tagged in batches."""
     where: list[tuple[int, int]] = []
     rows: list[np.ndarray] = []
-    found: list[list[tuple[int, str, int, int]]] = [[] for _ in texts]
+    found: list[list[Found]] = [[] for _ in texts]
     codes_of: dict[int, np.ndarray] = {}
+    cut: dict[int, list[tuple[int, int]]] = {}
 
     def flush() -> None:
         if not rows:
@@ -372,8 +417,11 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
         for (i, at), tags in zip(where, model.decode(np.stack(rows)), strict=True):
             n = len(codes_of[i])
             for k, a, b in _spans_of(tags) if tags.any() else []:
+                if at + b > n:
+                    continue
                 # A span that touches an inner edge of its window may go on beyond it.
-                if (a == 0 and at > 0) or (b == WINDOW and at + WINDOW < n) or at + b > n:
+                if (a == 0 and at > 0) or (b == WINDOW and at + WINDOW < n):
+                    cut.setdefault(i, []).append((at + a, at + b))
                     continue
                 found[i].append((-min(a if at else WINDOW, WINDOW - b if at + WINDOW < n else WINDOW), KINDS[k], at + a, at + b))
         rows.clear()
@@ -398,6 +446,7 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
                 if len(rows) == _BATCH:
                     flush()
     flush()
+    _wider(model, codes_of, cut, found)
     out: list[list[Span]] = []
     for text, spans in zip(texts, found, strict=True):
         taken: list[Span] = []
