@@ -372,3 +372,13 @@ def test_long_spans_are_found_at_every_offset():
         for text, found in zip(texts, pii.model_spans(pii.trained(), texts), strict=True):
             at = text.index(mail)
             assert found == [("email", at, at + len(mail))]
+
+
+def test_line_dedup_tells_texts_of_one_id_with_equal_32_bit_hashes(spark):
+    for i in (5, None):
+        rows = [(i, "word70213"), (i, "word251767"), (-1 if i else None, "word70213")]
+        df = spark.createDataFrame(rows[:2] + ([rows[2]] if i else []), "doc_id long, text string")
+        assert df.filter("text != ''").select(F.hash("text")).distinct().count() == 1
+        got = sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup_lines(df).collect())
+        want = [(-1, "word70213"), (5, ""), (5, "word251767")] if i else [(0, "word251767"), (0, "word70213")]
+        assert got == want

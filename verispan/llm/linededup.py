@@ -23,7 +23,7 @@ without words stay. All of it is DataFrame operations.
 6. Candidates are verified by their exact token sets.
 
 Defined results. Null texts count as empty and stay empty strings in the cleaned text.
-Rows of one doc_id stand in the order of a hash of their texts; rows equal in both are one
+Rows of one doc_id stand in the order of a 64-bit hash of their texts; rows equal in both are one
 document and are treated alike. Null ids stand first. Columns other than id and text are
 carried by `dedup_lines` under their own names, whatever these are. An empty table gives
 an empty result.
@@ -60,13 +60,13 @@ def _least(n: Column) -> Column:
 def token_sets(docs: DataFrame) -> DataFrame:
     """(a, b, n, toks): each distinct token set with its earliest place.
 
-    a is the doc_id, b holds the text's hash above and the line number below, so that
-    (a, b) orders lines and names one.
+    a is the doc_id, b holds the text's 64-bit hash and the line number, so that (a, b)
+    orders lines and names one.
     """
     lines = docs.select("a", "h", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(
         F.col("line").rlike(r"[^\x20\x09-\x0D]")
     )
-    place = F.shiftleft(F.col("h").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+    place = F.struct("h", "i")
     sets = lines.select("a", place.alias("b"), F.array_join(F.sort_array(F.array_distinct(words(F.col("line")))), " ").alias("toks"))
     first = sets.groupBy(F.unhex(F.md5("toks")).alias("key")).agg(F.min(F.struct("a", "b", "toks")).alias("m"))
     return first.select("m.a", "m.b", "m.toks").withColumn("n", F.size(F.split("toks", " ")))
@@ -197,9 +197,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     gone = written(decided.union(_verified(found, sets)).distinct(), "gone")
     discard(ranked)
     kept = sets.select("a", "b").join(_small(gone), ["a", "b"], "left_anti")
-    return kept.groupBy("a", F.shiftright("b", 32).cast("int").alias("h")).agg(
-        F.collect_list(F.col("b").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keep")
-    )
+    return kept.groupBy("a", F.col("b.h").alias("h")).agg(F.collect_list("b.i").alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", counts: bool = False) -> DataFrame:
@@ -208,7 +206,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", cou
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("a"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest"),
-    ).withColumn("h", F.hash("text"))
+    ).withColumn("h", F.xxhash64("text"))
     kept = kept_lines(packed.select("a", "h", "text")).withColumnsRenamed({"a": "ka", "h": "kh"})
     joined = packed.join(kept, (F.col("a") == F.col("ka")) & (F.col("h") == F.col("kh")), "left")
     none = F.array().cast("array<int>")
