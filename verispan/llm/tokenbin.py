@@ -4,9 +4,9 @@ A file holds the ids of its documents as one stream, cut into blocks of BLOCK id
 block starts from an empty model and carries checksums of its bytes and of its ids, so any
 block can be read, verified or lost without the others.
 
-The model of a block predicts each id at three orders. Order 2 and order 1 are hashed
-tables of the id last seen after two or one given ids, each with a confidence; order 0 is
-a table of the ids seen at all. The adaptive probabilities of the orders' outcomes are mixed
+The model of a block predicts each id at orders 2 and 1, hashed tables of the id last seen
+after two or one given ids, each with a confidence. Order 0 is a table of the ids seen at
+all and has no adaptive frequencies: a place in it costs the same for every id. The adaptive probabilities of the orders' outcomes are mixed
 by weights that follow which order has been doing better, and the mix codes whether the
 id is the order-2 prediction, the order-1 prediction, one that order 0 holds (its place
 follows) or none (its bits follow). All of it is whole-number arithmetic and drives one
