@@ -6,7 +6,8 @@ ids are a join of byte strings. White space separates pre-tokens and has no toke
 this vocabulary, so the runs' ids in order are the text's ids.
 
 A long unsplit run is encoded by tree concatenation: leaves of bounded length are encoded
-together by the library's parallel batch call, neighbours are joined pairwise up a tree,
+together by the library's batch call (in one thread, unless TOKENIZERS_PARALLELISM is set:
+tasks already fill the cores), neighbours are joined pairwise up a tree,
 and at each join a window around the seam is encoded again and widened until it shares a
 whole token with either side. A sequence is the encoding of its text when each adjacent
 pair of its tokens is, and each pair of the joined sequence comes from one of the three
