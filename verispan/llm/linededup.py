@@ -4,29 +4,32 @@ A line's tokens are its distinct words. A line is removed when an earlier line,
 and line number, has a token set of Jaccard similarity 0.8 or more with its own; lines
 without words stay. All of it is DataFrame operations.
 
-1. Lines with the same token set collapse to their earliest place, pre-aggregated before
-   the shuffle, so a line that is everywhere is one row.
-2. Tokens are ordered by rarity. Rarity is a count by hash bucket, a table of BUCKETS
-   numbers whatever the corpus; any order is exact, a good one is fast.
-3. Pivots: in the buckets of each line's few rarest tokens, every line is compared with the
-   bucket's earliest line only, then lines not yet decided with its SECOND earliest ones.
-   Both are linear, and decide nearly all members of large groups of near copies; they skip
-   no comparison of the index below for lines that they don't decide.
+1. Tokens are named by 64-bit hashes. Lines with the same token set (a 128-bit hash of it)
+   collapse to their earliest place, pre-aggregated before the shuffle, so a line that is
+   everywhere is one row.
+2. Tokens are ordered by rarity. Rarity is the count of a token's bucket among BUCKETS, one
+   byte each, so what is sent to the executors has a fixed size; any order is exact, a good
+   one is fast.
+3. Pivots: in the buckets of PIVOTS least hashes of each line's rarer tokens, every line is
+   compared with the bucket's earliest line only, then lines not yet decided with its SECOND
+   earliest ones. Both are linear, and decide nearly all members of large groups of near
+   copies; they skip no comparison of the index below for lines that they don't decide.
 4. Prefix index: of n tokens the rarest n - ceil(0.8 n) + 1. Lines that share a token there
    meet, if lengths and positions allow the overlap. For tokens too frequent to meet by
    alone, the key is the token with each later one of a prefix longer by one (two similar
-   lines share their first two common tokens there). Only lines not yet decided look for
-   earlier ones.
-5. A sketch of 128 bits of each set goes along with its index rows. Bits that only one of
-   two sets has are tokens that the other lacks, which bounds the overlap; most candidates
-   end there, inside the join.
+   lines share their first two common tokens there). What is too frequent follows the
+   buckets' mean, so a larger vocabulary doesn't turn rare tokens into frequent ones. Only
+   lines not yet decided look for earlier ones.
+5. A parity sketch of 128 bits of each set goes along with its index rows: each token flips
+   a bit. Two sketches differ in no more bits than the sets do in tokens, and similar sets
+   differ in (n + m) / 9 at most; nearly all other candidates end there, inside the join.
 6. Candidates are verified by their exact token sets.
 
 Defined results. Null texts count as empty and stay empty strings in the cleaned text.
 Rows of one doc_id stand in the order of a 64-bit hash of their texts; rows equal in both are one
 document and are treated alike. Null ids stand first. Columns other than id and text are
 carried by `dedup_lines` under their own names, whatever these are. An empty table gives
-an empty result.
+an empty result. A document of any number of lines costs time in proportion to them.
 """
 
 from __future__ import annotations
@@ -34,22 +37,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verispan.llm.common import discard, let, words, written
+from verispan.llm.common import discard, let, written
 
 #: The similarity as a fraction, so that bounds are exact in whole numbers.
 NUM, DEN = 4, 5
-#: Buckets of the rarity table.
-BUCKETS = 1 << 15
-#: Rarest tokens whose buckets have pivots.
-PIVOT_TOKENS = 4
+#: Buckets of the rarity table, a byte each: 4 log2 of the count.
+BUCKETS = 1 << 20
+STEPS = 4
+#: Buckets whose bytes are gathered into one row at first.
+_CHUNK = 1 << 10
+#: Least hashes of a line whose buckets have pivots.
+PIVOTS = 3
 #: Earliest lines of a bucket that undecided lines are compared with in the second round.
 SECOND = 16
-#: A token seen more often than this meets others only together with a second token.
-FREQUENT = 1000
-#: Up to this many (id, place) rows are broadcast; more are joined by a shuffle.
+#: A token seen more often than this, and than this many times the buckets' mean, meets others only together with a second token.
+FREQUENT, TIMES = 1000, 8
+#: Up to this many ids are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
-_HASH_BITS = 51
+_HASH_BITS = 56
+_LOW = (1 << _HASH_BITS) - 1
+_SPACES = "\t\x0b\x0c\r"
 
 
 def _least(n: Column) -> Column:
@@ -57,84 +65,93 @@ def _least(n: Column) -> Column:
     return F.floor((n * NUM + (DEN - 1)) / DEN).cast("int")
 
 
+def _tokens(line: Column) -> Column:
+    """The distinct words of a line whose only white space is spaces, as sorted 64-bit hashes."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
+
+
 def token_sets(docs: DataFrame) -> DataFrame:
-    """(a, b, n, toks): each distinct token set with its earliest place.
+    """(sid, a, b, n, ids): each distinct token set with its earliest place, sid being any number of its own.
 
     a is the doc_id, b holds the text's 64-bit hash and the line number, so that (a, b)
     orders lines and names one.
     """
-    lines = docs.select("a", "h", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(
-        F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    )
-    place = F.struct("h", "i")
-    sets = lines.select("a", place.alias("b"), F.array_join(F.sort_array(F.array_distinct(words(F.col("line")))), " ").alias("toks"))
-    first = sets.groupBy(F.unhex(F.md5("toks")).alias("key")).agg(F.min(F.struct("a", "b", "toks")).alias("m"))
-    return first.select("m.a", "m.b", "m.toks").withColumn("n", F.size(F.split("toks", " ")))
-
-
-def _rarity(sets: DataFrame) -> Column:
-    """The rarity table as a constant array: 64 log2 of the count of each of BUCKETS hash buckets."""
-    seen = sets.select(F.explode(F.split("toks", " ")).alias("t")).groupBy(_bucket(F.xxhash64("t")).alias("k"))
-    counts = seen.agg(F.count(F.lit(1)).alias("c")).select("k", F.floor(F.log2("c") * 64).cast("int").alias("r"))
-    found = {x["k"]: x["r"] for x in counts.collect()}  # BUCKETS numbers at most
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(BUCKETS))), ",").cast("array<int>")
+    spaced = F.col("text")
+    for c in _SPACES:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    lines = docs.select("a", "h", F.posexplode(F.split(spaced, "\n")).alias("i", "line"))
+    sets = lines.select("a", F.struct("h", "i").alias("b"), _tokens(F.col("line")).alias("ids")).filter(F.size("ids") > 0)
+    key = [F.xxhash64("ids").alias("k1"), F.xxhash64(F.lit(7), F.col("ids"), F.size("ids")).alias("k2")]
+    first = sets.groupBy(*key).agg(F.min(F.struct("a", "b", "ids")).alias("m"))
+    return first.select(F.monotonically_increasing_id().alias("sid"), "m.a", "m.b", F.size("m.ids").alias("n"), "m.ids")
 
 
 def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _ranked(sets: DataFrame, rarity: Column) -> DataFrame:
-    """sets with `ids`: the tokens as longs, rarest first. Upper bits: 64 log2 of the count; lower: a hash."""
-    low = (1 << _HASH_BITS) - 1
+def _rarity(sets: DataFrame) -> tuple[bytes, int]:
+    """The rarity table, a byte for each of BUCKETS buckets, and the mean count of a bucket. One row comes to the driver."""
+    seen = sets.select(F.explode("ids").alias("t")).groupBy(_bucket(F.col("t")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    level = F.least(F.floor(F.log2("c") * STEPS), F.lit(127)).cast("int")
+    rows = seen.groupBy(F.floor(F.col("k") / _CHUNK).alias("hi")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("k") % _CHUNK).alias("lo"), level.alias("r")))).alias("m"), F.sum("c").alias("c")
+    )
+    dense = F.transform(F.sequence(F.lit(0), F.lit(_CHUNK - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.col("m")[i], F.lit(0)).cast("long")), 2, "0"))
+    rows = rows.select("hi", "c", F.array_join(dense, "").alias("s"))
+    got = rows.agg(F.sort_array(F.collect_list(F.struct("hi", "s"))).alias("all"), F.sum("c").alias("c")).first()
+    found = {x["hi"]: x["s"] for x in got["all"]}
+    table = "".join(found.get(k, "00" * _CHUNK) for k in range(BUCKETS // _CHUNK))
+    return bytes.fromhex(table), (got["c"] or 0) // BUCKETS
 
-    def one(toks: Column) -> Column:
-        return F.transform(
-            toks,
-            lambda t: let(
-                F.xxhash64(t),
-                lambda h: F.shiftleft(F.get(rarity, _bucket(h)).cast("long"), _HASH_BITS).bitwiseOR(
-                    h.bitwiseAND(F.lit(low))
-                ),
-            ),
-        )
 
-    return sets.withColumn("ids", F.sort_array(one(F.split("toks", " "))))
+def _prefixes(sets: DataFrame, rarity: bytes) -> DataFrame:
+    """(sid, a, n, u, ids, piv, s0, s1): of each set the prefix's length u, its tokens and one more, pivot keys and the sketch.
 
+    Here a token is a long: its rarity in the upper bits, 56 bits of its hash in the lower, so that rare ones come first.
+    """
+    table = F.lit(rarity)
 
-def _prefixes(ranked: DataFrame) -> DataFrame:
-    """(a, b, n, u, ids, s0, s1): of each set the prefix's length u, its tokens and one more, and the set's sketch."""
+    def ranked(h: Column) -> Column:
+        level = F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+        return F.call_function("shiftleft", level, F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
     def half(k: int) -> Column:
-        mine = F.filter("ids", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)) == k)
-        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+        mine = F.filter("all", lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(1)) == k)
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+
+    rows = sets.select("sid", "a", "n", F.sort_array(F.transform("ids", ranked)).alias("all"))
+    rows = rows.withColumn("u", F.col("n") - _least(F.col("n")) + 1)
+    rarer = F.slice("all", F.lit(1), F.greatest(F.col("u"), F.floor(F.col("n") * 3 / 5).cast("int")))
+    low = F.transform(rarer, lambda x: x.bitwiseAND(F.lit(_LOW)))
+    return rows.select(
+        "sid", "a", "n", "u", F.slice("all", F.lit(1), F.col("u") + 1).alias("ids"), F.slice(F.sort_array(low), 1, PIVOTS).alias("piv"), half(0).alias("s0"), half(1).alias("s1")
+    )
 
-    rows = ranked.withColumn("u", F.col("n") - _least(F.col("n")) + 1)
-    return rows.select("a", "b", "n", "u", F.slice("ids", F.lit(1), F.col("u") + 1).alias("ids"), half(0).alias("s0"), half(1).alias("s1"))
+
+def _similar_in_part(n: Column, m: Column) -> Column:
+    """Lengths and sketches of x and y allow them to be similar."""
+    lengths = (n * NUM <= m * DEN) & (m * NUM <= n * DEN)
+    apart = sum(F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("s0", "s1"))
+    return lengths & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
 def _pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs of a line still to do and an earlier one with a common key whose lengths and positions allow the overlap."""
-    # Length, whether to do, and position travel in one long. Whether to do is asked in a condition on both sides,
+    """(x, y): sids of a line still to do and another, not a later document's, with a common key where lengths, positions and sketches allow similarity."""
+    # Length, whether to do, and position travel in one long. Whether to do is asked in the condition on both sides,
     # so that one shuffle serves both where the index is its own probe.
     flag = lambda df: F.shiftleft(F.col("todo").cast("long"), 31) if "todo" in df.columns else F.lit(1 << 31)
-    tight = lambda df: df.select("k", "a", "b", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(flag(df)).bitwiseOR(F.col("p").cast("long")).alias("np"), "s0", "s1")
+    tight = lambda df: df.select("k", "sid", "a", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(flag(df)).bitwiseOR(F.col("p").cast("long")).alias("np"), "s0", "s1")
     x, y = tight(probe).alias("x"), tight(index).alias("y")
     n, m = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
     p, q = F.col("x.np").bitwiseAND(0x7FFFFFFF), F.col("y.np").bitwiseAND(0x7FFFFFFF)
-    earlier = (F.col("y.a") < F.col("x.a")) | ((F.col("y.a") == F.col("x.a")) & (F.col("y.b") < F.col("x.b")))
-    lengths = (n * NUM <= m * DEN) & (m * NUM <= n * DEN)
+    todo = (F.col("y.a") <= F.col("x.a")) & (F.col("y.sid") != F.col("x.sid")) & (F.shiftright("x.np", 31).bitwiseAND(1) * F.col("y.np") != 0)
     # Common tokens are 1 and those after the key in either at most; 9 * overlap >= 4 * (n + m) is needed.
     places = (1 + F.least(n - p, m - q)) * (NUM + DEN) >= (n + m) * NUM
-    only = lambda v, w: sum(F.bit_count(F.col(f"{v}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{w}.{s}")))) for s in ("s0", "s1"))
-    todo = F.shiftright("x.np", 31).bitwiseAND(1)
-    sketched = F.least(n - only("x", "y"), m - only("y", "x")) * (NUM + DEN) * todo >= (n + m) * NUM
-    return (
-        x.join(y, (F.col("x.k") == F.col("y.k")) & earlier & lengths & places & sketched)
-        .select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb"))
-        .distinct()
-    )
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & todo & places & _similar_in_part(n, m))
+    return met.select(F.col("x.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -143,32 +160,31 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the lines for which some pair holds."""
+    """(sid) of the lines x that have an earlier similar y, as a written table."""
     pairs = written(pairs, "line-pairs")
-    ends = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")).distinct()
-    held = sets.join(_small(written(ends, "line-ends")), ["a", "b"], "left_semi").select("a", "b", F.split("toks", " ").alias("t"))
-    x, y = held.alias("x"), held.alias("y")
-    both = pairs.join(x, (F.col("xa") == F.col("x.a")) & (F.col("xb") == F.col("x.b"))).select("xa", "xb", "ya", "yb", F.col("x.t").alias("xt"))
-    both = both.join(y, (F.col("ya") == F.col("y.a")) & (F.col("yb") == F.col("y.b")))
-    common = F.size(F.array_intersect("xt", "y.t"))
-    similar = common * (NUM + DEN) >= (F.size("xt") + F.size("y.t")) * NUM
-    return both.filter(similar).select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct()
-
-
-def _index(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ends = written(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "line-ends")
+    held = sets.join(_small(ends), "sid", "left_semi").select("sid", "a", "b", "ids")
+    x, y = held.alias("p"), held.alias("q")
+    both = pairs.join(x, F.col("x") == F.col("p.sid")).select("x", "y", *[F.col(f"p.{c}").alias(f"x{c}") for c in ("a", "b", "ids")])
+    both = both.join(y, F.col("y") == F.col("q.sid"))
+    earlier = F.struct(F.col("q.a"), F.col("q.b")) < F.struct("xa", "xb")
+    similar = F.size(F.array_intersect("xids", "q.ids")) * (NUM + DEN) >= (F.size("xids") + F.size("q.ids")) * NUM
+    out = written(both.filter(earlier & similar).select(F.col("x").alias("sid")).distinct(), "similar-lines")
+    discard(pairs)
+    discard(ends)
+    return out
+
+
+def _index(ranked: DataFrame, mean: int) -> tuple[DataFrame, DataFrame]:
     """The prefix index by one token, and by two where the first is frequent."""
-    limit = F.lit(64.0) * F.log2(F.lit(float(FREQUENT)))
-    frequent = lambda k: F.shiftright(k, _HASH_BITS) > limit
-    rows = ranked.select("*", F.posexplode(F.slice("ids", F.lit(1), F.col("u"))).alias("p0", "k"))
-    held = ["a", "b", "n", "s0", "s1", "todo", (F.col("p0") + 1).alias("p"), "k"]
-    one = rows.filter(~frequent(F.col("k"))).select(*held)
+    limit = F.lit(float(STEPS)) * F.log2(F.lit(float(max(FREQUENT, TIMES * mean))))
+    frequent = F.shiftright("k", _HASH_BITS) > limit
+    # A count of one is a fact even of a bucket: nobody else has that token.
+    rows = ranked.select("*", F.posexplode(F.slice("ids", F.lit(1), F.col("u"))).alias("p0", "k")).filter(F.shiftright("k", _HASH_BITS) > 0)
+    held = ["sid", "a", "n", "s0", "s1", "todo", (F.col("p0") + 1).alias("p"), "k"]
+    one = rows.filter(~frequent).select(*held)
     later = F.slice("ids", F.col("p0") + 2, F.greatest(F.col("u") - F.col("p0"), F.lit(0)))
-    two = (
-        rows.filter(frequent(F.col("k")))
-        .select(*held, F.explode(later).alias("k2"))
-        .withColumn("k", F.xxhash64("k", "k2"))
-        .drop("k2")
-    )
+    two = rows.filter(frequent).select(*held, F.explode(later).alias("k2")).withColumn("k", F.xxhash64("k", "k2")).drop("k2")
     return one, two
 
 
@@ -177,27 +193,29 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     sets = written(token_sets(docs), "token-sets")
     # A set of under 4 tokens is similar to an equal one only; those are one row by now.
     able = sets.filter("n >= 4")
-    ranked = written(_prefixes(_ranked(able, _rarity(sets))), "prefixes")
+    rarity, mean = _rarity(able)
+    ranked = written(_prefixes(able, rarity), "prefixes")
 
     def few(rows: DataFrame) -> DataFrame:
-        rows = rows.select("*", F.posexplode(F.slice("ids", F.lit(1), F.least(F.lit(PIVOT_TOKENS), F.col("u")))).alias("p0", "k"))
-        return rows.select("a", "b", "n", (F.col("p0") + 1).alias("p"), "k", "s0", "s1")
+        return rows.select("sid", "a", "n", F.lit(1).alias("p"), F.explode("piv").alias("k"), "s0", "s1")
 
     def marked(decided: DataFrame) -> DataFrame:
-        return ranked.join(_small(decided.withColumn("done", F.lit(1))), ["a", "b"], "left").withColumn("todo", F.col("done").isNull())
+        return ranked.join(_small(decided.withColumn("done", F.lit(1))), "sid", "left").withColumn("todo", F.col("done").isNull())
 
-    pivots = few(ranked).groupBy("k").agg(F.min(F.struct("a", "b", "n", "p", "s0", "s1")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    decided = written(_verified(_pairs(few(ranked), pivots.select("k", "m.*")), sets), "decided")
-    nth = F.row_number().over(Window.partitionBy("k").orderBy("a", "b"))
+    pivots = few(ranked).groupBy("k").agg(F.min(F.struct("a", "sid", "n", "p", "s0", "s1")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    decided = _verified(_pairs(few(ranked), pivots.select("k", "m.*")), sets)
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("a", "sid"))
     earliest = few(ranked).withColumn("r", nth).filter(F.col("r") <= SECOND).drop("r")
-    decided = written(decided.union(_verified(_pairs(few(marked(decided).filter("todo")), earliest), sets)), "decided-twice")
+    second = _verified(_pairs(few(marked(decided).filter("todo")), earliest), sets)
 
-    one, two = _index(marked(decided))
-    found = _pairs(one, one).union(_pairs(two, two))
-    gone = written(decided.union(_verified(found, sets)).distinct(), "gone")
-    discard(ranked)
-    kept = sets.select("a", "b").join(_small(gone), ["a", "b"], "left_anti")
-    return kept.groupBy("a", F.col("b.h").alias("h")).agg(F.collect_list("b.i").alias("keep"))
+    one, two = _index(marked(decided.union(second)), mean)
+    third = _verified(_pairs(one, one).union(_pairs(two, two)), sets)
+    gone = written(decided.union(second).union(third).distinct(), "gone")
+    kept = sets.select("sid", "a", "b").join(_small(gone), "sid", "left_anti")
+    keep = written(kept.groupBy("a", F.col("b.h").alias("h")).agg(F.collect_list("b.i").alias("keep")), "kept-lines")
+    for t in (sets, ranked, decided, second, third, gone):
+        discard(t)
+    return keep
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", counts: bool = False) -> DataFrame:
@@ -212,12 +230,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", cou
     none = F.array().cast("array<int>")
 
     def left(ls: Column) -> Column:
-        return let(
-            F.coalesce("keep", none),
-            lambda keep: F.filter(ls, lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | F.array_contains(keep, i)),
-        )
+        """Kept lines in order: those of `keep`, and those without words."""
+        blank = F.filter(F.transform(ls, lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+        return F.transform(F.sort_array(F.concat(F.coalesce("keep", none), blank)), lambda i: F.get(ls, i))
 
-    done = joined.withColumn("lines", F.split("text", "\n")).withColumn("left", left(F.col("lines")))
+    done = joined.withColumn("lines", F.split("text", "\n")).withColumn("left", let(F.col("lines"), left))
     cols = [F.array_join("left", "\n").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     if counts:
         cols += [F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed")]
