@@ -15,11 +15,12 @@ without words stay. All of it is DataFrame operations.
    earliest ones. Both are linear, and decide nearly all members of large groups of near
    copies; they skip no comparison of the index below for lines that they don't decide.
 4. Prefix index: of n tokens the rarest n - ceil(0.8 n) + 1. Lines that share a token there
-   meet, if lengths and positions allow the overlap. For tokens too frequent to meet by
-   alone, the key is the token with each later one of a prefix longer by one (two similar
-   lines share their first two common tokens there). What is too frequent follows the
-   buckets' mean, so a larger vocabulary doesn't turn rare tokens into frequent ones. Only
-   lines not yet decided look for earlier ones.
+   meet, if lengths and positions allow the overlap. Frequent tokens have an index of their
+   own, whose probes are cut to the lines not yet decided before the join. For lines of at most
+   SHORT tokens its key is the token with each later one of a prefix longer by one (two similar
+   lines share their first two common tokens there); longer lines meet by the token alone.
+   What is frequent follows the buckets' mean, so a larger vocabulary doesn't turn rare
+   tokens into frequent ones. Only lines not yet decided look for earlier ones.
 5. A parity sketch of 128 bits of each set goes along with its index rows: each token flips
    a bit. Two sketches differ in no more bits than the sets do in tokens, and similar sets
    differ in (n + m) / 9 at most; nearly all other candidates end there, inside the join.
@@ -44,14 +45,14 @@ NUM, DEN = 4, 5
 #: Buckets of the rarity table, a byte each: 4 log2 of the count.
 BUCKETS = 1 << 20
 STEPS = 4
-#: Buckets whose bytes are gathered into one row at first.
-_CHUNK = 1 << 10
 #: Least hashes of a line whose buckets have pivots.
 PIVOTS = 3
 #: Earliest lines of a bucket that undecided lines are compared with in the second round.
 SECOND = 16
-#: A token seen more often than this, and than this many times the buckets' mean, meets others only together with a second token.
+#: A token is frequent if seen more often than this, and than this many times the buckets' mean.
 FREQUENT, TIMES = 1000, 8
+#: Lines of up to this many tokens meet by two tokens where these are frequent; so at most C(SHORT / 4 + 2, 2) keys a line.
+SHORT = 24
 #: Up to this many ids are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -80,8 +81,9 @@ def token_sets(docs: DataFrame) -> DataFrame:
     spaced = F.col("text")
     for c in _SPACES:
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    lines = docs.select("a", "h", F.posexplode(F.split(spaced, "\n")).alias("i", "line"))
-    sets = lines.select("a", F.struct("h", "i").alias("b"), _tokens(F.col("line")).alias("ids")).filter(F.size("ids") > 0)
+    # A filter on the tokens would work them out twice; a line that has any is not all spaces.
+    lines = docs.select("a", "h", F.posexplode(F.split(spaced, "\n")).alias("i", "line")).filter(F.trim("line") != "")
+    sets = lines.select("a", F.struct("h", "i").alias("b"), _tokens(F.col("line")).alias("ids"))
     key = [F.xxhash64("ids").alias("k1"), F.xxhash64(F.lit(7), F.col("ids"), F.size("ids")).alias("k2")]
     first = sets.groupBy(*key).agg(F.min(F.struct("a", "b", "ids")).alias("m"))
     return first.select(F.monotonically_increasing_id().alias("sid"), "m.a", "m.b", F.size("m.ids").alias("n"), "m.ids")
@@ -91,63 +93,66 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _rarity(sets: DataFrame) -> tuple[bytes, int]:
-    """The rarity table, a byte for each of BUCKETS buckets, and the mean count of a bucket. One row comes to the driver."""
+def _rarity(sets: DataFrame) -> tuple[str, int]:
+    """The rarity table, 8 buckets in a long, and the mean count of a bucket. One row of BUCKETS bytes comes to the driver."""
     seen = sets.select(F.explode("ids").alias("t")).groupBy(_bucket(F.col("t")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    level = F.least(F.floor(F.log2("c") * STEPS), F.lit(127)).cast("int")
-    rows = seen.groupBy(F.floor(F.col("k") / _CHUNK).alias("hi")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("k") % _CHUNK).alias("lo"), level.alias("r")))).alias("m"), F.sum("c").alias("c")
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(_CHUNK - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.col("m")[i], F.lit(0)).cast("long")), 2, "0"))
-    rows = rows.select("hi", "c", F.array_join(dense, "").alias("s"))
-    got = rows.agg(F.sort_array(F.collect_list(F.struct("hi", "s"))).alias("all"), F.sum("c").alias("c")).first()
-    found = {x["hi"]: x["s"] for x in got["all"]}
-    table = "".join(found.get(k, "00" * _CHUNK) for k in range(BUCKETS // _CHUNK))
-    return bytes.fromhex(table), (got["c"] or 0) // BUCKETS
-
-
-def _prefixes(sets: DataFrame, rarity: bytes) -> DataFrame:
+    every = sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("c"))
+    counts = seen.union(every).groupBy("k").agg(F.sum("c").alias("c"))
+    level = F.when(F.col("c") > 1, F.least(F.floor(F.log2("c") * STEPS), F.lit(127))).otherwise(0).cast("long")
+    byte = F.call_function("shiftleft", level, F.col("k").bitwiseAND(F.lit(7)) * 8)
+    eights = counts.select(F.shiftright("k", 3).alias("e"), byte.alias("v"), "c").groupBy("e").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
+    parts = eights.groupBy(F.shiftright("e", 9).alias("hi")).agg(F.sort_array(F.collect_list(F.struct("e", "v"))).alias("vs"), F.sum("c").alias("c"))
+    parts = parts.select("hi", "c", F.array_join(F.transform("vs", lambda x: x["v"].cast("string")), ",").alias("s"))
+    got = parts.agg(F.sort_array(F.collect_list(F.struct("hi", "s"))).alias("all"), F.sum("c").alias("c")).first()
+    return ",".join(x["s"] for x in got["all"]), (got["c"] or 0) // BUCKETS
+
+
+def _prefixes(sets: DataFrame, rarity: str) -> DataFrame:
     """(sid, a, n, u, ids, piv, s0, s1): of each set the prefix's length u, its tokens and one more, pivot keys and the sketch.
 
     Here a token is a long: its rarity in the upper bits, 56 bits of its hash in the lower, so that rare ones come first.
     """
-    table = F.lit(rarity)
+    table = F.split(F.lit(rarity), ",").cast("array<long>")  # folded to a constant
 
     def ranked(h: Column) -> Column:
-        level = F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-        return F.call_function("shiftleft", level, F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+        at = h.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        eight = F.get(table, F.shiftright(at.bitwiseAND(F.lit(BUCKETS - 1)), 3))
+        level = F.call_function("shiftright", eight, at.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(127))
+        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
-    def half(k: int) -> Column:
-        mine = F.filter("all", lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(1)) == k)
-        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+    def parity(one) -> Column:  # noqa: ANN001
+        bit = lambda x: F.call_function("shiftleft", one(x), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("all", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
     rows = sets.select("sid", "a", "n", F.sort_array(F.transform("ids", ranked)).alias("all"))
     rows = rows.withColumn("u", F.col("n") - _least(F.col("n")) + 1)
     rarer = F.slice("all", F.lit(1), F.greatest(F.col("u"), F.floor(F.col("n") * 3 / 5).cast("int")))
-    low = F.transform(rarer, lambda x: x.bitwiseAND(F.lit(_LOW)))
+    low = F.transform(rarer, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     return rows.select(
-        "sid", "a", "n", "u", F.slice("all", F.lit(1), F.col("u") + 1).alias("ids"), F.slice(F.sort_array(low), 1, PIVOTS).alias("piv"), half(0).alias("s0"), half(1).alias("s1")
-    )
+        "sid", "a", "n", "u", F.slice("all", F.lit(1), F.col("u") + 1).alias("ids"), F.slice(F.sort_array(low), 1, PIVOTS).alias("piv"),
+        parity(lambda x: F.lit(1).cast("long")).alias("s0"), parity(lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(1))).alias("s1"),
+    )
 
 
 def _similar_in_part(n: Column, m: Column) -> Column:
     """Lengths and sketches of x and y allow them to be similar."""
     lengths = (n * NUM <= m * DEN) & (m * NUM <= n * DEN)
-    apart = sum(F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("s0", "s1"))
+    # s0 has all flips, s1 those of one half of the tokens: together a sketch of 128 bits.
+    both, half = (F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}")) for s in ("s0", "s1"))
+    apart = F.bit_count(half) + F.bit_count(both.bitwiseXOR(half))
     return lengths & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
 def _pairs(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """(x, y): sids of a line still to do and another, not a later document's, with a common key where lengths, positions and sketches allow similarity."""
+    """(x, y): sids of a line still to do and another with a common key where lengths, positions and sketches allow similarity."""
     # Length, whether to do, and position travel in one long. Whether to do is asked in the condition on both sides,
     # so that one shuffle serves both where the index is its own probe.
     flag = lambda df: F.shiftleft(F.col("todo").cast("long"), 31) if "todo" in df.columns else F.lit(1 << 31)
-    tight = lambda df: df.select("k", "sid", "a", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(flag(df)).bitwiseOR(F.col("p").cast("long")).alias("np"), "s0", "s1")
+    tight = lambda df: df.select("k", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(flag(df)).bitwiseOR(F.col("p").cast("long")).alias("np"), "s0", "s1")
     x, y = tight(probe).alias("x"), tight(index).alias("y")
     n, m = F.shiftright("x.np", 32), F.shiftright("y.np", 32)
     p, q = F.col("x.np").bitwiseAND(0x7FFFFFFF), F.col("y.np").bitwiseAND(0x7FFFFFFF)
-    todo = (F.col("y.a") <= F.col("x.a")) & (F.col("y.sid") != F.col("x.sid")) & (F.shiftright("x.np", 31).bitwiseAND(1) * F.col("y.np") != 0)
+    todo = (F.shiftright("x.np", 31).bitwiseAND(1) * F.col("y.np") != 0) & (F.col("y.sid") != F.col("x.sid"))
     # Common tokens are 1 and those after the key in either at most; 9 * overlap >= 4 * (n + m) is needed.
     places = (1 + F.least(n - p, m - q)) * (NUM + DEN) >= (n + m) * NUM
     met = x.join(y, (F.col("x.k") == F.col("y.k")) & todo & places & _similar_in_part(n, m))
@@ -175,17 +180,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def _index(ranked: DataFrame, mean: int) -> tuple[DataFrame, DataFrame]:
-    """The prefix index by one token, and by two where the first is frequent."""
+def _met(ranked: DataFrame, mean: int) -> DataFrame:
+    """(x, y) of lines that meet in the prefix index. ranked: with `todo`."""
     limit = F.lit(float(STEPS)) * F.log2(F.lit(float(max(FREQUENT, TIMES * mean))))
     frequent = F.shiftright("k", _HASH_BITS) > limit
     # A count of one is a fact even of a bucket: nobody else has that token.
     rows = ranked.select("*", F.posexplode(F.slice("ids", F.lit(1), F.col("u"))).alias("p0", "k")).filter(F.shiftright("k", _HASH_BITS) > 0)
-    held = ["sid", "a", "n", "s0", "s1", "todo", (F.col("p0") + 1).alias("p"), "k"]
-    one = rows.filter(~frequent).select(*held)
-    later = F.slice("ids", F.col("p0") + 2, F.greatest(F.col("u") - F.col("p0"), F.lit(0)))
-    two = rows.filter(frequent).select(*held, F.explode(later).alias("k2")).withColumn("k", F.xxhash64("k", "k2")).drop("k2")
-    return one, two
+    rows = rows.withColumn("p", F.col("p0") + 1)
+    cold, hot = rows.filter(~frequent), rows.filter(frequent)
+    # A line is as long as a similar one to within DEN / NUM, so either index reaches that much over the border.
+    long = hot.filter(F.col("n") * DEN >= SHORT * NUM)
+    later = F.slice("ids", F.col("p") + 1, F.greatest(F.col("u") - F.col("p0"), F.lit(0)))
+    two = hot.filter(F.col("n") * NUM <= SHORT * DEN).withColumn("k2", F.explode(later)).withColumn("k", F.xxhash64("k", "k2"))
+    return (
+        _pairs(cold, cold)
+        .union(_pairs(long.filter("todo").filter(F.col("n") > SHORT), long))
+        .union(_pairs(two.filter("todo").filter(F.col("n") <= SHORT), two))
+    )
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -208,8 +219,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     earliest = few(ranked).withColumn("r", nth).filter(F.col("r") <= SECOND).drop("r")
     second = _verified(_pairs(few(marked(decided).filter("todo")), earliest), sets)
 
-    one, two = _index(marked(decided.union(second)), mean)
-    third = _verified(_pairs(one, one).union(_pairs(two, two)), sets)
+    third = _verified(_met(marked(decided.union(second)), mean), sets)
     gone = written(decided.union(second).union(third).distinct(), "gone")
     kept = sets.select("sid", "a", "b").join(_small(gone), "sid", "left_anti")
     keep = written(kept.groupBy("a", F.col("b.h").alias("h")).agg(F.collect_list("b.i").alias("keep")), "kept-lines")
