@@ -39,8 +39,10 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 GAP, READ = 64 << 10, 8 << 20
 #: An archive is closed at this size.
 ROLL = 256 << 20
-#: Repeated payloads up to this many are broadcast as (digest, id) rows; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Archive bytes that a task of a read gets on average.
+TASK_BYTES = 4 << 20
+#: Repeated payloads up to this many are broadcast as (digest, id) rows; more are joined by a shuffle, each payload's pages dealt out by SALTS.
+BROADCAST_ROWS, SALTS = 200_000, 16
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -113,8 +115,12 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 1000, roll:
         .select("sha1", "size", "top")
     )
     again = written(again, "repeated-payloads")
-    side = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    rows = rows.withColumn("size", F.octet_length("payload")).join(side, ["sha1", "size"], "left")
+    rows = rows.withColumn("size", F.octet_length("payload"))
+    if again.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(again), ["sha1", "size"], "left")
+    else:
+        again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(again, ["sha1", "size", "salt"], "left")
     rows = rows.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("top"), F.col("top").isNotNull()), F.col("top")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +157,12 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def read(index: DataFrame, gap: int = GAP, most: int = READ) -> DataFrame:
-    """The records of the selected index rows, payloads included."""
+    """The records of the selected index rows, payloads included. The number of tasks follows the bytes to be read, not the index's own."""
     ship(index.sparkSession)
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
     dealt = (
         index.select("folder", "file", "offset", "length")
-        .repartitionByRange(F.col("folder"), F.col("file"), F.col("offset"))
+        .repartitionByRange(tasks, F.col("folder"), F.col("file"), F.col("offset"))
         .sortWithinPartitions("folder", "file", "offset")
     )
 
