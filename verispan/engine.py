@@ -10,12 +10,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.functions.text import content_tokens
 from verispan.models import ANSWERED, DENIED, FAILED, INSUFFICIENT, LLM, MESSAGES, HashingEmbedder, PageRenderer, Reranker
 from verispan.operators import answer as A
 from verispan.operators import graph as G
 from verispan.operators import search as S
-from verispan.operators.guard import SqlAccessDenied, SqlGuard, SqlRejected, render_rows, schema_text, with_budget
+from verispan.operators.guard import SqlAccessDenied, SqlGuard, SqlRejected, as_text, described, with_budget
 from verispan.operators.ingest import embedding_text
 
 PAGES, EVIDENCE, MAX_STEPS, SQL_SECONDS = 3, 12, 4, 30.0
@@ -67,16 +66,14 @@ class Engine:
     # --- one question through a model ---
 
     def guard(self) -> SqlGuard:
-        for name, df in self.tables.items():
-            df.createOrReplaceTempView(name)
-        return SqlGuard(self.spark, frozenset(t.lower() for t in self.tables), restricted=self.restricted)
+        return SqlGuard(self.spark, self.tables, restricted=self.restricted)
 
     def sql(self, question: str, groups: Sequence[str]) -> dict:
         """A model's SQL under the guard. The last verification is recorded; with strict_verify it also decides."""
         if self.llm is None:
             raise ValueError("the sql pipeline needs a model")
         g = self.guard()
-        prompt = f"Tables:\n{schema_text(self.tables, g.hidden_columns(groups))}\nAnswer with one SELECT, or NO_SQL."
+        prompt = f"Tables:\n{described(g.views(groups))}\nAnswer with one SELECT, or NO_SQL."
         said = re.sub(r"^```\w*\s*|\s*```$", "", self.llm.complete(prompt, question).text.strip()).strip()
         if not said or said.upper().startswith("NO_SQL"):
             return _result(INSUFFICIENT)
@@ -88,12 +85,13 @@ class Engine:
             return _result(FAILED, sql=said, error=str(e))
         if not rows:
             return _result(INSUFFICIENT, sql=said)
-        text, evidence = render_rows(columns, rows), f"{question}\n{render_rows(columns, rows)}"
+        text = as_text(columns, rows)
+        evidence = f"{question}\n{text}"
         phrased = self.llm.complete("Phrase the rows as an answer; cite [1].", evidence).text.strip()
         kept = phrased if phrased and self._supported(phrased, evidence) else f"{text} [1]"
         ok = self._supported(kept, evidence)
         verdict = ANSWERED if ok or not self.strict_verify else "verification_failed"
-        return _result(verdict, kept if verdict == ANSWERED else None, sql=said, refs=[f"table:{t}" for t in g.tables(said)], support=1.0 if ok else 0.0)
+        return _result(verdict, kept if verdict == ANSWERED else None, sql=said, refs=[f"table:{t}" for t in g.tables_of(said)], support=1.0 if ok else 0.0)
 
     def _supported(self, text: str, evidence: str) -> bool:
         one = self.spark.createDataFrame([("q", text, 1, "e", "", evidence)], "qid string, draft string, rank int, chunk_id string, context string, text string")
@@ -146,9 +144,8 @@ class Engine:
         """Evidence by how many of the question's terms it holds, then as first seen; an SQL note stands first."""
         seen = self.spark.createDataFrame([(x, i) for i, x in enumerate(pool)], "chunk_id string, seen int")
         held = self.chunks.join(F.broadcast(seen), "chunk_id")
-        wanted = F.broadcast(asked.select("qid", content_tokens(F.col("text")).alias("_want")))
-        rows = held.join(wanted).withColumn("score", F.size(F.array_intersect("_want", content_tokens(embedding_text()))).cast("double") - F.col("seen") / 1e6)
-        hits = S.best(rows, EVIDENCE, places=None).select("qid", "chunk_id", "score", F.lit("read").alias("source"), "rank")
+        rows = held.join(F.broadcast(asked.select("qid", F.col("text").alias("question"))))
+        hits = S.evidence_rank(rows, EVIDENCE).select("qid", "chunk_id", "score", F.lit("read").alias("source"), "rank")
         chunks = self.chunks
         if sql_note is not None:
             note = {"chunk_id": F.lit("table:sql"), "ref": F.lit("table:sql"), "text": F.lit(sql_note), "context": F.lit(""), "groups": asked.select("groups").first()[0], "status": F.lit("current"), "is_table_row": F.lit(False)}

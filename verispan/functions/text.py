@@ -108,6 +108,12 @@ def document_of(ref: Column) -> Column:
     return F.substring_index(F.substring_index(ref, "#", 1), "@", 1)
 
 
+def action(reply: Column) -> Column:
+    """A struct(action, input) from a model's reply: its first brace to its last one as JSON; nulls where there is no action in it."""
+    found = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "action string, input string")
+    return F.when(found["action"].isNotNull(), found)
+
+
 def cited_numbers(text: Column, n_hits: Column) -> Column:
     """Distinct citation numbers in range, in the order in which they are first seen."""
     all_ = F.transform(_found(text, r"\[(\d+)\]", 1), lambda n: n.try_cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispan.functions.text import document_of, facts_found, numbers, sentences
+from verispan.operators.trace import refs_in
 
 HYBRID_MIN, SQL_MIN, REGRESSION_LIMIT, HUMAN_MIN = 10, 6, 2, 18
 
@@ -32,7 +33,7 @@ def leaks(questions: DataFrame, answers: DataFrame, acl: DataFrame, trace: DataF
     out = asked.join(direct, "qid", "left")
     if trace is not None:
         found = trace.join(questions.select("qid", F.col("groups").alias("_asker")), "qid")
-        traced = found.select("qid", "_asker", F.posexplode(F.regexp_extract_all("payload", F.lit(r'"ref":\s*"([^"]+)"'), F.lit(1))).alias("i", "ref"))
+        traced = found.select("qid", "_asker", F.posexplode(refs_in(F.col("payload"))).alias("i", "ref"))
         out = out.join(hidden(traced).withColumnRenamed("ref", "traced"), "qid", "left")
     else:
         out = out.withColumn("traced", F.lit(None).cast("string"))

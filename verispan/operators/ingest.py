@@ -73,7 +73,7 @@ def windows(text: Column, size: int = 1200) -> Column:
         return F.when(F.contains(head, F.lit(". ")), at).otherwise(F.lit(size))
 
     def step(acc: Column, para: Column) -> Column:
-        # At most one cut for each size/2 characters is needed to bring a paragraph under 1.5 sizes; more do nothing.
+        # A cut takes a ". " or a whole window off the paragraph, so this many are enough; more do nothing.
         first = F.struct(acc["cur"].alias("cur"), acc["out"].alias("out"), para.alias("para"))
 
         def cut(a: Column, _: Column) -> Column:
@@ -87,7 +87,7 @@ def windows(text: Column, size: int = 1200) -> Column:
             )
             return F.when(F.length(a["para"]) > size * 1.5, done).otherwise(a)
 
-        most = F.sequence(F.lit(0), F.length(para))
+        most = F.sequence(F.lit(0), F.regexp_count(para, F.lit(r"\. ")) + F.floor(F.length(para) / size).cast("int"))
         reduced = F.when(F.length(para) > size * 1.5, F.aggregate(most, first, cut)).otherwise(first)
 
         def pack(a: Column) -> Column:

@@ -67,6 +67,16 @@ def identifiers_match(idents: Column, wanted: Column) -> Column:
     return F.arrays_overlap(idents, wanted)
 
 
+def by_identifiers(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, chunk_id) of visible chunks that share a record id with the question: an index lookup by id, not a scan per question."""
+    from verispan.functions.text import record_ids
+
+    ids = lambda text: F.explode(F.array_distinct(record_ids(text))).alias("_id")
+    q = small(questions.select("qid", F.col("groups").alias("_asker"), ids(F.col("text"))))
+    held = chunks.filter(eligible()).select("chunk_id", "groups", ids(embedding_text()))
+    return held.join(q, "_id").filter(visible("groups", F.col("_asker"))).select("qid", "chunk_id").distinct()
+
+
 # --- ranking ---------------------------------------------------------------------------
 
 
@@ -92,15 +102,18 @@ class Found:
 
 
 def vector_search(
-    chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, mode: str = "pre", current_only: bool = False, table_rows: bool = False
+    chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, mode: str = "pre", current_only: bool = False, table_rows: bool = False, cut_places: int | None = 5
 ) -> Found:
-    """Exact top k by dot product. mode pre: hidden chunks never rank. mode post: rank, cut, then drop and count them."""
+    """Exact top k by dot product. mode pre: hidden chunks never rank. mode post: rank, cut, then drop and count them.
+
+    cut_places: the places to which scores are rounded for the cut at k; None cuts by the plain score. What is kept is ranked by 5 places.
+    """
     q = small(questions.select("qid", F.col("groups").alias("_asker"), F.col("embedding").alias("_q")))
     rows = chunks.filter(eligible(current_only, table_rows)).select("chunk_id", "groups", "embedding")
     seen = visible("groups", F.col("_asker"))
     pairs = rows.join(q, seen) if mode == "pre" else rows.join(q)
     scored = pairs.select("qid", "chunk_id", dot(F.col("embedding"), F.col("_q")).alias("score"), seen.alias("_seen"))
-    top = best(scored, k)
+    top = best(scored, k) if cut_places == 5 else best(best(scored, k, places=cut_places), k)
     if mode == "pre":
         hits, removed = top, questions.select("qid", F.lit(0).cast("long").alias("removed"))
     else:
@@ -187,7 +200,20 @@ def hybrid(chunks: DataFrame, questions: DataFrame, k: int = TOP, candidates: in
     v = vector_search(chunks, questions, candidates, "pre", True, table_rows).hits
     w = keyword_search(chunks, questions, candidates, True, table_rows)
     fused = rrf([v, w], limit=candidates if reranker else k)
-    return best(reranker(fused), k).withColumn("source", F.lit("rerank")) if reranker else fused
+    return reranked(fused, reranker, k) if reranker else fused
+
+
+def reranked(hits: DataFrame, reranker, k: int = TOP) -> DataFrame:  # noqa: ANN001
+    """The k best of some hits by a reranker's scores."""
+    return best(reranker(hits), k).withColumn("source", F.lit("rerank"))
+
+
+def evidence_rank(rows: DataFrame, k: int = 12) -> DataFrame:
+    """rows (qid, question, chunk_id, context, text, seen): the k that hold most of the question's terms, then as first seen."""
+    common = F.size(F.array_intersect(F.array_distinct(content_tokens(F.col("question"))), content_tokens(embedding_text())))
+    order = Window.partitionBy("qid").orderBy(F.desc("_common"), F.col("seen"))
+    ranked = rows.withColumn("_common", common).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumn("score", F.col("_common").cast("double"))
 
 
 def access_profile(chunks: DataFrame, questions: DataFrame, k: int = TOP) -> DataFrame:

@@ -49,6 +49,11 @@ def verify_chain(
     return per.select(bundle, "n", (counted & F.col("linked") & F.col("same")).alias("ok"), reason.alias("reason"))
 
 
+def refs_in(payload: Column) -> Column:
+    """All refs named in an event's JSON, in order."""
+    return F.regexp_extract_all(payload, F.lit(r'"ref":\s*"([^"]+)"'), F.lit(1))
+
+
 def visible_hits(hits: DataFrame, removed: DataFrame | None = None, limit: int = 20) -> DataFrame:
     """(qid, payload): refs and rounded scores of visible hits for the public trace, and how many were removed."""
     item = F.struct(F.col("rank"), F.struct(F.col("chunk_id").alias("ref"), F.round("score", 4).alias("score"), "source").alias("hit"))

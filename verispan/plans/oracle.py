@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from verispan.plans import sqltext as X
-from verispan.plans.queries import FOREIGN, GUARDED, HUB_FRACTION
+from verispan.plans import survey
+from verispan.plans.queries import FOREIGN, GUARDED, HUB_FRACTION, OUTCOMES
 
 _QV = "qv AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, CASE WHEN (vec_id // 100) % 2 = 0 THEN 'commercial' ELSE 'quality' END AS grp FROM embeddings WHERE vec_id % 100 = 0)"
 _SC = f"{_QV}, sc AS (SELECT qid, vec_id AS chunk_id, list_dot_product(embedding::DOUBLE[], q) AS s, list_contains({X.groups('label')}, grp) AS seen FROM embeddings, qv)"
@@ -114,4 +115,10 @@ ORACLE: dict[str, str] = {
     "integrity_checks": " UNION ALL ".join(f"SELECT '{c}.{k}' AS key, count(*) AS violations FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p})" for c, k, p, pk in FOREIGN),
     "gate_status": "SELECT 'pending' AS status",
 }
+ORACLE |= survey.ORACLE
+ORACLE["graph_fused"] = survey._fused_sql(_HOP1)
+_DRAFTS = survey.drafts_sql(_HYBRID)
+ORACLE["extractive_answer"] = f"WITH {_DRAFTS} SELECT * FROM drafts"
+ORACLE["answers"] = survey.answers_sql(_DRAFTS, _PROFILE.removeprefix(f"{_TEXT}, {_VEC}, {_SEEN}, "))
+ORACLE["sql_guard_matrix"] = "SELECT * FROM (VALUES " + ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}', '{o}')" for s, o in OUTCOMES.items()) + ") AS t(statement, outcome)"
 ORACLE |= {name: f"SELECT * FROM ({sql}) LIMIT 200" if "LIMIT" in sql else sql for name, sql in GUARDED.items()}

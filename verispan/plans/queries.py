@@ -16,7 +16,7 @@ from verispan.operators import graph as G
 from verispan.operators import ingest as I
 from verispan.operators import search as S
 from verispan.operators import trace as R
-from verispan.operators.guard import SqlGuard, SqlRejected, column_view
+from verispan.operators.guard import SqlAccessDenied, SqlGuard, SqlRejected, column_view
 from verispan.plans import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,12 +202,6 @@ def line_chunks(spark, d):
     return lines.filter(F.trim("line") != "").select("doc_id", F.col("n").cast("long").alias("n"), "line")
 
 
-@query
-def markdown_rows(spark, d):
-    rows = B.table(spark, d, "documents").filter(F.contains("text", F.lit("|"))).select("doc_id", F.explode(T.markdown_rows(F.col("text"))).alias("r"))
-    return rows.select("doc_id", F.col("r.n").cast("long").alias("n"), F.col("r.text").alias("text"))
-
-
 @query
 def upload_chunks(spark, d):
     files = B.texts(spark, d).select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "text")
@@ -254,7 +248,8 @@ GUARDED = {
     "sql_join_agg": "SELECT n.n_name AS nation, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY n.n_name",
     "sql_cte": "WITH per AS (SELECT o_custkey AS cust, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n AS orders, count(*) AS customers FROM per GROUP BY n",
     "sql_semi": "SELECT c_mktsegment AS segment, count(*) AS customers FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY c_mktsegment",
-    "sql_anti": "SELECT c_mktsegment AS segment, count(*) AS customers FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) GROUP BY c_mktsegment",
+    "sql_anti": "SELECT o_orderstatus AS status, count(*) AS orders FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45) GROUP BY o_orderstatus",
+    "sql_dates": "SELECT cast(extract(YEAR FROM o_orderdate) AS bigint) AS y, cast(extract(MONTH FROM o_orderdate) AS bigint) AS m, count(*) AS n, min(cast(date_trunc('month', o_orderdate) AS date)) AS first FROM orders GROUP BY extract(YEAR FROM o_orderdate), extract(MONTH FROM o_orderdate)",
     "sql_window": "SELECT nation, orders, rnk FROM (SELECT n.n_name AS nation, count(*) AS orders, rank() OVER (ORDER BY count(*) DESC) AS rnk FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY n.n_name) t WHERE rnk <= 10",
     "sql_having": "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, min(l_shipdate) AS first_ship, max(l_quantity) AS most FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
     "sql_distinct_agg": "SELECT p_brand AS brand, count(DISTINCT p_type) AS kinds, min(p_size) AS least, max(p_retailprice) AS dearest FROM part GROUP BY p_brand",
@@ -265,34 +260,49 @@ GUARDED = {
 
 
 def guard(spark: SparkSession, d: str) -> SqlGuard:
-    for t in TABLES:
-        B.table(spark, d, t).createOrReplaceTempView(t)
-    return SqlGuard(spark, frozenset(TABLES), restricted=RESTRICTED)
+    return SqlGuard(spark, {t: B.table(spark, d, t) for t in TABLES}, restricted=RESTRICTED)
 
 
 for _name, _sql in GUARDED.items():
     QUERIES[_name] = lambda spark, d, sql=_sql: guard(spark, d).run(sql, ["quality"])
 
-#: Statements and what becomes of them for an asker of group quality.
-STATEMENTS = (
-    "SELECT count(*) FROM orders", "DROP TABLE orders", "DELETE FROM orders", "UPDATE orders SET o_custkey = 1", "INSERT INTO orders VALUES (1)",
-    "SELECT 1; SELECT 2", "SELECT * FROM secrets", "SELECT * FROM sys.orders", "SELECT * FROM parquet.`/tmp`", "SELECT java_method('a', 'b')",
-    "SELECT a FROM orders UNION SELECT b FROM part", "SET x = 1", "SELECT TRANSFORM(o_custkey) USING 'cat' FROM orders", "SELECT * FROM range(10)",
-    "SELECT s_acctbal FROM supplier", "SELECT * FROM supplier", "SELECT s_name FROM supplier WHERE s_acctbal > 0", "SELECT s_name FROM supplier ORDER BY s_acctbal",
-    "SELECT count(*) FROM supplier", "SELECT s_name FROM supplier", "SELECT sum(c_acctbal) FROM customer", "SELECT o_custkey FROM orders LIMIT 1 + 1",
-    "WITH orders AS (SELECT 1 AS x) SELECT x FROM orders",
-)
+#: Statements by what becomes of them for an asker of group quality.
+STATEMENTS = {
+    "allowed": (
+        "SELECT count(*) FROM orders", "SELECT count(*) FROM supplier", "SELECT s_name FROM supplier", "SELECT count(*) FROM orders NATURAL JOIN lineitem",
+        "WITH t AS (SELECT s_name AS n FROM supplier) SELECT count(*) FROM t", "SELECT max(date_trunc('month', o_orderdate)) FROM orders", "SELECT s_name FROM supplier AS s WHERE s.s_nationkey = 3",
+    ),
+    "rejected": (
+        "DROP TABLE orders", "DELETE FROM orders", "UPDATE orders SET o_custkey = 1", "INSERT INTO orders VALUES (1)", "CREATE TABLE t AS SELECT 1", "ALTER TABLE orders RENAME TO o", "TRUNCATE TABLE orders",
+        "SELECT 1; SELECT 2", "SELECT * FROM secrets", "SELECT * FROM sys.orders", "SELECT * FROM parquet.`/tmp`", "SELECT java_method('a', 'b')", "SELECT a FROM orders UNION SELECT b FROM part", "SET x = 1",
+        "SELECT TRANSFORM(o_custkey) USING 'cat' FROM orders", "SELECT * FROM range(10)", "SELECT o_custkey FROM orders LIMIT 1 + 1", "WITH orders AS (SELECT 1 AS x) SELECT x FROM orders",
+        "SELECT nothing FROM supplier", "SELECT x FROM region AS t(x, y, z)", "EXPLAIN SELECT 1", "TABLE supplier", "VALUES (1)", "SELECT `(s_acct)?.+` FROM supplier", "not SQL at all", "SHOW TABLES", "CACHE TABLE orders",
+        "SELECT strftime('%Y', o_orderdate) FROM orders", "SELECT current_catalog()",
+    ),
+    "denied": (
+        "SELECT s_acctbal FROM supplier", "SELECT * FROM supplier", "SELECT s_name FROM supplier WHERE s_acctbal > 0", "SELECT s_name FROM supplier ORDER BY s_acctbal", "SELECT sum(c_acctbal) FROM customer",
+        "SELECT x FROM supplier AS t(a, b, c, x)", "SELECT count(*) FROM supplier JOIN (SELECT 1 AS s_acctbal) t USING (s_acctbal)", "SELECT count(*) FROM supplier NATURAL JOIN (SELECT 1 AS s_acctbal) t",
+        "SELECT s.s_acctbal FROM supplier s", "SELECT (SELECT max(s_acctbal) FROM supplier) AS m FROM orders", "SELECT count(*) FROM orders WHERE EXISTS (SELECT 1 FROM supplier WHERE s_acctbal > 0)",
+        "SELECT t.* FROM (SELECT * FROM supplier) t", "SELECT max(x) FROM (SELECT s_acctbal AS x FROM supplier) t", "SELECT s_name FROM supplier GROUP BY s_name, s_acctbal",
+        "WITH v(a, b, c, d) AS (SELECT * FROM supplier) SELECT d FROM v", "SELECT rank() OVER (ORDER BY s_acctbal) FROM supplier", "SELECT count(S_AcctBal) FROM SUPPLIER",
+        "SELECT count(*) FROM supplier a JOIN supplier b ON a.s_acctbal = b.s_acctbal", "SELECT s_name FROM supplier HAVING max(s_acctbal) > 0",
+    ),
+}
+OUTCOMES = {sql: outcome for outcome, statements in STATEMENTS.items() for sql in statements}
 
 
 @query
 def sql_guard_matrix(spark, d):
     g, rows = guard(spark, d), []
-    for sql in STATEMENTS:
+    for sql in OUTCOMES:
         try:
-            rows.append((sql, "allowed", str(g.check(sql, ["quality"])[1])))
-        except SqlRejected as e:
-            rows.append((sql, "denied" if type(e).__name__ == "SqlAccessDenied" else "rejected", str(e)))
-    return spark.createDataFrame(rows, "statement string, outcome string, detail string")
+            g.check(sql, ["quality"])
+            rows.append((sql, "allowed"))
+        except SqlAccessDenied:
+            rows.append((sql, "denied"))
+        except SqlRejected:
+            rows.append((sql, "rejected"))
+    return spark.createDataFrame(rows, "statement string, outcome string")
 
 
 @query
@@ -353,12 +363,6 @@ def trace_chain_verify(spark, d):
     return R.verify_chain(events, R.chain(events).withColumn("hash", forged)).select("bundle_id", "n", "ok", "reason")
 
 
-@query
-def trace_visible_hits(spark, d):
-    found = S.vector_search(B.vector_chunks(spark, d), B.vector_questions(spark, d), k=8, mode="post")
-    return R.visible_hits(found.hits, found.removed)
-
-
 # --- evaluation ---
 
 

@@ -65,15 +65,21 @@ BM25 = (
 )
 
 
-def features(source: str, ident: str) -> str:
-    """(id, b, w): weights by bucket of each text, before they are brought to length one."""
+def feature_rows(source: str, ident: str) -> str:
+    """(id, f): each text's features, repeats included."""
     return (
-        f"SELECT id, (('0x' || substr(md5(f), 1, 8))::BIGINT % 64)::INT AS b, "
-        "(CASE WHEN ('0x' || substr(md5(f), 9, 1))::BIGINT % 2 = 1 THEN 1.0 ELSE -1.0 END) * (1 + ln(count(*)::DOUBLE)) AS w FROM ("
         f"SELECT {ident} AS id, unnest(ts) AS f FROM (SELECT {ident}, {content('text')} AS ts FROM {source}) UNION ALL "
         f"SELECT id, '#' || substr(t, i, 4) AS f FROM (SELECT id, t, unnest(range(1, length(t) - 2)) AS i FROM (SELECT {ident} AS id, unnest({content('text')}) AS t FROM {source}) WHERE length(t) >= 4) UNION ALL "
         f"SELECT id, ts[i] || '_' || ts[i + 1] AS f FROM (SELECT {ident} AS id, ts, unnest(range(1, len(ts))) AS i FROM (SELECT {ident}, {content('text')} AS ts FROM {source}))"
-        ") GROUP BY id, f"
+    )
+
+
+def features(source: str, ident: str) -> str:
+    """(id, b, w): weights by bucket of each text, before they are brought to length one."""
+    return (
+        "SELECT id, (('0x' || substr(md5(f), 1, 8))::BIGINT % 64)::INT AS b, "
+        "(CASE WHEN ('0x' || substr(md5(f), 9, 1))::BIGINT % 2 = 1 THEN 1.0 ELSE -1.0 END) * (1 + ln(count(*)::DOUBLE)) AS w "
+        f"FROM ({feature_rows(source, ident)}) GROUP BY id, f"
     )
 
 
