@@ -24,9 +24,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir; in local mode (tests) a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="verispan-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -75,22 +77,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLICE_BYTES = 4 << 20
 
 
-def slices(batch, column: int):
-    """(start, number) of runs of rows that hold about SLICE_BYTES of the column, or one row."""
+def slices(batch, column: int, size: int = SLICE_BYTES):
+    """(start, number) of runs of rows that hold about `size` bytes of the column, or one row."""
     import numpy as np
     import pyarrow.compute as pc
 
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     i, n = 0, batch.num_rows
     while i < n:
-        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, "right"))
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right"))
         j = max(j, i + 1)
         yield i, j - i
         i = j
 
 
-def with_python_columns(df: DataFrame, load: Callable[[], Callable], column: str, fields: str, kind: str = "string") -> DataFrame:
-    """Add columns computed in Python from one string (or binary) column, a bounded slice of rows at a time.
+def with_python_columns(df: DataFrame, load: Callable[[], Callable], column: str, fields: str, kind: str = "string", size: int = SLICE_BYTES) -> DataFrame:
+    """Add columns computed in Python from one string (or binary) column, a slice of rows of about `size` bytes at a time.
 
     load() runs once per task and returns a function from a list of texts (None for null)
     to a list of Arrow arrays, one for each of `fields` (a DDL string). Other columns
@@ -111,7 +113,7 @@ def with_python_columns(df: DataFrame, load: Callable[[], Callable], column: str
     def run(batches):
         work = load()
         for b in batches:
-            for i, step in slices(b, 0):
+            for i, step in slices(b, 0, size):
                 part = b.slice(i, step)
                 out = work(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=schema.names)

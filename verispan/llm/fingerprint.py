@@ -22,7 +22,8 @@ likeness 1 among themselves, 0 against any other. Equal texts have equal fingerp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from verispan.llm.common import slices
 from verispan.session import ship
 
 SLOTS = 64
+#: Bytes of text parsed at a time: some ten arrays of 8 bytes a character are held.
+SLICE = 512 << 10
 #: Hexadecimal digits of the whole text's name and of each slot.
 WHOLE, SLOT = 16, 4
 #: Levels whose phrases enter the signature (1: phrases of characters).
@@ -57,7 +60,7 @@ def _toss(label: np.ndarray, first: np.ndarray) -> np.ndarray:
     before[first] = ~label[first]
     diff = label ^ before
     low = diff & (~diff + np.uint64(1))
-    at = np.log2(low.astype(np.float64)).astype(np.uint64)
+    at = (low.astype(np.float64).view(np.uint64) >> np.uint64(52)) - np.uint64(1023)  # the exponent of a power of two
     return (at << np.uint64(1)) | ((label >> at) & np.uint64(1))
 
 
@@ -105,11 +108,13 @@ def _level(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: list[str]) -> list[str]:
     """The fingerprint of each text."""
+    if not texts:
+        return []
     n = len(texts)
     raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     sizes = np.array([len(x) for x in raw])
     doc = np.repeat(np.arange(n), sizes)
-    name = _mix(np.concatenate(raw).astype(np.uint64) * _M3 + np.uint64(1)) if n else np.zeros(0, np.uint64)
+    name = _mix(np.concatenate(raw).astype(np.uint64) * _M3 + np.uint64(1))
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     slots = np.full((n, SLOTS), top, np.uint64)
     whole = np.zeros(n, np.uint64)
@@ -167,81 +172,113 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
     def load():
         return lambda texts: [pa.array(signatures([t or "" for t in texts]), pa.string())]
 
-    return with_python_columns(docs, load, text, f"`{out}` string")
-
-
-def in_turn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mark: str = "fingerprint") -> DataFrame:
-    """(doc_id, text, mark, next_text, next_mark): each document with the next by descending id, the first after the last.
-
-    mark is a string column that goes along, such as the fingerprint.
-
-    Ranges of ids are cut at quantiles, one set of them per shuffle partition; a range gets
-    a copy of the rows with the largest id of the range that follows, so each partition
-    knows its last row's follower and every text is shuffled about once. Rows of one id
-    stand by their texts, null ids last.
+    return with_python_columns(docs, load, text, f"`{out}` string", size=SLICE)
+
+
+def in_turn(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    mark: Callable[[list[str]], list[str]] | None = None,
+    then: Callable[[list[tuple]], list[tuple]] | None = None,
+    fields: str = "text string, mark string, next_text string, next_mark string",
+) -> DataFrame:
+    """doc_id and `fields`: each document with the next by descending id, the first after the last.
+
+    mark gives each text a string that goes along, such as its fingerprint; it sees each text
+    once, a slice of them at a time. Without it marks are null. then turns such slices of
+    (text, mark, next_text, next_mark) into the values of `fields`, for what needs both texts.
+    Both run inside the two passes that there are, so a task has one Python worker.
+
+    Rows of one id stand by a 64-bit hash of their texts, then the texts; null ids last. Ranges
+    of ids are cut at quantiles, several to a shuffle partition, and an id that fills some of
+    them (or null) is cut by the hash. A range gets a copy of the first row of the range that
+    follows, so each partition knows its last row's follower and every text is shuffled about
+    once. Other rows than that first one are copied only where a slice can't tell: one of each.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{mark}`").alias("mark"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 4 * parts
-    found = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first().q or []
-    bounds = sorted(set(found))
-    cuts = np.array(bounds, np.int64)
-    last = len(bounds) + 1  # the range of null ids; range 0 holds the largest ids
-
-    def ranges(ids: pa.Array) -> np.ndarray:
-        """Which range each id falls in."""
+    seen = rows.select(
+        F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q"), F.count(F.lit(1)).alias("all"), F.count("doc_id").alias("known")
+    ).first()
+    found = Counter(seen["q"] or [])
+    cuts = np.array(sorted(found), np.int64)
+    # How many parts an id has of its own: as many as the quantiles that it is, if more than one; null by its share.
+    own = np.array([m if m > 1 else 0 for m in map(found.get, cuts.tolist())], np.int64)
+    nulls = max(1, n * (seen["all"] - seen["known"]) // max(1, seen["all"]))
+    # Ranges are numbered from the largest ids down: above all cuts, then for each cut its own parts and what is below it.
+    under = 1 + np.cumsum(own[::-1] + 1)[::-1] - 1 if len(cuts) else np.zeros(0, np.int64)
+    last = int(under[0]) + 1 if len(cuts) else 1
+
+    def ranges(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        """Which range each row falls in."""
+        none = ids.is_null().to_numpy(zero_copy_only=False)
         known = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        r = len(cuts) - np.searchsorted(cuts, known, "left")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), last, r)
+        share = (hashes.to_numpy(zero_copy_only=False).astype(np.float64) + 2.0**63) / 2.0**64
+        out = np.where(none, last + np.minimum((share * nulls).astype(np.int64), nulls - 1), 0)
+        j = np.searchsorted(cuts, known, "left")
+        below = ~none & (j < len(cuts))
+        if below.any():
+            k = j[below]
+            m = own[k]
+            at = np.where((cuts[k] == known[below]) & (m > 0), under[k] - m + np.minimum((share[below] * m).astype(np.int64), m - 1), under[k])
+            out[below] = at
+        return out
+
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops: dict[int, int | None] = {}
+        got: set[int] = set()
         for b in batches:
-            for r, x in zip(ranges(b.column(0)).tolist(), b.column(0).to_pylist(), strict=True):
-                tops[r] = x if x is None else max(x, tops.get(r, x))
-        yield pa.RecordBatch.from_arrays([pa.array(list(tops), pa.int32()), pa.array(list(tops.values()), pa.int64())], ["r", "top"])
+            got |= set(np.unique(ranges(b.column(0), b.column(1))).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.int32())], ["r"])
 
     # One row for each range that has rows: as many as a few per shuffle partition at most.
-    heads = rows.select("doc_id").mapInArrow(tally, "r int, top long").groupBy("r").agg(F.max("top").alias("top")).orderBy("r").collect()
-    before = {h.r: heads[i - 1].r for i, h in enumerate(heads)}
-    tops = {h.r: h.top for h in heads}
-    # Every null id is a largest one of its range: only its least text leads.
-    first_null = rows.filter("doc_id IS NULL").agg(F.min("text")).first()[0] if last in tops else None
+    filled = [x.r for x in hashed.select("doc_id", "hash").mapInArrow(tally, "r int").distinct().orderBy("r").collect()]
+    before = {r: filled[i - 1] for i, r in enumerate(filled)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = ranges(b.column(0))
-            leads = [
-                i
-                for i, (k, x) in enumerate(zip(r.tolist(), b.column(0).to_pylist(), strict=True))
-                if x == tops[k] and (k != last or b.column(1)[i].as_py() == first_null)
-            ]
-            own = pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(np.zeros(len(r)), pa.int32()), *b.columns], ["at", "copy", "doc_id", "text", "mark"])
-            yield own
-            if leads:
-                to = pa.array([before[int(r[i])] for i in leads], pa.int32())
-                led = b.take(pa.array(leads))
-                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(leads)), pa.int32()), *led.columns], own.schema.names)
+            for start, step in slices(b, 1, SLICE):
+                part = b.slice(start, step)
+                texts = part.column(1).to_pylist()
+                marks = pa.array(mark(texts) if mark else [None] * step, pa.string())
+                r = ranges(part.column(0), part.column(2))
+                own = pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(np.zeros(step), pa.int32()), *part.columns, marks], ["at", "copy", "doc_id", "text", "hash", "mark"])
+                yield own
+                place = list(zip((-(x or 0) for x in part.column(0).to_pylist()), part.column(2).to_pylist(), texts, strict=True))
+                first: dict[int, int] = {}
+                for i, k in enumerate(r.tolist()):
+                    if k not in first or place[i] < place[first[k]]:
+                        first[k] = i
+                led = own.take(pa.array(list(first.values()), pa.int64()))
+                to = pa.array([before[k] for k in first], pa.int32())
+                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(first)), pa.int32()), *led.columns[2:]], own.schema.names)
 
     dealt = (
-        rows.mapInArrow(deal, "at int, copy int, doc_id long, text string, mark string")
+        hashed.mapInArrow(deal, "at int, copy int, doc_id long, text string, hash long, mark string")
         .repartition(parts, "at")
-        .sortWithinPartitions(F.col("at"), F.col("copy"), F.desc_nulls_last("doc_id"), F.col("text"))
+        .sortWithinPartitions(F.col("at"), F.col("copy"), F.desc_nulls_last("doc_id"), F.col("hash"), F.col("text"))
     )
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(f"doc_id long, {fields}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its follower
         for b in batches:
-            for i, step in slices(b, 3):
-                out: list[tuple] = []
-                for at, copy, doc, t, mark in zip(*(c.to_pylist() for c in b.slice(i, step).columns), strict=True):
+            for i, step in slices(b, 3, SLICE):
+                ids, out = [], []
+                for at, copy, doc, t, _, m in zip(*(c.to_pylist() for c in b.slice(i, step).columns), strict=True):
                     if held is not None and held[0] == at:
-                        out.append((*held[1:], t, mark))
-                    held = None if copy else (at, doc, t, mark)
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, y.type) for x, y in zip(cols, schema, strict=True)], schema=schema)
+                        ids.append(held[1])
+                        out.append((*held[2:], t, m))
+                    held = None if copy else (at, doc, t, m)
+                cols = list(zip(*(then(out) if then else out), strict=True)) or [()] * (len(schema) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x, y.type) for x, y in zip([ids, *cols], schema, strict=True)], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in ("text", "mark", "next_text", "next_mark"))])
-    return dealt.mapInArrow(run, "doc_id long, text string, mark string, next_text string, next_mark string")
+    return dealt.mapInArrow(run, f"doc_id long, {fields}")

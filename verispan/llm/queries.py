@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,30 +37,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> Dat
     return tokencount.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def _edited(rows: list[tuple]) -> list[tuple]:
+    """Of (text, fingerprint, next_text, next_fingerprint): what op6 says of the text whose last half gave way to the next one's head."""
+    edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, _, u, _ in rows]
+    marks = fingerprint.signatures(edited)
+    return [(len(t), hashlib.sha256(e.encode()).hexdigest(), m, x, n) for (t, m, _, n), e, x in zip(rows, edited, marks, strict=True)]
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fingerprint.fingerprint(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    turn = fingerprint.in_turn(own)
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    head = F.expr("substring(next_text, 1, cast(floor(char_length(text) / 2) as int))")
-    turn = turn.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        "text",
-        F.concat(F.substring("text", F.lit(1), n - half), head).alias("edited"),
-        F.col("mark").alias("fingerprint"),
-        "next_mark",
-    )
-    both = fingerprint.fingerprint(turn.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fingerprint")
-    return both.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        fingerprint.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        fingerprint.likeness(F.col("fingerprint"), F.col("next_mark")).alias("near_next"),
-    )
+    fields = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+    turn = fingerprint.in_turn(documents(spark, sf_dir), mark=fingerprint.signatures, then=_edited, fields=fields)
+    own = F.col("fingerprint")
+    return turn.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        fingerprint.likeness(own, F.col("edited_fingerprint")).alias("near_edited"), fingerprint.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
