@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from verispan.functions.text import bind, cited_numbers, claims, content_tokens, numbers, record_ids, strip, table_units
 from verispan.models import ANSWERED, MESSAGES, UNVERIFIED
-from verispan.operators.ingest import embedding_text
-from verispan.operators.search import access_profile, empty_verdict
+from verispan.session import settled
+from verispan.operators.search import access_profile, empty_verdict, small, tokens_of
 
 MIN_COVERAGE, NEAR_BEST, MAX_SENTENCES, MIN_SENTENCE = 0.4, 0.9, 2, 12
 MIN_OVERLAP = 0.6
 
 
-def term_weights(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, idf) over distinct terms of chunks, and one row with the weight of an unseen term."""
-    toks = chunks.select(F.explode(F.array_distinct(content_tokens(embedding_text()))).alias("term"))
+def term_weights(chunks: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(term, idf) over distinct terms of chunks, or of those of `terms` only, and one row with the weight of an unseen term."""
+    toks = tokens_of(chunks).select(F.explode(F.array_distinct("toks")).alias("term"))
+    toks = toks if terms is None else toks.join(small(terms.select("term").distinct()), "term", "left_semi")
     n = chunks.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("n"))
     df = toks.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = df.join(F.broadcast(n)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
@@ -25,8 +26,8 @@ def term_weights(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def question_terms(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, terms array<struct(term, w)>, total): a question's distinct terms with their weights."""
-    idf, unseen = term_weights(chunks)
     q = questions.select("qid", F.explode(F.array_distinct(content_tokens(F.col("text")))).alias("term"))
+    idf, unseen = term_weights(chunks, q)
     w = q.join(idf, "term", "left").join(F.broadcast(unseen)).withColumn("w", F.coalesce("idf", "unseen"))
     return w.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("terms"), F.sum("w").alias("total"))
 
@@ -118,9 +119,12 @@ def answer(questions: DataFrame, hits: DataFrame, chunks: DataFrame, drafts: Dat
     drafts: (qid, draft, insufficient), extractive by default; a model's drafts fit in here.
     Returns (qid, text, verdict, citations, retrieved_refs, verifier_changed, support).
     """
-    drafts = extract(questions, hits, chunks) if drafts is None else drafts
+    hits = settled(hits, "hits")
+    drafts = settled(extract(questions, hits, chunks) if drafts is None else drafts, "drafts")
     checked = verify(drafts.filter("NOT insufficient"), hits, chunks)
-    none = empty_verdict(access_profile(chunks, questions), questions, reveal).withColumnRenamed("verdict", "why")
+    # Only questions without a draft need the profile that ignores access.
+    open_ = questions.join(drafts.filter("insufficient").select("qid"), "qid", "left_semi")
+    none = empty_verdict(access_profile(chunks, open_), open_, reveal).withColumnRenamed("verdict", "why")
     cites = citations(drafts.filter("NOT insufficient"), hits, chunks, kind=kind)
     rows = drafts.join(checked, "qid", "left").join(none, "qid", "left").join(cites, "qid", "left").join(retrieved_refs(hits, chunks), "qid", "left")
     verdict = F.when(F.col("insufficient"), F.col("why")).when(F.col("supported"), ANSWERED).otherwise(UNVERIFIED)

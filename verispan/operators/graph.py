@@ -62,7 +62,7 @@ def walk(edges: DataFrame, seeds: DataFrame, questions: DataFrame, hops: int = 2
     """
     asker = small(questions.select("qid", F.col("groups").alias("_asker")))
     mine = lambda df: df.join(asker, "qid").filter(visible("groups", F.col("_asker"))).drop("groups", "_asker")
-    seeds = F.broadcast(seeds.distinct())
+    seeds = small(seeds.distinct())
     first = mine(edges.join(seeds, "entity")).groupBy("qid", "chunk_id").agg((1.0 + F.count(F.lit(1))).alias("score"))
     score = first
     if hops >= 2:

@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispan.functions.text import content_tokens
-from verispan.functions.vectors import dot
 from verispan.operators.ingest import embedding_text
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 CANDIDATES, TOP = 30, 8
-#: Questions up to this many are broadcast.
-MOST_QUESTIONS = 10_000
+#: Questions up to this many are broadcast, and so many at a time meet the chunks' vectors as one matrix.
+MOST_QUESTIONS, BLOCK = 10_000, 1024
 
 
 # --- filters ---------------------------------------------------------------------------
@@ -81,7 +80,7 @@ def by_identifiers(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def small(questions: DataFrame) -> DataFrame:
-    """Questions for a join: broadcast behind a check of their number; more of them meet the chunks in blocks, by a shuffle."""
+    """Questions (or seeds, terms) for a join on a key: broadcast behind a check of their number; more of them are joined by a shuffle."""
     n = questions.limit(MOST_QUESTIONS + 1).count()
     return F.broadcast(questions) if n <= MOST_QUESTIONS else questions
 
@@ -108,11 +107,8 @@ def vector_search(
 
     cut_places: the places to which scores are rounded for the cut at k; None cuts by the plain score. What is kept is ranked by 5 places.
     """
-    q = small(questions.select("qid", F.col("groups").alias("_asker"), F.col("embedding").alias("_q")))
     rows = chunks.filter(eligible(current_only, table_rows)).select("chunk_id", "groups", "embedding")
-    seen = visible("groups", F.col("_asker"))
-    pairs = rows.join(q, seen) if mode == "pre" else rows.join(q)
-    scored = pairs.select("qid", "chunk_id", dot(F.col("embedding"), F.col("_q")).alias("score"), seen.alias("_seen"))
+    scored = candidates_of(rows, questions, k, mode == "pre")
     top = best(scored, k) if cut_places == 5 else best(best(scored, k, places=cut_places), k)
     if mode == "pre":
         hits, removed = top, questions.select("qid", F.lit(0).cast("long").alias("removed"))
@@ -123,6 +119,76 @@ def vector_search(
     return Found(hits.select("qid", "chunk_id", "score", F.lit("vector").alias("source"), "rank"), removed)
 
 
+def candidates_of(chunks: DataFrame, questions: DataFrame, k: int, masked: bool) -> DataFrame:
+    """(qid, chunk_id, score, _seen): of each task, the chunks among which its k best of every question are, by dot product.
+
+    Questions come in blocks of at most BLOCK, each broadcast as one matrix; a batch of
+    chunks is one matrix product. Rows within 2e-5 of a task's k-th best stay, so a later
+    cut by rounded scores loses nothing. masked: hidden chunks don't count.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import BooleanType, DoubleType, StructType
+
+    from verispan.session import ship
+
+    spark = chunks.sparkSession
+    ship(spark)
+    asked = questions.select("qid", "groups", F.col("embedding").cast("array<double>").alias("e"))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    block = F.pmod(F.xxhash64(F.col("qid").cast("string")), F.lit(blocks))
+    schema = StructType([asked.schema["qid"], chunks.schema["chunk_id"]]).add("score", DoubleType()).add("_seen", BooleanType())
+
+    def run_for(held):  # noqa: ANN001, ANN202
+        def run(batches):  # noqa: ANN001, ANN202
+            qids, groups, matrix = held.value
+            may: dict[tuple, np.ndarray] = {}
+            kept: list[tuple] = []  # per step: question places, chunk ids, scores, seen
+
+            def cut(parts: list[tuple]) -> list[tuple]:
+                q, c, s, v = (np.concatenate([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (2, 3)))
+                order = np.lexsort((-s, q))
+                first = np.searchsorted(q[order], np.arange(len(qids)))
+                sizes = np.diff(np.append(first, len(q)))
+                least = np.where(sizes > k, s[order][np.minimum(first + k - 1, max(len(q) - 1, 0))] - 2e-5, -np.inf) if len(q) else np.zeros(len(qids))
+                some = np.flatnonzero(s >= least[q])
+                return [(q[some], c.take(pa.array(some)), s[some], v[some])]
+
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    vectors = np.array(part.column(2).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                    scores = vectors @ matrix.T
+                    rows = [tuple(g or ()) for g in part.column(1).to_pylist()]
+                    for g in set(rows) - may.keys():
+                        may[g] = np.array([not x.isdisjoint(g) for x in groups], bool)
+                    seen = np.array([may[g] for g in rows], bool).reshape(part.num_rows, -1)
+                    if masked:
+                        scores = np.where(seen, scores, -np.inf)
+                    if part.num_rows > k:  # the k best of the step and what is as good as them
+                        scores = np.where(scores >= np.partition(scores, -k, axis=0)[-k] - 2e-5, scores, -np.inf)
+                    i, q = np.nonzero(scores > -np.inf)
+                    kept.append((q, part.column(0).take(pa.array(i)), scores[i, q], seen[i, q]))
+                    if sum(len(x[0]) for x in kept) > 4 * k * len(qids) + 100_000:
+                        kept = cut(kept)
+            if kept:
+                q, c, s, v = cut(kept)[0]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), c, pa.array(s), pa.array(v)], schema.names)
+
+        return run
+
+    out = None
+    for b in range(blocks):
+        rows = asked.filter(block == b).select("qid", "groups", "e").toArrow()  # at most about BLOCK questions
+        if not rows.num_rows:
+            continue
+        matrix = np.array(rows.column("e").to_pylist(), np.float64).reshape(rows.num_rows, -1)
+        held = spark.sparkContext.broadcast((rows.column("qid").combine_chunks(), [frozenset(g or ()) for g in rows.column("groups").to_pylist()], matrix))
+        found = chunks.select("chunk_id", "groups", "embedding").mapInArrow(run_for(held), schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 @dataclass
 class TextIndex:
     """Term statistics over all chunks, restricted and superseded ones included."""
@@ -133,8 +199,13 @@ class TextIndex:
     totals: DataFrame  # one row: n, avg_len
 
 
+def tokens_of(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, toks): the tokens that an ingest has stored, else those of the text."""
+    return chunks.select("chunk_id", F.col("toks") if "toks" in chunks.columns else content_tokens(embedding_text()).alias("toks"))
+
+
 def text_index(chunks: DataFrame) -> TextIndex:
-    toks = chunks.select("chunk_id", content_tokens(embedding_text()).alias("toks"))
+    toks = tokens_of(chunks)
     lengths = toks.select("chunk_id", F.size("toks").cast("long").alias("len"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     postings = toks.select("chunk_id", F.explode("toks").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -150,7 +221,7 @@ def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     those before anything is shuffled, and lengths come from the same pass.
     """
     q = questions.select("qid", F.explode(F.array_distinct(content_tokens(F.col("text")))).alias("term"))
-    toks = chunks.select("chunk_id", content_tokens(embedding_text()).alias("toks"))
+    toks = tokens_of(chunks)
     totals = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
     tf = (
         toks.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
@@ -221,11 +292,8 @@ def access_profile(chunks: DataFrame, questions: DataFrame, k: int = TOP) -> Dat
 
     Booleans only leave this function. Superseded chunks count, table rows don't.
     """
-    anyone = questions.withColumn("groups", F.lit(None).cast("array<string>"))
     rows = chunks.filter(eligible())
-    q = small(anyone.select("qid", F.col("embedding").alias("_q")))
-    scored = rows.select("chunk_id", "embedding").join(q).select("qid", "chunk_id", dot(F.col("embedding"), F.col("_q")).alias("score"))
-    v = best(scored, 3 * k)
+    v = best(candidates_of(rows, questions, 3 * k, False), 3 * k)
     w = best(bm25(chunks, questions).join(rows.select("chunk_id"), "chunk_id", "left_semi").filter("score > 0"), 3 * k)
     top = rrf([v, w], limit=k)
     asker = small(questions.select("qid", F.col("groups").alias("_asker")))

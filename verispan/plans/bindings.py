@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verispan.functions.text import content_tokens
 from verispan.functions.vectors import hash_embedding
+from verispan.session import stored
 
 DIM = 64
 
@@ -30,14 +32,17 @@ def groups_of(number):  # noqa: ANN001, ANN201
     )
 
 
-def document_chunks(spark: SparkSession, sf_dir: str, embed: bool = False) -> DataFrame:
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks; of equal texts the one with the largest id is current.
 
     Currency is told by a digest's largest id, pre-aggregated, so that a much copied text
     is not one task's.
     """
     docs = texts(spark, sf_dir).select("doc_id", "text", "lang", "source", F.md5("text").alias("_d"))
-    newest = docs.groupBy("_d").agg(F.max("doc_id").alias("_top"))
+    newest = docs.groupBy("_d").agg(F.max("doc_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    # Only the older rows of repeated texts, ids without their texts, are marked: what occurs once is never moved for this.
+    again = newest.filter("_n > 1").drop("_n")
+    older = docs.select("doc_id", "_d").join(again, "_d").filter("doc_id != _top").select("doc_id", F.lit(True).alias("_old"))
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     cols = [
         F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("chunk_id"),
@@ -48,13 +53,21 @@ def document_chunks(spark: SparkSession, sf_dir: str, embed: bool = False) -> Da
         F.col("source").alias("title"),
         F.col("lang").alias("section"),
         F.lit("upload").alias("doc_type"),
-        F.when(F.col("doc_id") == F.col("_top"), "current").otherwise("superseded").alias("status"),
+        F.when(F.col("_old"), "superseded").otherwise("current").alias("status"),
         F.contains("text", F.lit("|")).alias("is_table_row"),
         F.lit("").alias("context"),
         F.col("doc_id"),
     ]
-    chunks = docs.join(newest, "_d").select(*cols)
-    return chunks.withColumn("embedding", hash_embedding(F.col("text"), DIM)) if embed else chunks
+    return docs.join(older, "doc_id", "left").select(*cols)
+
+
+def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_chunks with `toks`, their content tokens, and embeddings: written once, as an ingest would, and read by all searches."""
+
+    def build() -> DataFrame:
+        return document_chunks(spark, sf_dir).withColumns({"toks": content_tokens(F.col("text")), "embedding": hash_embedding(F.col("text"), DIM)})
+
+    return stored(spark, f"chunks of {sf_dir}", build)
 
 
 def benchmark_questions(spark: SparkSession, sf_dir: str, embed: bool = False) -> DataFrame:

@@ -128,13 +128,13 @@ def doc_of_ref(spark, d):
 
 @query
 def term_stats(spark, d):
-    terms = S.text_index(B.document_chunks(spark, d)).terms
+    terms = S.text_index(B.indexed_chunks(spark, d)).terms
     return terms.select("term", "df", F.round("idf", 5).alias("idf"))
 
 
 @query
 def length_stats(spark, d):
-    return S.text_index(B.document_chunks(spark, d)).totals.select("n", F.round("avg_len", 5).alias("avg_len"))
+    return S.text_index(B.indexed_chunks(spark, d)).totals.select("n", F.round("avg_len", 5).alias("avg_len"))
 
 
 @query
@@ -153,16 +153,16 @@ def embedding_features(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return _hits(S.keyword_search(B.document_chunks(spark, d), B.benchmark_questions(spark, d)))
+    return _hits(S.keyword_search(B.indexed_chunks(spark, d), B.benchmark_questions(spark, d)))
 
 
 @query
 def bm25_current_only(spark, d):
-    return _hits(S.keyword_search(B.document_chunks(spark, d), B.benchmark_questions(spark, d), current_only=True))
+    return _hits(S.keyword_search(B.indexed_chunks(spark, d), B.benchmark_questions(spark, d), current_only=True))
 
 
 def _embedded(spark, d):
-    return B.document_chunks(spark, d, embed=True), B.benchmark_questions(spark, d, embed=True)
+    return B.indexed_chunks(spark, d), B.benchmark_questions(spark, d, embed=True)
 
 
 @query
@@ -409,7 +409,7 @@ def leak_sweep(spark, d):
 @query
 def leak_sweep_hidden(spark, d):
     """The whole sweep over all documents; the texts asked are those of hidden documents with an id divisible by 100."""
-    chunks = B.document_chunks(spark, d, embed=True)
+    chunks = B.indexed_chunks(spark, d)
     groups = chunks.select(F.explode("groups").alias("grp")).distinct()
     return E.sweep_hidden(chunks, groups, HashingEmbedder(B.DIM), G.mentions(chunks), chunks.filter("doc_id % 100 = 0"))
 
