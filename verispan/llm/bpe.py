@@ -5,13 +5,18 @@ keeps the ids of runs already seen, as little-endian 32-bit integers, so that a
 ids are a join of byte strings. White space separates pre-tokens and has no token in
 this vocabulary, so the runs' ids in order are the text's ids.
 
-A long unsplit run is encoded by tree concatenation: leaves of bounded length are encoded
-together by the library's batch call (in one thread, unless TOKENIZERS_PARALLELISM is set:
-tasks already fill the cores), neighbours are joined pairwise up a tree,
-and at each join a window around the seam is encoded again and widened until it shares a
+Long text is encoded by tree concatenation. A text of over LONG_TEXT characters is cut into
+leaves wherever their length ends, not at spaces; the leaves' new runs are encoded together by
+the library's batch call in several threads, and neighbours are joined pairwise up a tree: at
+each join a window around the seam is read again and widened until it agrees with both sides
+on where the run at the seam begins and ends; that run is encoded anew.
+A run itself of over LONG characters has no place where its encoding is known to part. Its
+leaves' tokens are joined likewise: the window is encoded again and widened until it shares a
 whole token with either side. A sequence is the encoding of its text when each adjacent
 pair of its tokens is, and each pair of the joined sequence comes from one of the three
 encodings, so the result is exact.
+What the run table takes for granted of a vocabulary is checked when it is loaded; for one
+that doesn't have it, texts go to the library whole.
 
 Defined results. A null text counts as an empty one: no ids, empty decoded text. Special
 strings inside a text become their special ids, as the library's default. Rows are
@@ -22,9 +27,12 @@ empty result. Memory: one slice of rows, the table of runs and the longest singl
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -34,13 +42,16 @@ from pyspark.sql import DataFrame
 from verispan.llm.common import with_python_columns
 
 VOCABULARY = "word_bpe_49k.json"
-#: Runs of non-space characters up to this long go to the library whole.
-LONG = 2048
-LEAF = 1024
+#: Characters of a text, and of a run of non-space characters, beyond which halves are encoded apart, and of their leaves.
+LONG_TEXT, LEAF_TEXT = 16_384, 8_192
+LONG, LEAF = 2048, 1024
+#: Characters on either side of a seam that are encoded again at first.
 WINDOW = 64
-#: Runs kept with their ids in a worker.
-KEPT_RUNS = 400_000
+#: Runs kept with their ids in each of a worker's two tables.
+KEPT_RUNS = 200_000
 _MARKS = ".,;:!?"
+#: Bytes of text that are encoded at a time, and the library's threads for leaves.
+SLICE, THREADS = 1 << 20, 2
 #: New runs that go to the library as one text.
 _GROUP = 64
 
@@ -48,9 +59,23 @@ _GROUP = 64
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
+#: The pre-tokens of the vocabulary that the run table is made for: a fixed value.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 Token = tuple[int, int, int]
 
 
+@contextmanager
+def threads(many: bool) -> Iterator[None]:
+    """Let the library's batch calls inside run in several threads or in one; it asks the environment at each call."""
+    was = os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if many else "false"
+    try:
+        yield
+    finally:
+        os.environ["TOKENIZERS_PARALLELISM"] = was if was is not None else "false"
+
+
 def path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -58,8 +83,9 @@ def path(name: str = VOCABULARY) -> str:
 
 
 class WordBpe:
-    def __init__(self, file: str, kept: int = KEPT_RUNS, long: int = LONG, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, file: str, kept: int = KEPT_RUNS, long: int = LONG, leaf: int = LEAF, window: int = WINDOW, long_text: int = LONG_TEXT, leaf_text: int = LEAF_TEXT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
@@ -67,10 +93,31 @@ class WordBpe:
         self.tok.no_padding()
         self.file = file
         self.kept, self.long, self.leaf, self.window = kept, long, leaf, window
+        self.long_text, self.leaf_text = long_text, leaf_text
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
+        self.provable = self._has_facts()
+
+    def _has_facts(self) -> bool:
+        """Whether white space parts pre-tokens and has no token, letters and marks are pre-tokens of their own, and case doesn't count."""
+        spec = json.loads(self.tok.to_str())
+        model, pre, norm = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        split = [p for p in pre.get("pretokenizers", [pre]) if p.get("type") == "Split"]
+        steps = [n["type"] for n in norm.get("normalizers", [norm]) if n]
+        return (
+            model["type"] == "BPE"
+            and not model.get("dropout")
+            and spec.get("post_processor") is None
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+            and [p["pattern"].get("Regex") for p in split] == [_PATTERN]
+            and split[0]["behavior"] == "Removed"
+            and split[0]["invert"]
+            and steps == ["NFC", "Replace", "Lowercase"]
+        )
+
     @cached_property
     def raw(self):  # noqa: ANN201
         """The tokenizer without its normalizer, for text that is normalized already."""
@@ -93,15 +140,25 @@ class WordBpe:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """encode() of each text; runs not yet seen are encoded together."""
-        lists = [self._runs(t) if t else [] for t in texts]
+        if not self.provable:
+            found = self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        trees = {i: t for i, t in enumerate(texts) if t and len(t) > self.long_text}
+        lists = [(self._halved(t) if i in trees else self._runs(t)) if t else [] for i, t in enumerate(texts)]
         new: set[str] = set()
         for runs in lists:
             new |= set(runs).difference(self.seen)
         if len(self.seen) + len(new) > self.kept:
-            self.seen.clear()
+            # The table becomes the older one; what is met again comes back from there, the rest goes with the next change.
+            self.older, self.seen = self.seen, {}
             new = set().union(*lists)
+        if self.older:
+            again = new & self.older.keys()
+            self.seen.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new -= again
         long = [x for x in new if len(x) > self.long]
-        self._learn_all(new.difference(long))
+        with threads(bool(trees)):
+            self._learn_all(new.difference(long))
         for x in long:
             self.seen[x] = self._long_run(x)
         out = [b"".join(map(self.seen.__getitem__, runs)) for runs in lists]
@@ -109,6 +166,34 @@ class WordBpe:
             del self.seen[x]
         return out
 
+    def _halved(self, text: str) -> list[str]:
+        """The runs of a long text from those of its leaves."""
+        cuts = [*range(0, len(text), self.leaf_text), len(text)]
+        parts = [(a, b, self._runs(text[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        while len(parts) > 1:
+            joined = [self._join_runs(text, *parts[i], *parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
+            parts = joined + parts[len(joined) * 2 :]
+        return parts[0][2]
+
+    def _join_runs(self, text, a, m, left, m2, b, right):  # noqa: ANN001
+        """The runs of text[a:b] from those of text[a:m] and text[m:b]."""
+        w = self.window
+        while True:
+            lo, hi = max(a, m - w), min(b, m + w)
+            p, q = (a if lo == a else None), (b if hi == b else None)
+            for x in _SPACE.finditer(text, lo, m):
+                p = x.end()
+            if x := _SPACE.search(text, m, hi):
+                q = x.start()
+            if p is not None and q is not None:
+                if p == m or q == m:  # the seam parts no run
+                    return a, b, left + right
+                if left[-1] == text[p:m] and right[0] == text[m:q]:
+                    return a, b, [*left[:-1], text[p:q], *right[1:]]
+                if lo == a and hi == b:
+                    return a, b, self._runs(text[a:b])
+            w *= 2
+
     def _learn_all(self, new: set[str]) -> None:
         """Ids of new runs. A word with a capital or with marks after it is a known word and known marks.
 
@@ -160,7 +245,8 @@ class WordBpe:
     def _tree(self, text: str) -> list[Token]:
         """The tokens of a normalized text with no special strings, by joining halves."""
         cuts = [*range(0, len(text), self.leaf), len(text)]
-        leaves = self.raw.encode_batch([text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
+        with threads(len(cuts) > 2):
+            leaves = self.raw.encode_batch([text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
         parts = [
             (a, b, [(i, x + a, y + a) for i, (x, y) in zip(e.ids, e.offsets, strict=True)])
             for a, b, e in zip(cuts[:-1], cuts[1:], leaves, strict=True)
@@ -241,7 +327,7 @@ def encode(docs: DataFrame, file: str | None = None, text: str = "text", ids: st
         enc = encoder(file)
         return lambda texts: [pa.array(enc.encode_all(texts), pa.binary())]
 
-    return with_python_columns(docs, load, text, f"`{ids}` binary")
+    return with_python_columns(docs, load, text, f"`{ids}` binary", size=SLICE)
 
 
 @lru_cache(maxsize=4)
@@ -267,4 +353,4 @@ def decode(df: DataFrame, file: str | None = None, ids: str = "ids", decoded: st
         known = names(file)
         return lambda found: [pa.array([decode_ids(known, x or b"") for x in found], pa.string())]
 
-    return with_python_columns(df, load, ids, f"`{decoded}` string", "binary")
+    return with_python_columns(df, load, ids, f"`{decoded}` string", "binary", SLICE)
