@@ -4,11 +4,12 @@ The base finds emails, IPv4 addresses, card numbers and phone numbers by fixed p
 checks; it scans in linear time. The model adds what the patterns miss, such as phone
 numbers without a plus sign or addresses with bracketed dots. It is trained here, in numpy
 alone, from labelled spans that a seeded generator writes (no corpus text enters), so its
-weights are the same on every machine and run. It tags overlapping windows of the whole
-text; a span counts when it lies inside a window, the window where it is most central has
-the say, and spans must pass their kind's own check and touch no base span. Where a span
-touches an inner edge and no window holds it whole, a wider window around it is tagged, of
-double the width each time, until the span ends inside or the text does.
+weights are the same on every machine and run. It scores overlapping windows of the whole
+text; where windows overlap their scores are averaged, a place counting the more the
+further it is from its window's edge, and the CRF decodes each run of windows once over all
+its length. So a span of any length is found whole, wherever it stands. A span that reaches
+the end of such a run takes the windows beyond it in, until it ends inside or the text does.
+Spans must pass their kind's own check and touch no base span.
 
 A window without a digit or an @ is not tagged: no kind's check passes without one, so
 nothing is lost by that.
@@ -16,7 +17,8 @@ nothing is lost by that.
 Defined results. A null text counts as an empty one. Offsets are code points, ends are
 exclusive. Rows are independent; null or repeated ids, repeated rows and extra columns
 pass through, and a column named as a new one gives way. An empty table gives an empty
-result. Memory: one slice of rows and one batch of windows, or the widest window.
+result. Memory: one slice of rows, the scores
+of its windows, and one batch of windows.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def joined(spans: list[Span]) -> str:
 
 N_TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 N_CHARS = 98  # printable ASCII, other letters, everything else, padding
-EMBED, HIDDEN = 12, 16
+EMBED, HIDDEN = 12, 24
 WINDOW, STRIDE = 96, 48
 _BATCH = 1024
 _NEVER = -1e4
@@ -151,22 +153,34 @@ class Tagger:
         h = np.concatenate([self._lstm(d, codes, False)[0] for d in "fb"], axis=2)
         return h @ self.p["O"] + self.p["o"]
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """The best tags (rows, steps) of the CRF."""
-        e, t = self.emissions(codes), self.p["T"] + self.mask
-        steps, n, _ = e.shape
-        score = e[0].copy()
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of the CRF for each run of scores (steps, tags); runs are decoded side by side, longest first."""
+        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+        sizes = np.array([len(scores[i]) for i in order])
+        most, n, t = int(sizes[0]) if len(sizes) else 0, len(order), self.p["T"] + self.mask
+        e = np.zeros((most, n, N_TAGS), np.float32)
+        for row, i in enumerate(order):
+            e[: sizes[row], row] = scores[i]
+        alive = n - np.searchsorted(sizes[::-1], np.arange(most), "right")
+        score = e[0].copy() if n else np.zeros((0, N_TAGS), np.float32)
         score[:, 2::2] += _NEVER
-        back = np.empty((steps, n, N_TAGS), np.int8)
-        for k in range(1, steps):
-            x = score[:, :, None] + t[None]
-            back[k] = x.argmax(1)
-            score = x.max(1) + e[k]
-        tags = np.empty((n, steps), np.int8)
-        tags[:, -1] = score.argmax(1)
-        for k in range(steps - 1, 0, -1):
-            tags[:, k - 1] = back[k][np.arange(n), tags[:, k]]
-        return tags
+        back = np.empty((most, n, N_TAGS), np.int8)
+        for k in range(1, most):
+            m = alive[k]
+            x = score[:m, :, None] + t[None]
+            back[k, :m] = x.argmax(1)
+            score[:m] = x.max(1) + e[k, :m]
+        tags = np.zeros((n, most), np.int8)
+        now = score.argmax(1).astype(np.int8)
+        for k in range(most - 1, -1, -1):
+            m = alive[k]
+            tags[:m, k] = now[:m]
+            if k:
+                now[:m] = back[k, np.arange(m), now[:m]]
+        out: list[np.ndarray] = [tags[0:0]] * n
+        for row, i in enumerate(order):
+            out[i] = tags[row, : sizes[row]]
+        return out
 
     def step(self, codes: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The CRF's negative log-likelihood per row, and its gradients."""
@@ -239,15 +253,33 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         d += next(str(x) for x in range(10) if luhn(d + str(x)))
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
+    def sign(c: str) -> str:
+        """A sign as it is, or hidden in brackets or between spaces."""
+        if r.random() < 0.4:
+            return c
+        pad = pick(["", " "])
+        return pad + pick(["{}", "[{}]", "({})", "<{}>", "{{{}}}"]).format(c) + pad
+
     def email() -> str:
-        at, dot = pick([("@", "."), ("@", "."), (" @ ", "."), ("@", " . "), ("[@]", "[.]"), ("@", "[.]")])
-        name = pick(["{}", "{}.{}", "{}_{}", "{}{}9"]).format(word(), word())
+        at, dot = sign("@"), sign(".")
+        name = pick(["{}", "{}.{}", "{}_{}", "{}{}9", "{}-{}"]).format(word(), word())
+        if r.random() < 0.3:
+            name += num(int(pick([1, 2, 4])))
         return f"{name}{at}{word()}{dot}{pick(['com', 'org', 'net', 'example', 'de'])}"
 
     def ip() -> str:
-        return pick([".", ".", "[.]", " . "]).join(str(int(x)) for x in r.integers(0, 256, 4))
+        return pick([sign("."), sign("."), ". "]).join(str(int(x)) for x in r.integers(0, 256, 4))
 
     def phone() -> str:
+        if r.random() < 0.7:  # groups of digits after a prefix or none, with one separator or a second one at the end
+            while True:
+                sep = pick([" ", " ", " ", "-", ".", "/"])
+                end = sep if r.random() < 0.7 else pick(["-", " "])
+                lead = pick(["", "", "", f"00{num(2)}{sep}", f"0{num(2)}{sep}", f"({num(3)}) ", f"({num(3)})", f"{num(1)}{sep}", f"{num(2)} "])
+                groups = [num(int(pick([2, 3, 3, 4, 4]))) for _ in range(int(pick([2, 3, 3, 4])))]
+                s = lead + sep.join(groups[:-1]) + end + groups[-1]
+                if plausible("phone", s):
+                    return s
         a, b, c = num(3), num(3), num(4)
         form = ["+1 ({}) {}-{}", "+1 {} {} {}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "1 ({}) {}-{}", "00{} {} {}", "+44 {} {} {}"]
         return pick(form).format(a, b, c)
@@ -284,9 +316,11 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         for s, kind in parts:
             if text:
                 text += pick([" ", " ", " ", "\n", ": "])
+            before, after = pick([("", "")] * 4 + [("(", ")"), ("<", ">"), ('"', '"'), ("", ","), ("", "."), ("", ";"), ("=", "")]) if kind else ("", "")
+            text += before
             if kind:
                 spans.append((kind, len(text), len(text) + len(s)))
-            text += s
+            text += s + after
         out.append((text, spans))
     return out
 
@@ -306,7 +340,7 @@ def windows_of(batch: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndar
 
 
 #: Training: fixed numbers of invented lines, whatever the corpus.
-STEPS, ROWS, RATE = 260, 48, 0.02
+STEPS, ROWS, RATE = 560, 80, 0.015
 
 
 def train(steps: int = STEPS, rows: int = ROWS, seed: int = 7) -> Tagger:
@@ -351,7 +385,7 @@ def plausible(kind: str, s: str) -> bool:
     d = _digits(s)
     if kind == "email":
         head, _, tail = s.partition("@")
-        return "@" in s and bool(re.search(r"[A-Za-z0-9]\W{0,2}\Z", head)) and bool(re.search(r"[A-Za-z0-9][\s\[(]{0,2}\.[\s\])]{0,2}[A-Za-z]{2,}\Z", tail))
+        return "@" in s and bool(re.search(r"[A-Za-z0-9]\W{0,2}\Z", head)) and bool(re.search(r"[A-Za-z0-9][\s\[({<]{0,2}\.[\s\])}>]{0,2}[A-Za-z]{2,}\Z", tail))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(x) < 4 and int(x) <= 255 for x in parts) and s.count(".") == 3
@@ -361,101 +395,87 @@ def plausible(kind: str, s: str) -> bool:
     return 8 <= len(d) <= 15 and len(groups) >= 3 and s[-1].isdigit() and not re.search(r"[A-Za-z]", s) and not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", s)
 
 
-Found = tuple[int, str, int, int]
-
-
-def _wider(model: Tagger, codes: dict[int, np.ndarray], cut: dict[int, list[tuple[int, int]]], found: list[list[Found]]) -> None:
-    """Add to found the spans of which windows saw a part only. cut: (start, end) of such parts by text."""
-    todo = {i: [x for x in parts if not any(a <= x[0] and x[1] <= b for _, _, a, b in found[i])] for i, parts in cut.items()}
-    width = WINDOW
-    while any(todo.values()):
-        width *= 2
-        where: list[tuple[int, int, int, int]] = []
-        for i, parts in todo.items():
-            merged: list[list[int]] = []
-            for a, b in sorted(parts):
-                # Parts that overlap, as those of one long span do, are one.
-                if merged and a < merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            where += [(i, a, b, max(0, (a + b - max(width, 2 * (b - a))) // 2)) for a, b in merged]
-        todo = {i: [] for i in todo}
-        at = 0
-        while at < len(where):
-            # A batch has about as many characters as one of plain windows.
-            some = where[at : at + max(1, _BATCH * WINDOW // width)]
-            at += len(some)
-            sizes = [max(width, 2 * (b - a)) for _, a, b, _ in some]
-            rows = np.full((len(some), max(sizes)), N_CHARS - 1, np.int16)
-            for row, size, (i, _, _, lo) in zip(rows, sizes, some, strict=True):
-                part = codes[i][lo : lo + size]
-                row[: len(part)] = part
-            for tags, size, (i, a, b, lo) in zip(model.decode(rows), sizes, some, strict=True):
-                n, end = len(codes[i]), min(lo + size, len(codes[i]))
-                for k, x, y in _spans_of(tags):
-                    x, y = lo + x, lo + y
-                    if y <= a or b <= x or y > n:
-                        continue
-                    if (x == lo and lo > 0) or (y >= end and end < n):
-                        todo[i].append((min(a, x), max(b, min(y, end))))
-                    else:
-                        found[i].append((-min(x - lo if lo else size, end - y if end < n else size), KINDS[k], x, y))
+#: How much a place in a window counts, by its distance from the nearer edge.
+_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
-    """What the model finds in whole texts; windows of all texts are tagged in batches."""
-    where: list[tuple[int, int]] = []
-    rows: list[np.ndarray] = []
-    found: list[list[Found]] = [[] for _ in texts]
-    codes_of: dict[int, np.ndarray] = {}
-    cut: dict[int, list[tuple[int, int]]] = {}
-
-    def flush() -> None:
-        if not rows:
-            return
-        for (i, at), tags in zip(where, model.decode(np.stack(rows)), strict=True):
-            n = len(codes_of[i])
-            for k, a, b in _spans_of(tags) if tags.any() else []:
-                if at + b > n:
-                    continue
-                # A span that touches an inner edge of its window may go on beyond it.
-                if (a == 0 and at > 0) or (b == WINDOW and at + WINDOW < n):
-                    cut.setdefault(i, []).append((at + a, at + b))
-                    continue
-                found[i].append((-min(a if at else WINDOW, WINDOW - b if at + WINDOW < n else WINDOW), KINDS[k], at + a, at + b))
-        rows.clear()
-        where.clear()
+def _scored(model: Tagger, places: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """The scores (places, tags) of windows: (codes of the text, first place) each."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(places), _BATCH):
+        some = places[at : at + _BATCH]
+        rows = np.full((len(some), WINDOW), N_CHARS - 1, np.int16)
+        for row, (c, lo) in zip(rows, some, strict=True):
+            part = c[lo : lo + WINDOW]
+            row[: len(part)] = part
+        out += list(model.emissions(rows).transpose(1, 0, 2))
+    return out
+
 
+def _runs_of(windows: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of each run of consecutive numbers."""
+    out: list[tuple[int, int]] = []
+    for w in windows:
+        if out and w == out[-1][1] + 1:
+            out[-1] = (out[-1][0], w)
+        else:
+            out.append((w, w))
+    return out
+
+
+def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
+    """What the model finds in whole texts; windows of all texts are scored in batches, runs of windows decoded once each."""
+    codes: dict[int, np.ndarray] = {}
+    held: dict[int, dict[int, np.ndarray]] = {}  # scores of a text's windows; window w begins at w * STRIDE
+    todo: list[tuple[int, int]] = []
     for i, text in enumerate(texts):
         if not re.search(r"[0-9@]", text):
             continue
-        c = codes_of[i] = _codes(text)
+        c = codes[i] = _codes(text)
         signs = np.flatnonzero(((c >= 16) & (c < 26)) | (c == 32))
         last = -1
         for s in signs.tolist():
-            # Windows begin at multiples of STRIDE; those that hold this sign and are not taken yet.
-            lo = max(0, (s - WINDOW) // STRIDE + 1, last + 1)
-            for w in range(lo, s // STRIDE + 1):
-                part = c[w * STRIDE : w * STRIDE + WINDOW]
-                row = np.full(WINDOW, N_CHARS - 1, np.int16)
-                row[: len(part)] = part
-                rows.append(row)
-                where.append((i, w * STRIDE))
-                last = w
-                if len(rows) == _BATCH:
-                    flush()
-    flush()
-    _wider(model, codes_of, cut, found)
-    out: list[list[Span]] = []
-    for text, spans in zip(texts, found, strict=True):
-        taken: list[Span] = []
-        for _, kind, a, b in sorted(spans):
+            # Windows that hold this sign and are not taken yet.
+            todo += [(i, w) for w in range(max(0, (s - WINDOW) // STRIDE + 1, last + 1), s // STRIDE + 1)]
+            last = s // STRIDE
+        held[i] = {}
+    found: dict[int, list[Span]] = {i: [] for i in codes}
+    while todo:
+        for (i, w), e in zip(todo, _scored(model, [(codes[i], w * STRIDE) for i, w in todo]), strict=True):
+            held[i][w] = e
+        changed = sorted({i for i, _ in todo})
+        todo = []
+        where, scores = [], []
+        for i in changed:
+            found[i] = []
+            for first, last in _runs_of(sorted(held[i])):
+                lo, hi = first * STRIDE, min(last * STRIDE + WINDOW, len(codes[i]))
+                total, weight = np.zeros((hi - lo, N_TAGS), np.float32), np.zeros((hi - lo, 1), np.float32)
+                for w in range(first, last + 1):
+                    at = w * STRIDE - lo
+                    n = min(WINDOW, hi - lo - at)
+                    total[at : at + n] += held[i][w][:n] * _WEIGHT[:n, None]
+                    weight[at : at + n, 0] += _WEIGHT[:n]
+                where.append((i, first, last, lo, hi))
+                scores.append(total / weight)
+        for (i, first, last, lo, hi), tags in zip(where, model.decode(scores), strict=True):
+            for k, a, b in _spans_of(tags) if tags.any() else []:
+                found[i].append((KINDS[k], lo + a, lo + b))
+                if a == 0 and lo > 0 and first - 1 not in held[i]:
+                    todo.append((i, first - 1))
+                if lo + b == hi < len(codes[i]) and last + 1 not in held[i]:
+                    todo.append((i, last + 1))
+        todo = sorted(set(todo))
+    out: list[list[Span]] = [[] for _ in texts]
+    for i, spans in found.items():
+        text = texts[i]
+        for kind, a, b in spans:
             while a < b and text[a].isspace():
                 a += 1
-            if plausible(kind, text[a:b]) and not any(x < b and a < y for _, x, y in taken):
-                taken.append((kind, a, b))
-        out.append(taken)
+            while a < b and text[b - 1].isspace():
+                b -= 1
+            if plausible(kind, text[a:b]):
+                out[i].append((kind, a, b))
     return out
 
 
