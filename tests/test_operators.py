@@ -136,6 +136,106 @@ def test_workspaces(spark):
         w.ask("workspace2", "x")
 
 
+def test_tables_in_workspaces_over_http(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from verispan.models import FunctionLLM
+    from verispan.service import serve
+
+    said = lambda system, user: "SELECT sum(amount) AS total FROM t_2024_sales" if system.startswith("Tables") else "The total is 7 [1]."
+    server = serve(Workspaces(spark, llm=FunctionLLM(said)), 0, "secret")
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def call(method, path, body=None, token="secret"):
+        request = urllib.request.Request(base + path, body, {"Authorization": f"Bearer {token}"}, method=method)
+        try:
+            with urllib.request.urlopen(request, timeout=120) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    assert call("GET", "/healthz", token="")[0] == 200 and call("GET", "/describe", token="bad")[0] == 401
+    assert call("POST", "/workspaces/workspace9/files?name=2024%20sales.csv", b"Id,Amount\n1,3\n2,4\n")[0] == 200
+    assert call("POST", "/workspaces/workspace9/files?name=empty.csv", b"Id,Amount\n")[0] == 422
+    assert call("GET", "/workspaces/workspace9")[1]["tables"] == {"t_2024_sales": {"id": "bigint", "amount": "bigint"}}
+    got = call("POST", "/ask", json.dumps({"workspace": "workspace9", "question": "What is the total?", "pipelines": ["sql"]}).encode())
+    assert got[0] == 200 and got[1][0]["verdict"] == "answered" and "7" in got[1][0]["text"]
+    assert call("POST", "/ask", b"nothing")[0] == 400 and call("GET", "/nowhere")[0] == 404
+    assert call("DELETE", "/workspaces/workspace9")[0] == 200 and call("GET", "/workspaces/workspace9")[0] == 410
+    server.shutdown()
+
+
+def test_runaway_statement_is_stopped(spark):
+    from verispan.operators.guard import SqlGuard, SqlRejected, with_budget
+
+    guard = SqlGuard(spark, {"big": spark.range(400_000).withColumnRenamed("id", "a"), "few": spark.range(40_000).withColumnRenamed("id", "a")})
+    with pytest.raises(SqlRejected, match="more work"):
+        guard.run("SELECT count(*) FROM big x, big y, big z WHERE x.a + y.a + z.a = -1", [])
+    # What passes the estimate is stopped by the time that it takes.
+    df = guard.run("SELECT count(*) FROM big x, few y WHERE x.a + y.a = -1", [])
+    with pytest.raises(Exception, match="(?i)cancel"):
+        with_budget(spark, df, 1.0)
+
+
+def test_pages_are_read_and_verified(engine):
+    q = "How long are vials stored at 4 degrees?"
+    engine.renderer = lambda ref: b"png"
+    engine.llm = ScriptedLLM(["Vials are stored for 36 hours [1].", "", ""])
+    got = engine.multimodal(q, ["quality"])
+    assert got["verdict"] == "answered" and "36 hours" in got["text"] and got["refs"] == ["SOP-001#limits"]
+    engine.llm = ScriptedLLM(["Vials are stored for 99 hours [1].", "", ""])
+    got = engine.multimodal(q, ["quality"])
+    assert got["verdict"] == "answered" and "99" not in got["text"]
+    engine.llm = engine.renderer = None
+
+
+def test_traces_and_evaluation_of_all_pipelines(engine, spark):
+    from verispan.engine import evaluate
+    from verispan.models import FunctionLLM
+
+    engine.tables = {"batch": spark.createDataFrame([("b1", 5)], "id string, units long")}
+    rows = [("1", "How long are vials stored at 4 degrees?", "lookup", "answered", [["36 hours"]], ["SOP-001#limits"]), ("2", "What is the discount for Northwind?", "forbidden", "access_denied", [], [])]
+    q = spark.createDataFrame([(i, t, k, "", v, ["quality"], f, ["17"], r, []) for i, t, k, v, f, r in rows], "qid string, text string, type string, hypothesis string, expected_verdict string, groups array<string>, key_facts array<array<string>>, secret_facts array<string>, section_refs array<string>, table_refs array<string>")
+    q = q.withColumn("embedding", engine.embedder.embed(F.col("text"))).withColumn("expected_answer", F.lit("x"))
+    acl = engine.chunks.select("document_id", "groups").distinct()
+    engine.llm = FunctionLLM(lambda system, user: "NO_SQL" if system.startswith("Tables") else '{"action": "finish"}')
+    out = evaluate(engine, ["naive", "hybrid", "sql", "agentic"], q, acl).cache()
+    assert {(r["pipeline"], r["qid"]) for r in out.collect()} == {(p, i) for p in ("naive", "hybrid", "sql", "agentic") for i in "12"}
+    got = {(r["pipeline"], r["qid"]): r for r in out.collect()}
+    assert not any(r["leaked"] for r in got.values()) and all(r["ms"] > 0 for r in got.values())
+    assert got["hybrid", "1"]["grade"] == "correct" and got["hybrid", "2"]["verdict_ok"] and got["sql", "1"]["grade"] == "wrong"
+    engine.llm = None
+    assert evaluate(engine, ["hybrid", "sql"], q, acl).select("pipeline").distinct().count() == 1
+    answers, events, receipts = engine.traced("naive", q)
+    assert events.filter("event_json LIKE '%Northwind%'").count() == 0 and events.filter("admin LIKE '%Northwind%'").count() == 1
+    assert R.verify_chain(events, receipts).filter("ok").count() == 2
+    judged = FunctionLLM(lambda system, user: "partial, I'd say")
+    assert {r["grade"] for r in evaluate(engine, ["hybrid"], q, acl, judge=judged).collect()} == {"partial", None}
+
+
+def test_agent_reads_nothing_restricted(engine):
+    engine.llm = ScriptedLLM([json.dumps({"action": "read", "input": "MEMO-01"}), '{"action": "finish"}'])
+    got = engine.agent("What is the discount for Northwind?", ["quality"])
+    assert got["verdict"] != "answered" and got["refs"] == []
+    engine.llm = None
+
+
+def test_approximate_search_finds_nine_of_ten(spark):
+    from verispan.operators import ann
+    from verispan.plans import bindings as B
+
+    d = "/root/testdata/sf0.01"
+    chunks, questions = B.vector_chunks(spark, d), B.vector_questions(spark, d)
+    found = {(r["qid"], r["chunk_id"]) for r in ann.search(ann.build(chunks), questions).hits.collect()}
+    true = {(r["qid"], r["chunk_id"]) for r in S.vector_search(chunks, questions).hits.collect()}
+    assert len(found & true) / len(true) >= 0.9
+    index = ann.build(chunks.limit(0))
+    assert ann.search(index, questions).hits.count() == 0
+
+
 def test_csv(spark, tmp_path):
     f = tmp_path / "t.csv"
     f.write_text("Id,Amount (EUR),Region\n1,2.5,north\n2,,\n")

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.models import ANSWERED, DENIED, FAILED, INSUFFICIENT, LLM, MESSAGES, HashingEmbedder, PageRenderer, Reranker
+from verispan.models import ANSWERED, DENIED, FAILED, INSUFFICIENT, LLM, MESSAGES, HashingEmbedder, Metered, PageRenderer, Reranker
 from verispan.operators import answer as A
 from verispan.operators import graph as G
+from verispan.operators import modelled as M
 from verispan.operators import search as S
+from verispan.operators import trace as R
 from verispan.operators.guard import SqlAccessDenied, SqlGuard, SqlRejected, as_text, described, with_budget
 from verispan.operators.ingest import embedding_text
+from verispan.session import settled
 
 PAGES, EVIDENCE, MAX_STEPS, SQL_SECONDS = 3, 12, 4, 30.0
 
@@ -35,6 +40,8 @@ class Engine:
     renderer: PageRenderer | None = None
     reveal: bool = True
     strict_verify: bool = False
+    #: Let the model draft and verify the retrieval pipelines' answers too.
+    model_answers: bool = False
 
     def ask_table(self, texts: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
         """Questions from (qid, text, groups)."""
@@ -54,8 +61,25 @@ class Engine:
         return base
 
     def answer(self, pipeline: str, questions: DataFrame) -> DataFrame:
-        """(qid, text, verdict, citations, retrieved_refs, verifier_changed, support) of a retrieval pipeline."""
-        return A.answer(questions, self.hits(pipeline, questions), self.chunks, reveal=self.reveal)
+        """(qid, text, verdict, citations, retrieved_refs, verifier_changed, support, withheld) of a retrieval pipeline."""
+        return self._answered(questions, settled(self.hits(pipeline, questions), "hits"))
+
+    def _answered(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
+        if self.llm is None or not self.model_answers:
+            return A.answer(questions, hits, self.chunks, reveal=self.reveal)
+        drafts = M.generate(questions, hits, self.chunks, self.llm)
+        return A.answer(questions, hits, self.chunks, drafts, self.reveal, check=partial(M.verify, model=self.llm))
+
+    def traced(self, pipeline: str, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(answers, events, receipts): the answers with a trace of each, a bundle to a question, its receipts chained."""
+        if pipeline == "naive":
+            found = S.vector_search(self.chunks, questions, S.TOP, "post")
+            hits, removed = settled(found.hits, "hits"), found.removed
+        else:
+            hits, removed = settled(self.hits(pipeline, questions), "hits"), None
+        answers = settled(self._answered(questions, hits), "answers")
+        events = settled(R.of_answers(questions, hits, answers, removed), "events")
+        return answers, events, R.chain(events)
 
     def page_refs(self, questions: DataFrame) -> DataFrame:
         """(qid, ref): of each question's multimodal hits the first distinct pages that an image would be made of."""
@@ -157,12 +181,27 @@ class Engine:
         got = A.answer(asked, hits, chunks, reveal=self.reveal).first()
         return _result(got["verdict"], got["text"] if got["verdict"] == ANSWERED else None, refs=list(got["retrieved_refs"]), support=got["support"])
 
-    def read_pages(self, question: str, groups: Sequence[str]) -> list[str]:
-        """What a model reads on the images of the first pages found."""
+    def read_pages(self, question: str, groups: Sequence[str]) -> list[tuple[str, str]]:
+        """(ref, text) of what a model reads on the images of the first pages found; what the page's own text doesn't hold is left out."""
         if self.llm is None or self.renderer is None:
             return []
         refs = [r["ref"] for r in self.page_refs(self.ask_table([("q", question, groups)])).orderBy("rank").collect()]
-        return [self.llm.complete("Answer from the page.", question, images=[image]).text for r in refs if (image := self.renderer(r))]
+        held = {r["ref"]: r["text"] for r in S.by_ref(self.chunks, refs, groups).select("ref", "text").collect()}  # PAGES pages at most
+        out = []
+        for ref in refs:
+            image = self.renderer(ref) if ref in held else None
+            said = self.llm.complete("Answer from the page in a sentence; cite it as [1].", question, images=[image]).text.strip() if image else ""
+            if said and self._supported(said, held[ref]):
+                out.append((ref, said))
+        return out
+
+    def multimodal(self, question: str, groups: Sequence[str]) -> dict:
+        """An answer read from pages where their texts hold it, else that of the common tail over hits with table rows."""
+        if pages := self.read_pages(question, groups):
+            text = " ".join(re.sub(r"\[\d+\]", f"[{i}]", said) for i, (_, said) in enumerate(pages, 1))
+            return _result(ANSWERED, text, refs=[ref for ref, _ in pages], support=1.0)
+        got = self.answer("multimodal", self.ask_table([("q", question, groups)])).first()
+        return _result(got["verdict"], got["text"], refs=list(got["retrieved_refs"]), support=got["support"])
 
     def guarded(self, run: Callable[[], dict]) -> dict:
         """Any error becomes a verdict; its type is public, its message is the administrators'."""
@@ -195,13 +234,47 @@ def build_engine(spark: SparkSession, documents: DataFrame, embedder=None, **opt
     return Engine(spark, chunks, embedder, **options)
 
 
-def evaluate(engine: Engine, pipelines: Sequence[str], questions: DataFrame, acl: DataFrame) -> DataFrame:
-    """Results of all retrieval pipelines over all questions, one row for each of both."""
+RETRIEVAL, BY_MODEL = ("naive", "hybrid", "graph", "multimodal"), ("sql", "agentic")
+_ANSWERS = "qid string, text string, verdict string, citations array<struct<n:int,kind:string,ref:string>>, retrieved_refs array<string>, verifier_changed boolean, support double"
+
+
+def _one_by_one(engine: Engine, pipeline: str, questions: DataFrame) -> DataFrame:
+    """Answers of a pipeline that talks to a model for each question; the set of questions is a golden set's."""
+    rows = []
+    for q in questions.select("qid", "text", "groups").collect():
+        got = engine.guarded(partial(engine.sql if pipeline == "sql" else engine.agent, q["text"], q["groups"]))
+        rows.append((q["qid"], got["text"], got["verdict"], [], got.get("refs", []), False, got.get("support")))
+    return engine.spark.createDataFrame(rows, _ANSWERS)
+
+
+def evaluate(engine: Engine, pipelines: Sequence[str], questions: DataFrame, acl: DataFrame, judge: LLM | None = None) -> DataFrame:
+    """Results of all pipelines over all questions, one row for each of both, with time and cost per question.
+
+    Pipelines that need a model are left out where there is none. Traces of retrieval pipelines are
+    searched for leaks, and their chains are verified: a broken one stops the run.
+    """
     from verispan.operators.evaluate import score
 
-    out = None
+    questions = settled(questions, "questions")
+    n, out = max(1, questions.count()), None
     for p in pipelines:
-        got = engine.answer(p, questions)
-        rows = score(questions, got, acl).withColumn("pipeline", F.lit(p)).withColumns({"ms": F.lit(0.0), "cost_usd": F.lit(0.0)})
+        if p in BY_MODEL and engine.llm is None:
+            continue
+        plain, engine.llm = engine.llm, engine.llm and Metered(engine.llm)
+        began, trace = time.perf_counter(), None
+        try:
+            if p in BY_MODEL:
+                answers = _one_by_one(engine, p, questions)
+            else:
+                answers, events, receipts = engine.traced(p, questions)
+                bad = R.verify_chain(events, settled(receipts, "receipts")).filter("NOT ok").first()
+                if bad:
+                    raise ValueError(f"the trace of {bad['bundle_id']} does not verify: {bad['reason']}")
+                trace = events.filter("sequence = 2").select(F.col("bundle_id").alias("qid"), F.get_json_object("event_json", "$.payload").alias("payload"))
+            took, spent = (time.perf_counter() - began) * 1000 / n, engine.llm.spent[2] / n if engine.llm else 0.0
+        finally:
+            engine.llm = plain
+        grades = M.judge(questions, answers, judge) if judge else None
+        rows = score(questions, answers, acl, trace, grades=grades).withColumn("pipeline", F.lit(p)).withColumns({"ms": F.lit(took), "cost_usd": F.lit(spent)})
         out = rows if out is None else out.unionByName(rows)
     return out

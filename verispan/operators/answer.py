@@ -113,15 +113,16 @@ def numbered_sources(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return held.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]), "\n\n").alias("sources"))
 
 
-def answer(questions: DataFrame, hits: DataFrame, chunks: DataFrame, drafts: DataFrame | None = None, reveal: bool = True, kind: str = "chunk") -> DataFrame:
+def answer(questions: DataFrame, hits: DataFrame, chunks: DataFrame, drafts: DataFrame | None = None, reveal: bool = True, kind: str = "chunk", check=verify) -> DataFrame:  # noqa: ANN001
     """The common tail: draft, then verify or decide why there is nothing; an unsupported draft is withheld.
 
-    drafts: (qid, draft, insufficient), extractive by default; a model's drafts fit in here.
-    Returns (qid, text, verdict, citations, retrieved_refs, verifier_changed, support).
+    drafts: (qid, draft, insufficient), extractive by default; a model's drafts fit in here. check: a verifier
+    such as verify. Returns (qid, text, verdict, citations, retrieved_refs, verifier_changed, support, withheld);
+    withheld, an unsupported draft, is for administrators.
     """
     hits = settled(hits, "hits")
     drafts = settled(extract(questions, hits, chunks) if drafts is None else drafts, "drafts")
-    checked = verify(drafts.filter("NOT insufficient"), hits, chunks)
+    checked = check(drafts.filter("NOT insufficient"), hits, chunks)
     # Only questions without a draft need the profile that ignores access.
     open_ = questions.join(drafts.filter("insufficient").select("qid"), "qid", "left_semi")
     none = empty_verdict(access_profile(chunks, open_), open_, reveal).withColumnRenamed("verdict", "why")
@@ -140,4 +141,5 @@ def answer(questions: DataFrame, hits: DataFrame, chunks: DataFrame, drafts: Dat
         F.coalesce("retrieved_refs", F.array().cast("array<string>")).alias("retrieved_refs"),
         (F.col("verdict") == UNVERIFIED).alias("verifier_changed"),
         F.when(~F.col("insufficient"), F.col("support")).alias("support"),
+        F.when(F.col("verdict") == UNVERIFIED, F.col("draft")).alias("withheld"),
     )

@@ -49,10 +49,16 @@ def leaks(questions: DataFrame, answers: DataFrame, acl: DataFrame, trace: DataF
     return out.select("qid", F.coalesce(detail, F.lit("")).alias("detail"))
 
 
-def score(questions: DataFrame, answers: DataFrame, acl: DataFrame, trace: DataFrame | None = None, judge=grade) -> DataFrame:  # noqa: ANN001
-    """One row per answer: verdict_ok, grade, recall, leaked and so on. A right figure without its table is luck, and wrong."""
+def score(questions: DataFrame, answers: DataFrame, acl: DataFrame, trace: DataFrame | None = None, judge=grade, grades: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """One row per answer: verdict_ok, grade, recall, leaked and so on. A right figure without its table is luck, and wrong.
+
+    Grades come from judge, a Column function of facts and text, or from grades (qid, grade), such as a model's.
+    """
     rows = questions.join(answers, "qid", "inner") if "text" not in questions.columns else questions.withColumnRenamed("text", "question").join(answers, "qid")
     rows = rows.join(leaks(questions, answers, acl, trace), "qid")
+    if grades is not None:
+        rows = rows.join(grades.select("qid", F.col("grade").alias("_grade")), "qid", "left")
+        judge = lambda facts, text: F.coalesce("_grade", F.lit("wrong"))
     expects = F.col("expected_verdict") == "answered"
     wanted = F.concat("section_refs", "table_refs")
     first = F.when(expects, F.when(F.col("verdict") == "answered", judge(F.col("key_facts"), F.col("text"))).otherwise("wrong"))
@@ -121,36 +127,38 @@ def hypotheses(results: DataFrame) -> DataFrame:
 
 
 def gate(results: DataFrame, baseline: DataFrame | None = None, human: tuple[int, int] | None = None) -> DataFrame:
-    """(condition, status, detail) rows. Types without questions pass; what was not run is pending."""
-    spark = results.sparkSession
-    status = lambda bad: F.when(bad, "fail").otherwise("pass")
-    text = lambda *cs: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in cs])
-    parts = [results.agg(F.count_if("leaked").alias("n")).select(F.lit("leakage is 0").alias("condition"), status(F.col("n") > 0).alias("status"), text(F.col("n"), " leaks").alias("detail"))]
-    for name, kind, want in (("forbidden questions are denied", "forbidden", "access_denied"), ("out-of-scope questions are insufficient", "out_of_scope", "insufficient_evidence")):
-        got = results.filter(F.col("type") == kind).agg(F.count_if(F.col("verdict") == want).alias("ok"), F.count(F.lit(1)).alias("n"))
-        parts.append(got.select(F.lit(name), status(F.col("ok") < F.col("n")), text(F.col("ok"), " of ", F.col("n"))))
-    ran = results.groupBy().agg(F.collect_set("pipeline").alias("ran"))
-    right = F.col("grade") == "correct"
-    hy = results.filter("pipeline = 'hybrid' AND type IN ('lookup', 'superseded')").agg(F.count_if(right).alias("ok"), F.count(F.lit(1)).alias("n")).join(ran)
-    parts.append(
-        hy.select(F.lit(f"hybrid scores at least {HYBRID_MIN} on lookup and superseded"), F.when(~F.array_contains("ran", "hybrid"), "not_applicable").otherwise(status(F.col("ok") < HYBRID_MIN)), text(F.col("ok"), " of ", F.col("n")))
+    """(condition, status, detail) rows. Types without questions pass; what was not run is pending. The results are read once."""
+    right, kind, by = F.col("grade") == "correct", F.col("type"), F.col("pipeline")
+    one = lambda name, verdict: [F.count_if((kind == name) & (F.col("verdict") == verdict)), F.count_if(kind == name)]
+    of = lambda mine: [F.count_if(mine & right), F.count_if(mine)]
+    hybrid, sql = (by == "hybrid") & kind.isin("lookup", "superseded"), (by == "sql") & (kind == "numeric")
+    found = results.agg(
+        F.count_if("leaked").alias("leaks"),
+        *[c.alias(n) for c, n in zip(one("forbidden", "access_denied"), ("denied", "forbidden"), strict=True)],
+        *[c.alias(n) for c, n in zip(one("out_of_scope", "insufficient_evidence"), ("none", "outside"), strict=True)],
+        *[c.alias(n) for c, n in zip(of(hybrid), ("hybrid", "hybrid_of"), strict=True)],
+        *[c.alias(n) for c, n in zip(of(sql), ("sql", "sql_of"), strict=True)],
+        F.count_if(by == "hybrid").alias("ran_hybrid"),
+        F.count_if(by == "sql").alias("ran_sql"),
     )
-    sq = results.filter("pipeline = 'sql' AND type = 'numeric'").agg(F.count_if(right).alias("ok"), F.count(F.lit(1)).alias("n")).join(ran)
-    parts.append(sq.select(F.lit(f"sql scores at least {SQL_MIN} on numeric"), F.when(~F.array_contains("ran", "sql"), "pending").otherwise(status(F.col("ok") < SQL_MIN)), text(F.col("ok"), " of ", F.col("n"))))
-    regression = f"no pipeline is over {REGRESSION_LIMIT} worse than the last accepted run"
-    if baseline is None:
-        parts.append(spark.createDataFrame([(regression, "not_applicable", "no accepted run")], "condition string, status string, detail string"))
-    else:
+    if baseline is not None:
         total = lambda df, c: df.groupBy("pipeline").agg(F.count_if(right).alias(c))
-        worse = total(results, "now").join(total(baseline, "was"), "pipeline").agg(F.count_if(F.col("was") - F.col("now") > REGRESSION_LIMIT).alias("n"))
-        parts.append(worse.select(F.lit(regression), status(F.col("n") > 0), text(F.col("n"), " worse")))
-    agreed = f"the judge agrees with a human on at least {HUMAN_MIN}"
-    row = (agreed, "pending", "no human check") if human is None else (agreed, "pass" if human[0] >= HUMAN_MIN else "fail", f"{human[0]} of {human[1]}")
-    parts.append(spark.createDataFrame([row], "condition string, status string, detail string"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        worse = total(results, "now").join(total(baseline, "was"), "pipeline").agg(F.count_if(F.col("was") - F.col("now") > REGRESSION_LIMIT).alias("worse"))
+        found = found.join(worse)  # one row each
+    status = lambda bad: F.when(bad, "fail").otherwise("pass")
+    text = lambda *cs: F.concat(*[F.lit(c) if isinstance(c, str) and c.startswith(" ") else F.col(c).cast("string") for c in cs])
+    no = F.lit("not_applicable")
+    rows = [
+        ("leakage is 0", status(F.col("leaks") > 0), text("leaks", " leaks")),
+        ("forbidden questions are denied", status(F.col("denied") < F.col("forbidden")), text("denied", " of ", "forbidden")),
+        ("out-of-scope questions are insufficient", status(F.col("none") < F.col("outside")), text("none", " of ", "outside")),
+        (f"hybrid scores at least {HYBRID_MIN} on lookup and superseded", F.when(F.col("ran_hybrid") == 0, no).otherwise(status(F.col("hybrid") < HYBRID_MIN)), text("hybrid", " of ", "hybrid_of")),
+        (f"sql scores at least {SQL_MIN} on numeric", F.when(F.col("ran_sql") == 0, "pending").otherwise(status(F.col("sql") < SQL_MIN)), text("sql", " of ", "sql_of")),
+        (f"no pipeline is over {REGRESSION_LIMIT} worse than the last accepted run", no if baseline is None else status(F.col("worse") > 0), F.lit("no accepted run") if baseline is None else text("worse", " worse")),
+        (f"the judge agrees with a human on at least {HUMAN_MIN}", F.lit("pending" if human is None else "pass" if human[0] >= HUMAN_MIN else "fail"), F.lit("no human check" if human is None else f"{human[0]} of {human[1]}")),
+    ]
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("condition"), s.alias("status"), d.alias("detail")) for c, s, d in rows]))
+    return found.select(each)
 
 
 def gate_status(conditions: DataFrame) -> DataFrame:
@@ -222,6 +230,22 @@ def sweep_hidden(chunks: DataFrame, groups: DataFrame, embedder, edges: DataFram
     return sweep(chunks, found, q.select("qid", "groups").unionByName(askers))
 
 
+def counted_keys(table: DataFrame, key: str) -> DataFrame:
+    """One row: rows beyond the first of each key, null keys included."""
+    return table.agg((F.count(F.lit(1)) - F.countDistinct(key)).alias("violations"))
+
+
+def superseded_pointers(chunks: DataFrame, same: str = "text") -> DataFrame:
+    """One row: superseded chunks without a current one of the same kind; texts meet as digests, counted before they are moved."""
+    kinds = chunks.groupBy(F.md5(same).alias("k")).agg(F.count_if(F.col("status") == "superseded").alias("old"), F.count_if(F.col("status") == "current").alias("now"))
+    return kinds.agg(F.coalesce(F.sum(F.when(F.col("now") == 0, F.col("old"))), F.lit(0)).alias("violations"))
+
+
+def date_order(rows: DataFrame, first: str, then: str) -> DataFrame:
+    """One row: rows whose second date stands before the first."""
+    return rows.agg(F.count_if(F.col(then) < F.col(first)).alias("violations"))
+
+
 def foreign_key(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """One row: how many of the child's keys have no parent."""
     return child.select(F.col(key).alias("k")).filter("k IS NOT NULL").join(parent.select(F.col(parent_key).alias("k")), "k", "left_anti").agg(F.count(F.lit(1)).alias("violations"))

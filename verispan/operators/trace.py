@@ -18,12 +18,51 @@ def canonical(**fields: Column) -> Column:
 
 
 def chain(events: DataFrame, bundle: str = "bundle_id", seq: str = "sequence", event: str = "event_json") -> DataFrame:
-    """(bundle, seq, prev_hash, hash): each receipt's hash covers the one before it. A bundle is one trace, so it is folded whole."""
-    rows = events.groupBy(bundle).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(event).alias("e")))).alias("es"))
-    start = F.array(F.lit(GENESIS))
-    hashes = F.aggregate("es", start, lambda acc, x: F.concat(acc, F.array(receipt_hash(F.element_at(acc, -1), x["e"]))))
-    rows = rows.withColumn("hs", hashes).select(bundle, F.posexplode("es").alias("i", "x"), "hs")
-    return rows.select(bundle, F.col("x.s").alias(seq), F.get("hs", F.col("i")).alias("prev_hash"), F.get("hs", F.col("i") + 1).alias("hash"))
+    """(bundle, seq, prev_hash, hash): each receipt's hash covers the one before it.
+
+    A bundle's events stream through one task in their order; nothing of it is held but the last hash.
+    """
+    import hashlib
+
+    import pyarrow as pa
+    from pyspark.sql.types import StringType, StructType
+
+    from verispan.session import ship
+
+    ship(events.sparkSession)
+    rows = events.select(bundle, seq, event)
+    schema = StructType([rows.schema[bundle], rows.schema[seq]]).add("prev_hash", StringType()).add("hash", StringType())
+
+    def run(batches):  # noqa: ANN001, ANN202
+        held, prev = None, GENESIS
+        for b in batches:
+            before, after = [], []
+            for name, said in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if (name,) != held:
+                    held, prev = (name,), GENESIS
+                before.append(prev)
+                prev = "sha256:" + hashlib.sha256(f"{prev}\n{said}".encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(before), pa.array(after)], schema.names)
+
+    return rows.repartition(bundle).sortWithinPartitions(bundle, seq).mapInArrow(run, schema)
+
+
+def of_answers(questions: DataFrame, found_hits: DataFrame, answers: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """(bundle_id, sequence, event_json, admin): the public events of each answer in order, and what only administrators may read.
+
+    asked: who asks (groups); searched: visible hits and how many were removed; answered: the
+    verdict and the refs. The question's text, and a draft that was withheld, are the administrators'.
+    """
+    none = F.lit(None).cast("string")
+    q = questions.select(F.col("qid").alias("bundle_id"), F.lit(1).alias("sequence"), canonical(groups=F.array_sort("groups"), kind=F.lit("asked")).alias("event_json"), (F.col("text") if "text" in questions.columns else none).alias("admin"))
+    seen = questions.select("qid").join(visible_hits(found_hits, removed), "qid", "left")
+    s = seen.select(F.col("qid").alias("bundle_id"), F.lit(2).alias("sequence"), canonical(kind=F.lit("searched"), payload=F.coalesce("payload", F.lit("{}"))).alias("event_json"), none.alias("admin"))
+    a = answers.select(
+        F.col("qid").alias("bundle_id"), F.lit(3).alias("sequence"), canonical(kind=F.lit("answered"), refs=F.col("retrieved_refs"), verdict=F.col("verdict")).alias("event_json"),
+        (F.col("withheld") if "withheld" in answers.columns else none).alias("admin"),
+    )
+    return q.unionByName(s).unionByName(a)
 
 
 def verify_chain(

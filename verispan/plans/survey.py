@@ -6,23 +6,27 @@ numbers and names of the tables, so that Spark and SQL make the same ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verispan.functions import text as T
-from verispan.models import MESSAGES
+from verispan.models import MESSAGES, FunctionLLM
+from verispan.operators import ann
 from verispan.operators import answer as A
 from verispan.operators import evaluate as E
 from verispan.operators import graph as G
 from verispan.operators import ingest as I
+from verispan.operators import modelled as M
 from verispan.operators import search as S
 from verispan.operators import trace as R
 from verispan.operators.guard import as_text
 from verispan.plans import bindings as B
 from verispan.plans import sqltext as X
 from verispan.plans.queries import QUERIES, _turns, _walk, guard
+from verispan.session import shared_folder
 from verispan.sources import corpus, sinks
 
 ORACLE: dict[str, str] = {}
@@ -471,6 +475,115 @@ def rows_as_text(spark, d):
     return spark.createDataFrame(out, "text string, rows int")
 
 
+# --- models, traces, checks -----------------------------------------------------------------
+
+
+def _asked_vectors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, questions and hits of the vectors, with texts that a scripted model can be asked about."""
+    c = F.col("chunk_id").cast("string")
+    chunks = B.vector_chunks(spark, d).withColumns({"title": F.lit("t"), "section": F.lit("s"), "text": F.concat(F.lit("value "), c), "ref": c})
+    questions = B.vector_questions(spark, d).withColumn("text", F.concat(F.lit("what of "), F.col("qid").cast("string")))
+    return chunks, questions, S.vector_search(chunks, questions.filter("qid % 500 != 0"), k=3).hits
+
+
+def _said(system: str, user: str) -> str:
+    """A scripted model: declines every third hundred, else repeats its first source; grades and verdicts by the numbers asked about."""
+    import re
+
+    n = int(re.search(r"\d+", user)[0])
+    if system.startswith("Grade"):
+        return ("It is correct.", "Partial", "no idea")[n // 100 % 3]
+    if system.startswith("Reply"):
+        return ("[true, false]", "[true, true]", "unsure")[len(user) % 3]
+    return "So: INSUFFICIENT_EVIDENCE." if n // 100 % 3 == 0 else "It holds " + re.search(r"value \d+", user)[0] + " [1]."
+
+
+_HUNDREDS = "SELECT vec_id AS qid FROM embeddings WHERE vec_id % 100 = 0"
+_FIRST = f"{_VECS}, f1 AS (SELECT qid, chunk_id FROM (SELECT *, {_RANKED} AS rank FROM sc) WHERE rank = 1)"
+
+
+@query(
+    f"WITH {_FIRST} SELECT h.qid, CASE WHEN h.qid % 500 = 0 OR (h.qid // 100) % 3 = 0 THEN '' ELSE 'It holds value ' || chunk_id || ' [1].' END AS draft, "
+    f"h.qid % 500 = 0 OR (h.qid // 100) % 3 = 0 AS insufficient FROM ({_HUNDREDS}) h LEFT JOIN f1 USING (qid)"
+)
+def model_drafts(spark, d):
+    chunks, questions, hits = _asked_vectors(spark, d)
+    return M.generate(questions, hits, chunks, FunctionLLM(_said))
+
+
+@query(f"SELECT qid, CASE (qid // 100) % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' ELSE 'wrong' END AS grade FROM ({_HUNDREDS})")
+def model_grades(spark, d):
+    _, questions, _ = _asked_vectors(spark, d)
+    q = questions.withColumn("expected_answer", F.lit("x"))
+    return M.judge(q, q.select("qid", "text"), FunctionLLM(_said))
+
+
+def _verdict(system: str, user: str) -> str:
+    import re
+
+    return {"0": "Here: [true, false]", "1": "[true, true]", "2": "I can't tell", "3": "[true]"}[re.search(r"lot (\d)", user)[1]]
+
+
+@query(
+    "SELECT p_partkey AS qid, 2::BIGINT AS claims, CASE p_partkey % 4 WHEN 0 THEN 'It is here' WHEN 1 THEN '' ELSE 'See lot ' || (p_partkey % 4) || '. It is here' END AS unsupported, "
+    "p_partkey % 4 = 1 AS supported, CASE p_partkey % 4 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0 ELSE 0.0 END AS support FROM part"
+)
+def model_verdicts(spark, d):
+    """A model's verdicts on two claims: a list, an unreadable one, one of the wrong length."""
+    answers = B.table(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.expr("'See lot ' || (p_partkey % 4) || '. It is here [1].'").alias("draft"))
+    hits = answers.select("qid", F.lit("c").alias("chunk_id"), F.lit(1).alias("rank"))
+    chunks = spark.createDataFrame([("c", "t", "s", "x")], "chunk_id string, title string, section string, text string")
+    return M.verify(answers, hits, chunks, FunctionLLM(_verdict)).withColumn("unsupported", F.array_join("unsupported", " "))
+
+
+@query(f"SELECT qid AS bundle_id, 3::BIGINT AS n, true AS ok, NULL::VARCHAR AS reason FROM ({_HUNDREDS})")
+def answer_traces(spark, d):
+    """Traces of answers to every hundredth vector, chained and verified against their manifest."""
+    chunks, questions, hits = _asked_vectors(spark, d)
+    answers = questions.select("qid", F.lit("answered").alias("verdict")).join(A.retrieved_refs(hits, chunks), "qid", "left")
+    events = R.of_answers(questions, hits, answers)
+    return R.verify_chain(events, R.chain(events), events.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("event_count")))
+
+
+@query(f"SELECT qid, 3 AS events, 'what of ' || qid AS asked, 0::BIGINT AS in_public FROM ({_HUNDREDS})")
+def traces_by_audience(spark, d):
+    """Events written for the public and for administrators, read back: the question's text is in the latter's only."""
+    chunks, questions, hits = _asked_vectors(spark, d)
+    answers = questions.select("qid", F.lit("answered").alias("verdict"), F.array().cast("array<string>").alias("retrieved_refs"))
+    public, admin = (f"{shared_folder(spark)}/trace-{uuid.uuid4().hex}" for _ in range(2))
+    sinks.write_trace(R.of_answers(questions, hits, answers), public, admin)
+    seen = spark.read.parquet(public).groupBy("bundle_id").agg(F.count(F.lit(1)).cast("int").alias("events"), F.count_if(F.contains("event_json", F.lit("what of"))).alias("in_public"))
+    return seen.join(spark.read.parquet(admin).select("bundle_id", "admin"), "bundle_id").select(F.col("bundle_id").alias("qid"), "events", F.col("admin").alias("asked"), "in_public")
+
+
+@query(
+    "SELECT 'orders.o_orderkey' AS name, count(*) - count(DISTINCT o_orderkey) AS violations FROM orders UNION ALL SELECT 'lineitem.l_orderkey', count(*) - count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'superseded', 0 "
+    "UNION ALL SELECT 'shipped after order', count(*) FILTER (WHERE l_shipdate < o_orderdate) FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+)
+def corpus_checks(spark, d):
+    rows = B.table(spark, d, "lineitem").join(B.table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderkey") == F.col("l_orderkey"))
+    parts = {
+        "orders.o_orderkey": E.counted_keys(B.table(spark, d, "orders"), "o_orderkey"),
+        "lineitem.l_orderkey": E.counted_keys(B.table(spark, d, "lineitem"), "l_orderkey"),
+        "superseded": E.superseded_pointers(B.document_chunks(spark, d)),
+        "shipped after order": E.date_order(rows, "o_orderdate", "l_shipdate"),
+    }
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("name"), "violations")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def ann_topk(spark, d):
+    """Approximate search over all vectors; no SQL, as the cells are fitted. Recall is tested against exact search."""
+    hits = ann.search(ann.build(B.vector_chunks(spark, d)), B.vector_questions(spark, d)).hits
+    return hits.select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
+QUERIES["ann_topk"] = ann_topk
+
+
 # --- extractive answers --------------------------------------------------------------------
 
 

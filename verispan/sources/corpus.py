@@ -98,7 +98,25 @@ UPLOAD_ROWS = 20_000
 def read_csv(spark: SparkSession, path: str, limit: int = UPLOAD_ROWS) -> DataFrame:
     """A CSV with a header: names normalised, '' as null, columns of whole numbers BIGINT, of numbers DOUBLE."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    raw = raw.toDF(*[column_name(c, i) for i, c in enumerate(raw.columns)]).limit(limit)
+    return typed(raw.toDF(*[column_name(c, i) for i, c in enumerate(raw.columns)]).limit(limit), os.path.basename(path))
+
+
+def csv_table(spark: SparkSession, name: str, data: bytes, limit: int = UPLOAD_ROWS) -> DataFrame:
+    """The same of an upload's bytes, which are few and on the driver. Short lines are filled with nulls, long ones cut."""
+    import csv
+    import io
+
+    lines = list(csv.reader(io.StringIO(extract_text(name, data))))
+    if len(lines) < 2 or not any(x.strip() for x in lines[0]):
+        raise ValueError(f"there are no rows in {name}")
+    names = [column_name(c, i) for i, c in enumerate(lines[0])]
+    names = [n if n not in names[:i] else f"{n}_{i}" for i, n in enumerate(names)]
+    rows = [tuple((*x, *[None] * len(names))[: len(names)]) for x in lines[1 : limit + 1] if x]
+    return typed(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)), name)
+
+
+def typed(raw: DataFrame, name: str) -> DataFrame:
+    """Text columns as what all of their cells are: whole numbers BIGINT, numbers DOUBLE, else STRING; '' is null."""
     raw = raw.select(*[F.when(F.trim(f"`{c}`") != "", F.trim(f"`{c}`")).alias(c) for c in raw.columns])
     checks = []
     for i, c in enumerate(raw.columns):
@@ -106,7 +124,7 @@ def read_csv(spark: SparkSession, path: str, limit: int = UPLOAD_ROWS) -> DataFr
         checks += [F.coalesce(F.bool_and(x.rlike(r"^-?\d+$")), F.lit(True)).alias(f"i{i}"), F.coalesce(F.bool_and(x.rlike(r"^-?\d+(\.\d+)?$")), F.lit(True)).alias(f"r{i}")]
     kinds = raw.agg(F.count(F.lit(1)).alias("n"), *checks).first()
     if not kinds["n"]:
-        raise ValueError(f"{os.path.basename(path)} has no data rows.")
+        raise ValueError(f"there are no rows in {name}")
     kind = lambda i: "bigint" if kinds[f"i{i}"] else "double" if kinds[f"r{i}"] else "string"
     return raw.select(*[F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(raw.columns)])
 
@@ -122,7 +140,7 @@ def extract_text(name: str, data: bytes) -> str:
 
         text = "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
         if not text.strip():
-            raise ValueError(f"{name} has no readable text. Scanned PDFs are not supported.")
+            raise ValueError(f"no text could be read from {name}; pages that are images only can't be read")
         return text
     try:
         return data.decode("utf-8")
