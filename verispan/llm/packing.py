@@ -1,10 +1,10 @@
 """Packing of tokenized documents into sequences of a fixed length.
 
 The plan is made over the counts of piece lengths, of which there are at most `capacity`,
-so its size does not follow the corpus. Exact-complement hashing comes first: with the
-longest pieces as anchors, single lengths, sums of pairs and sums of triples are looked up
-for the anchor's exact gap, and as many such sequences are taken at once as the counts
-allow. What remains is placed best-fit decreasing, again in whole groups of equal
+so its size does not follow the corpus. Exact-complement hashing comes first: the sums of
+one, two and three lengths are indexed; with the longest pieces as anchors, each
+combination that fills the anchor's gap exactly is looked up there and taken as often as
+the counts allow, until the anchor's pieces or the combinations are used up. What remains is placed best-fit decreasing, again in whole groups of equal
 sequences. Each piece then takes the place of its rank among the pieces of its length;
 ranks are counted in salted groups, so a length that a third of all pieces have is not one
 task's.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(file)
         for b in batches:
-            for i, step in slices(b, 1):
+            for i, step in slices(b, 1, bpe.SLICE):
                 part = b.slice(i, step)
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(enc.encode_all(part.column(1).to_pylist())):
@@ -69,68 +69,81 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, e
     )
 
 
-class _Counts:
-    """How many pieces of each length are left, with the lengths that have any in order."""
+class _Sums:
+    """How many pieces of each length are left, and an index of the sums of one, two and three lengths.
 
-    def __init__(self, counts: dict[int, int]):
-        self.n = {k: v for k, v in counts.items() if v > 0}
-        self.lengths = sorted(self.n)
+    The index hashes a sum to the larger parts of its pairs and to the largest parts of its
+    triples. It is built once for the lengths that occur; what has run out is passed over.
+    """
 
-    def take(self, what: dict[int, int], times: int) -> None:
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.n = np.zeros(capacity + 1, np.int64)
+        for k, v in counts.items():
+            self.n[k] = v
+        lengths = np.flatnonzero(self.n)[::-1].astype(np.int32)
+        #: Of each sum the smallest larger part of its pairs, that is of the most even one.
+        even = np.full(capacity + 1, capacity + 1, np.int32)
+        # Larger parts come in descending order; a stable sort by the sums keeps that order.
+        pairs = [(a, (s := lengths[lengths <= min(a, capacity - a)] + a)) for a in lengths.tolist()]
+        for a, s in pairs:
+            even[s] = a
+        self.pairs = self._by_sum(pairs)
+        sums = np.flatnonzero(even <= capacity).astype(np.int32)
+        self.triples = self._by_sum([(a, sums[(even[sums] <= a) & (sums + a <= capacity)] + a) for a in lengths.tolist()])
+
+    @staticmethod
+    def _by_sum(found: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
+        """From (part, its sums) to the parts of each sum."""
+        if not found:
+            return {}
+        total = np.concatenate([s for _, s in found])
+        part = np.repeat(np.array([a for a, _ in found], np.int32), [len(s) for _, s in found])
+        order = np.argsort(total, kind="stable")
+        total, part = total[order], part[order]
+        cuts = np.flatnonzero(np.diff(total)) + 1
+        return {int(total[i]): x for i, x in zip([0, *cuts.tolist()], np.split(part, cuts), strict=True)} if len(total) else {}
+
+    def _left(self, parts: dict[int, np.ndarray], total: int) -> np.ndarray:
+        found = parts.get(total)
+        return found[self.n[found] > 0] if found is not None else np.zeros(0, np.int32)
+
+    def _pairs(self, total: int) -> np.ndarray:
+        found = self._left(self.pairs, total)
+        return found[self.n[total - found] > 0]
+
+    def fillers(self, gap: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of lengths that are left and fill the gap exactly: single, then pairs, then triples."""
+        if not gap:
+            yield ()
+            return
+        if self.n[gap]:
+            yield (gap,)
+        for a in self._pairs(gap).tolist():
+            yield (a, gap - a)
+        for a in self._left(self.triples, gap).tolist():
+            found = self._pairs(gap - a)
+            for b in found[found <= a].tolist():
+                yield (a, b, gap - a - b)
+
+    def take(self, parts: tuple[int, ...]) -> int:
+        """Use the combination up: as often as the counts allow."""
+        what = Counter(parts)
+        times = min(int(self.n[k]) // m for k, m in what.items())
         for k, m in what.items():
             self.n[k] -= m * times
-            if not self.n[k]:
-                del self.n[k]
-                self.lengths.pop(bisect.bisect_left(self.lengths, k))
-
-    def room(self, what: dict[int, int]) -> int:
-        return min(self.n.get(k, 0) // m for k, m in what.items())
-
-    def single(self, gap: int) -> tuple[int, ...] | None:
-        return (gap,) if gap in self.n else None
-
-    def pair(self, gap: int, most: int | None = None) -> tuple[int, ...] | None:
-        """The two lengths with the sum `gap` whose larger is the largest, at most `most`."""
-        top = min(most or gap, gap - 1)
-        for a in reversed(self.lengths[bisect.bisect_left(self.lengths, (gap + 1) // 2) : bisect.bisect_right(self.lengths, top)]):
-            if gap - a in self.n and (gap != 2 * a or self.n[a] > 1):
-                return (a, gap - a)
-        return None
-
-    def triple(self, gap: int) -> tuple[int, ...] | None:
-        for a in reversed(self.lengths[: bisect.bisect_right(self.lengths, gap - 2)]):
-            if 3 * a < gap:
-                return None
-            if (found := self.pair(gap - a, a)) and self._enough((a, *found)):
-                return (a, *found)
-        return None
-
-    def _enough(self, parts: tuple[int, ...]) -> bool:
-        return all(self.n.get(k, 0) >= parts.count(k) for k in set(parts))
+        return times
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Sequences for so many pieces of each length."""
-    left, out = _Counts(counts), []
+    left, out = _Sums(counts, capacity), []
     for anchor in sorted(counts, reverse=True):
-        while left.n.get(anchor, 0):
-            gap = capacity - anchor
-            if not gap:
-                found: tuple[int, ...] | None = ()
-            else:
-                found = None
-                for look in (left.single, left.pair, left.triple):
-                    if (x := look(gap)) and left._enough((anchor, *x)):
-                        found = x
-                        break
-            if found is None:
+        # Each combination that is taken uses up a length or the anchor, so there are few; of others a count refuses each once.
+        for found in left.fillers(capacity - anchor):
+            if not left.n[anchor]:
                 break
-            what: dict[int, int] = defaultdict(int)
-            for k in (anchor, *found):
-                what[k] += 1
-            times = left.room(what)
-            left.take(what, times)
-            out.append((times, sorted(what.items(), reverse=True)))
+            if times := left.take((anchor, *found)):
+                out.append((times, sorted(Counter((anchor, *found)).items(), reverse=True)))
     # Best-fit decreasing: gap -> [(how many, contents)].
     open_: dict[int, list[Pattern]] = defaultdict(list)
     gaps: list[int] = []
@@ -144,8 +157,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
             bisect.insort(gaps, gap)
         open_[gap].append((n, content))
 
-    for length in reversed(left.lengths):
-        k = left.n[length]
+    for length in np.flatnonzero(left.n)[::-1].tolist():
+        k = int(left.n[length])
         while k:
             i = bisect.bisect_left(gaps, length)
             if i < len(gaps):
