@@ -122,6 +122,44 @@ def test_line_dedup_against_brute_force(spark, docs, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_frequent_tokens_against_brute_force(spark, monkeypatch):
+    """Both indexes of frequent tokens, by pairs for short lines and by single tokens for longer ones, with all tokens frequent."""
+    monkeypatch.setattr(linededup, "FREQUENT", 2)
+    monkeypatch.setattr(linededup, "TIMES", 0)
+    monkeypatch.setattr(linededup, "SECOND", 1)
+    r = random.Random(31)
+    pool = [f"w{i}" for i in range(60)]
+    lines = []
+    for _ in range(60):
+        line = r.sample(pool, r.choice([4, 6, 9, 18, 20, 22, 24, 26, 30, 40]))
+        lines.append(line)
+        for _ in range(3):
+            other = [x for x in line if r.random() > 0.1] + r.sample(pool, r.randint(0, 2))
+            lines.append(other)
+    r.shuffle(lines)
+    texts = {}
+    for i, line in enumerate(lines):
+        texts.setdefault(i // 5, []).append(r.choice([" ", "\t", "  "]).join(line))
+    rows = [(k, "\n".join(v)) for k, v in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, want = [], {}
+    for k, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            x = frozenset(WORD.findall(line))
+            if x and not any(9 * len(x & y) >= 4 * (len(x) + len(y)) for y in seen):
+                kept.append(line)
+            seen.append(x)
+        want[k] = "\n".join(kept)
+    assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df).collect()} == want
+
+
+def test_line_dedup_of_a_document_of_many_lines(spark):
+    text = "\n".join(f"line number {i} of so many {i * 7919}" if i % 3 else "" for i in range(60_000))
+    out = linededup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts=True).first()
+    assert out["text"] == text and (out["n_lines"], out["n_removed"]) == (60_000, 0)
+
+
 def test_token_files_round_trip(spark, docs, none):
     tok = library()
     index = tokenbin.write(docs)
@@ -207,6 +245,31 @@ def test_token_counts_against_the_library(docs, none):
     assert tokencount.count_tokens(none).count() == 0
 
 
+def test_token_count_query_against_the_library(spark, tmp_path):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokencount.path())
+    r = random.Random(51)
+    words = ["the", "of", "été", "x" * 30, "漢字", "  ", "\n", "▁", "12,5"]
+    texts = [None, "", *(" ".join(r.choice(words) for _ in range(n)) for n in (3, 900, 6000, 12_000)), "y" * 40_000]
+    assert sum(len((t or "").encode()) > tokencount.CHUNK for t in texts) >= 3
+    spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, queries.op5_token_counts(spark, str(tmp_path)).collect())) == want
+
+
+def test_bpe_query_against_the_library(spark, tmp_path):
+    tok, r = library(), random.Random(52)
+    texts = [None, "", "One, two; THREE's <|endoftext|>", " ".join(r.choice(["word", "Über", "don't", "...", "漢字"]) for _ in range(5000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        decoded = tok.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(map(tuple, queries.op9_bpe_round_trip(spark, str(tmp_path)).collect())) == want
+
+
 def test_bpe_against_the_library(docs, none):
     tok = library()
     enc = bpe.WordBpe(bpe.path(), kept=50, long=40, leaf=16, window=4)
@@ -266,7 +329,7 @@ def test_fingerprint_query_against_brute_force(spark, tmp_path):
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     big = "<p>" + "é" * 900
     pages = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", None), (4, "u", "small"), (5, "u", "small"), (None, "u", big), (9, "u", big + "!")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1))
@@ -279,6 +342,13 @@ def test_warc_round_trip(spark):
         assert got[i]["record_type"] == "revisit" or bytes(got[i]["payload"]) == data
     assert [r["page_id"] for r in warc.read(index.filter("page_id = 4")).collect()] == [4]
     assert warc.read(warc.write(df.limit(0))).count() == 0
+    # Repeated rows, two rows of the largest id, and pages of one payload joined by the salted shuffle.
+    twice = spark.createDataFrame([(7, "u", big), (7, "v", big), (3, "u", big), (3, "u", big), (None, None, None)], df.drop("payload").schema)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    for _ in range(2):
+        got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in warc.read(warc.write(twice)).collect())
+        assert got == [(0, "response", 0), (3, "revisit", 7), (3, "revisit", 7), (7, "response", 0), (7, "response", 0)]
+        monkeypatch.undo()
 
 
 def test_packing(docs, none):
@@ -300,6 +370,42 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_query_against_the_library(spark, tmp_path):
+    tok, r = library(), random.Random(81)
+    texts = [None, "", *(" ".join(r.choice(["a", "of", "word", "und"]) for _ in range(r.choice([3, 800, 2000, 2095, 9000]))) for _ in range(25))]
+    spark.createDataFrame([(i % 20, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want, total = queries.op8_best_fit_packing(spark, str(tmp_path)).collect(), [], 0
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        want += [(i % 20, k, a, len(x), zlib.crc32(x.tobytes())) for k, a in enumerate(range(0, len(ids), 4096)) for x in [ids[a : a + 4096]]]
+    assert sorted((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == sorted(want)
+    places: dict[int, list] = {}
+    for x in got:
+        places.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for held in places.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 4096
+    assert len(places) <= -(-total // 4096) + 1
+
+
+def test_packing_plan_tries_all_combinations():
+    # 1400's gap of 2696 is filled by 1400 + 1296 or 1396 + 1300; only one piece of 1400 is there.
+    plan = packing.plan({1400: 1, 1396: 1, 1300: 1, 1296: 1})
+    assert (1, [(1400, 1), (1396, 1), (1300, 1)]) in plan
+    # A triple is found where neither one length nor two fill the gap.
+    assert packing.plan({4000: 2, 32: 6}) == [(2, [(4000, 1), (32, 3)])]
+    r = random.Random(82)
+    for _ in range(40):
+        counts = {r.randint(1, 60): r.randint(1, 4) for _ in range(r.randint(1, 12))}
+        used: dict[int, int] = {}
+        for n, content in packing.plan(counts, 60):
+            assert sum(k * m for k, m in content) <= 60
+            for k, m in content:
+                used[k] = used.get(k, 0) + n * m
+        assert used == counts
+
+
 def test_packing_plan_is_close_to_the_bound():
     r = random.Random(8)
     counts = {}
@@ -455,6 +561,22 @@ def test_near_dedup_links_all_pairs_of_jaccard_08(spark):
     assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, repeated rows and an extra column with a clashing name in every stage."""
+    r = random.Random(23)
+    stop = "the of and to in is that for it was".split()
+    text = lambda: "\n".join(" ".join(r.choice(stop) if r.random() < 0.3 else "".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20)) for _ in range(5))
+    a, b = text(), text()
+    rows = [(None, a, "en", "s", 1, "x"), (None, a, "en", "s", 1, "x"), (None, b, None, None, None, None), (5, text(), "en", "s", 1, "x"), (5, text(), "en", "s", 1, "x"), (6, None, "en", "s", 1, "x"), (7, "", "en", "s", 1, "x"), (8, " \n ", "en", "s", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+    got = sorted((x["doc_id"] or 0, x["text"]) for x in docs.collect())
+    assert got == sorted([(0, a), (0, b), (5, rows[3][1]), (5, rows[4][1])])
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").count() == 4
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     r = random.Random(22)
     text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(80))

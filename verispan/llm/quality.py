@@ -159,7 +159,7 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Counts, ratios and the verdict of every document."""
-    m = docs.select(F.col(id_col).alias("doc_id"), _metrics(F.col(text)).alias("m")).select(
+    m = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _metrics(F.col(f"`{text}`")).alias("m")).select(
         "doc_id",
         F.col("m.w.n_words").alias("n_words"),
         F.col("m.word_chars").alias("word_chars"),
