@@ -8,7 +8,7 @@ goes through row_number() <= k, which Spark prunes inside each task before the s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from verispan.functions.text import content_tokens
 from verispan.operators.ingest import embedding_text
+from verispan.session import settled
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 CANDIDATES, TOP = 30, 8
 #: Questions up to this many are broadcast, and so many at a time meet the chunks' vectors as one matrix.
 MOST_QUESTIONS, BLOCK = 10_000, 1024
+#: Questions whose terms meet the chunks' tokens at a time.
+WORD_BLOCK = 256
 
 
 # --- filters ---------------------------------------------------------------------------
@@ -119,12 +122,14 @@ def vector_search(
     return Found(hits.select("qid", "chunk_id", "score", F.lit("vector").alias("source"), "rank"), removed)
 
 
-def candidates_of(chunks: DataFrame, questions: DataFrame, k: int, masked: bool) -> DataFrame:
-    """(qid, chunk_id, score, _seen): of each task, the chunks among which its k best of every question are, by dot product.
+def _task_best(chunks: DataFrame, content: str, questions: DataFrame, k: int, masked: bool, scorer: Callable, block_size: int) -> DataFrame:
+    """(qid, chunk_id, score, _seen): of each task, the chunks among which its k best of every question are.
 
-    Questions come in blocks of at most BLOCK, each broadcast as one matrix; a batch of
-    chunks is one matrix product. Rows within 2e-5 of a task's k-th best stay, so a later
-    cut by rounded scores loses nothing. masked: hidden chunks don't count.
+    Questions (qid, groups and what the scorer wants) come in blocks of at most about
+    block_size, each broadcast; scorer(rows of a block) gives a function from a batch of the
+    content column to scores (chunks, questions), -inf for none, which is shipped with it.
+    Rows within 2e-5 of a task's k-th best stay, so a later cut by rounded scores loses
+    nothing. masked: hidden chunks don't count.
     """
     import numpy as np
     import pyarrow as pa
@@ -134,14 +139,13 @@ def candidates_of(chunks: DataFrame, questions: DataFrame, k: int, masked: bool)
 
     spark = chunks.sparkSession
     ship(spark)
-    asked = questions.select("qid", "groups", F.col("embedding").cast("array<double>").alias("e"))
-    blocks = max(1, -(-asked.count() // BLOCK))
+    blocks = max(1, -(-questions.count() // block_size))
     block = F.pmod(F.xxhash64(F.col("qid").cast("string")), F.lit(blocks))
-    schema = StructType([asked.schema["qid"], chunks.schema["chunk_id"]]).add("score", DoubleType()).add("_seen", BooleanType())
+    schema = StructType([questions.schema["qid"], chunks.schema["chunk_id"]]).add("score", DoubleType()).add("_seen", BooleanType())
 
     def run_for(held):  # noqa: ANN001, ANN202
         def run(batches):  # noqa: ANN001, ANN202
-            qids, groups, matrix = held.value
+            qids, groups, scores_of, step = held.value
             may: dict[tuple, np.ndarray] = {}
             kept: list[tuple] = []  # per step: question places, chunk ids, scores, seen
 
@@ -155,10 +159,9 @@ def candidates_of(chunks: DataFrame, questions: DataFrame, k: int, masked: bool)
                 return [(q[some], c.take(pa.array(some)), s[some], v[some])]
 
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    vectors = np.array(part.column(2).to_pylist(), np.float64).reshape(part.num_rows, -1)
-                    scores = vectors @ matrix.T
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    scores = scores_of(part.column(2))
                     rows = [tuple(g or ()) for g in part.column(1).to_pylist()]
                     for g in set(rows) - may.keys():
                         may[g] = np.array([not x.isdisjoint(g) for x in groups], bool)
@@ -179,16 +182,94 @@ def candidates_of(chunks: DataFrame, questions: DataFrame, k: int, masked: bool)
 
     out = None
     for b in range(blocks):
-        rows = asked.filter(block == b).select("qid", "groups", "e").toArrow()  # at most about BLOCK questions
+        rows = questions.filter(block == b).toArrow()  # at most about block_size questions
         if not rows.num_rows:
             continue
-        matrix = np.array(rows.column("e").to_pylist(), np.float64).reshape(rows.num_rows, -1)
-        held = spark.sparkContext.broadcast((rows.column("qid").combine_chunks(), [frozenset(g or ()) for g in rows.column("groups").to_pylist()], matrix))
-        found = chunks.select("chunk_id", "groups", "embedding").mapInArrow(run_for(held), schema)
+        scores_of, step = scorer(rows)
+        held = spark.sparkContext.broadcast((rows.column("qid").combine_chunks(), [frozenset(g or ()) for g in rows.column("groups").to_pylist()], scores_of, step))
+        found = chunks.select("chunk_id", "groups", content).mapInArrow(run_for(held), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
+class _Dots:
+    """Scores by dot product: a batch of chunks is one matrix product."""
+
+    def __init__(self, vectors) -> None:  # noqa: ANN001
+        self.matrix = vectors.T
+
+    def __call__(self, embeddings):  # noqa: ANN001, ANN204
+        import numpy as np
+
+        return np.array(embeddings.to_pylist(), np.float64).reshape(len(embeddings), -1) @ self.matrix
+
+
+class _Weights:
+    """BM25 scores: a batch's term weights times the questions' terms."""
+
+    def __init__(self, terms, idf, asked, avg_len: float) -> None:  # noqa: ANN001
+        self.terms, self.idf, self.asked, self.avg_len = terms, idf, asked, avg_len
+
+    def __call__(self, toks):  # noqa: ANN001, ANN204
+        import numpy as np
+        import pyarrow.compute as pc
+
+        n, width = len(toks), len(self.terms)
+        size = pc.list_value_length(toks).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+        term = pc.index_in(toks.flatten(), self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(n), size.astype(np.int64))
+        at, tf = np.unique((row * width + term)[term >= 0], return_counts=True)
+        row, term = at // max(width, 1), at % max(width, 1)
+        weights = np.zeros((n, width))
+        weights[row, term] = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / self.avg_len))
+        scores = weights @ self.asked
+        return np.where(scores > 0, scores, -np.inf)
+
+
+def candidates_of(chunks: DataFrame, questions: DataFrame, k: int, masked: bool) -> DataFrame:
+    """The tasks' best chunks of each question by dot product."""
+    import numpy as np
+
+    asked = questions.select("qid", "groups", F.col("embedding").cast("array<double>").alias("e"))
+
+    def scorer(rows):  # noqa: ANN001, ANN202
+        return _Dots(np.array(rows.column("e").to_pylist(), np.float64).reshape(rows.num_rows, -1)), 1024
+
+    return _task_best(chunks, "embedding", asked, k, masked, scorer, BLOCK)
+
+
+def keyword_candidates(rows: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, masked: bool) -> DataFrame:
+    """The tasks' best chunks of each question by BM25, among rows; statistics are over all chunks.
+
+    Of the statistics only those of the questions' own terms come to the driver.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    asked = questions.select("qid", "groups", F.array_distinct(content_tokens(F.col("text"))).alias("terms"))
+    toks = tokens_of(chunks)
+    total = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("toks")).alias("avg_len")).first()
+    seen = toks.select(F.explode(F.array_distinct("toks")).alias("term"))
+    terms = asked.select("qid", F.explode("terms").alias("term"))
+    df = settled(seen.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")), "term-counts")
+
+    def scorer(block):  # noqa: ANN001, ANN202
+        lists = block.column("terms").to_pylist()
+        wanted = chunks.sparkSession.createDataFrame([(t,) for t in sorted({t for ts in lists for t in ts})], "term string")
+        found = df.join(F.broadcast(wanted), "term").toArrow()  # the terms of a block's questions
+        known = found.column("term").to_pylist()
+        place = {t: i for i, t in enumerate(known)}
+        counts = np.array(found.column("df").to_pylist(), np.float64)
+        idf = np.log((total["n"] - counts + 0.5) / (counts + 0.5) + 1)
+        asks = np.zeros((len(known), len(lists)))
+        for q, ts in enumerate(lists):
+            asks[[place[t] for t in ts if t in place], q] = 1
+        return _Weights(pa.array(known, pa.string()), idf, asks, total["avg_len"] or 1.0), max(16, (1 << 22) // max(1, len(known)))
+
+    held = rows.select("chunk_id", "groups", "toks") if "toks" in rows.columns else rows.withColumn("toks", content_tokens(embedding_text())).select("chunk_id", "groups", "toks")
+    return _task_best(held, "toks", asked, k, masked, scorer, WORD_BLOCK)
+
+
 @dataclass
 class TextIndex:
     """Term statistics over all chunks, restricted and superseded ones included."""
@@ -245,11 +326,14 @@ def keyword_search(
     """
     from verispan.functions.text import record_ids
 
-    held = chunks.filter(eligible(current_only, table_rows)).select("chunk_id", "groups", F.array_distinct(record_ids(embedding_text())).alias("_ids"))
+    rows = chunks.filter(eligible(current_only, table_rows))
+    if not ident_boost:
+        found = best(keyword_candidates(rows, chunks, questions, k, True), k)
+        return found.select("qid", "chunk_id", "score", F.lit("keyword").alias("source"), "rank")
+    held = rows.select("chunk_id", "groups", F.array_distinct(record_ids(embedding_text())).alias("_ids"))
     q = small(questions.select("qid", F.col("groups").alias("_asker"), F.array_distinct(record_ids(F.col("text"))).alias("_want")))
     scored = bm25(chunks, questions).filter("score > 0").join(held, "chunk_id").join(q, "qid").filter(visible("groups", F.col("_asker")))
-    if ident_boost:
-        scored = scored.withColumn("score", F.col("score") + ident_boost * F.size(F.array_intersect("_ids", "_want")))
+    scored = scored.withColumn("score", F.col("score") + ident_boost * F.size(F.array_intersect("_ids", "_want")))
     return best(scored, k).select("qid", "chunk_id", "score", F.lit("keyword").alias("source"), "rank")
 
 
@@ -294,7 +378,7 @@ def access_profile(chunks: DataFrame, questions: DataFrame, k: int = TOP) -> Dat
     """
     rows = chunks.filter(eligible())
     v = best(candidates_of(rows, questions, 3 * k, False), 3 * k)
-    w = best(bm25(chunks, questions).join(rows.select("chunk_id"), "chunk_id", "left_semi").filter("score > 0"), 3 * k)
+    w = best(keyword_candidates(rows, chunks, questions, 3 * k, False), 3 * k)
     top = rrf([v, w], limit=k)
     asker = small(questions.select("qid", F.col("groups").alias("_asker")))
     return top.join(rows.select("chunk_id", "groups"), "chunk_id").join(asker, "qid").select("qid", "rank", visible("groups", F.col("_asker")).alias("visible"))
