@@ -1,16 +1,17 @@
 """Token ids in compressed binary files: an adaptive context-mixing range coder.
 
-A file holds the ids of its documents as one stream, cut into blocks of BLOCK ids. Each
-block starts from an empty model and carries checksums of its bytes and of its ids, so any
-block can be read, verified or lost without the others.
-
-The model of a block predicts each id at orders 2 and 1, hashed tables of the id last seen
-after two or one given ids, each with a confidence. Order 0 is a table of the ids seen at
-all and has no adaptive frequencies: a place in it costs the same for every id. The adaptive probabilities of the orders' outcomes are mixed
-by weights that follow which order has been doing better, and the mix codes whether the
-id is the order-2 prediction, the order-1 prediction, one that order 0 holds (its place
-follows) or none (its bits follow). All of it is whole-number arithmetic and drives one
-64-bit carryless range coder.
+A file holds the ids of its documents as one stream, cut into blocks of BLOCK ids (the last
+one may be shorter). Each block starts from an empty model and carries checksums of its bytes
+and of its ids, so any block can be read, verified or lost without the others.
+
+The model of a block predicts each id at three orders. Order 0 is a distribution over all
+ids: adaptive frequencies of the upper part of an id, and of its lowest byte given the upper
+part. Orders 1 and 2 each predict one id, the one last seen after the last one or two ids, by
+hashed tables with a confidence. The prediction is a mixture: each order's weight depends
+on its confidence and on whether both agree, and is learned as the share of ids that the
+order explains against the others (its posterior). The mixture's interval of an id drives a
+64-bit carryless range coder, first for the upper part, then for the lowest byte. Weights are
+doubles under + - * / only, which are the same on every machine; all else is whole numbers.
 Blocks don't depend on each other, so a group of them is coded in step, one lane a block.
 
 Files are written by tasks that hold ascending ranges of ids; the index, a written table,
@@ -19,8 +20,8 @@ has one row per file and names only files of attempts that succeeded.
 Defined results. A null text counts as an empty one: its end id alone. Null ids stand
 first; rows of one id stand by a hash of their texts, equal rows are interchangeable. Extra
 columns are not read. An empty table gives an empty index and an empty read. Ids must be
-below 2**BITS, else the write fails. Memory: one group of blocks with its tables, and the
-longest document.
+below `size`, that of the vocabulary, else the write fails. Memory: one group of blocks with
+its tables, and the longest document.
 """
 
 from __future__ import annotations
@@ -41,20 +42,26 @@ from verispan.llm.common import fresh_path, slices, written
 from verispan.session import ship
 
 #: Ids in a block, and blocks coded in step.
-BLOCK, LANES = 8192, 768
-#: What ends a file is cut into this many blocks if they hold LEAST ids each: a step costs about the same for few lanes.
-SPLIT, LEAST = 256, 1024
-BITS = 16
+BLOCK, LANES = 4096, 1024
+#: How many ids there are, unless the vocabulary tells.
+SIZE = 1 << 16
 END_ID = 1
-MAGIC = b"VTID\x01"
+MAGIC = b"VTID\x02"
+_START = struct.Struct("<5sI")  # magic, size
 _HEAD = struct.Struct("<IIII")  # ids, bytes, crc32 of the bytes, crc32 of the ids
 _FOOT = struct.Struct("<QQQQI5s")  # offset and size of the document table, documents, ids, crc32 of the table, magic
 
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
 _S16, _S48 = np.uint64(16), np.uint64(48)
-#: Sizes of the hashed tables as bits: of order 0 a small one, that its most frequent ids win, and a large one.
-_S0, _T0, _T1, _T2 = 7, 11, 12, 13
+#: All intervals of a symbol are parts of 2**SCALE.
+SCALE = 24
+#: Bits of the hashed tables of orders 1 and 2.
+_T1, _T2 = 11, 13
+#: What an id adds to its frequencies, and where these are halved.
+_ADD_UP, _ADD_LOW, _MOST_UP, _MOST_LOW = 32, 64, 1 << 19, 65_000
+#: How fast weights follow, and how much of a prediction orders 1 and 2 can make.
+_RATE, _MOST_WEIGHT = 1.0 / 48, 0.95
 
 
 class _Coder:
@@ -72,41 +79,22 @@ class _Coder:
             self.code = (w[:, 0] << _S48) | (w[:, 1] << np.uint64(32)) | (w[:, 2] << _S16) | w[:, 3]
             self.at += 4
 
-    def mixed(self, cum: np.ndarray, lanes: np.ndarray, sym: np.ndarray | None) -> np.ndarray:
-        """Code one of a few symbols in the first len(lanes) lanes. cum: a column of summed counts per lane."""
-        k = len(lanes)
+    def target(self, k: int) -> np.ndarray:
+        """Where the code of the first k lanes points to, as parts of the whole."""
+        r = self.range[:k] >> np.uint64(SCALE)
+        return np.minimum((self.code[:k] - self.low[:k]) // r, np.uint64((1 << SCALE) - 1)).astype(np.int64)
+
+    def narrow(self, lo: np.ndarray, width: np.ndarray) -> None:
+        """Take an interval of the whole in the first len(lo) lanes; move settled upper words out, or in."""
+        k = len(lo)
         low, rng = self.low[:k], self.range[:k]
-        r = rng // cum[-1]
-        if sym is None:
-            target = np.minimum((self.code[:k] - low) // r, cum[-1] - np.uint64(1))
-            sym = (cum[:-1] <= target).sum(0)
-        lo = cum[sym - 1, lanes]
-        lo[sym == 0] = 0
-        low += lo * r
-        np.multiply(cum[sym, lanes] - lo, r, out=rng)
-        self._shift(lanes)
-        return sym
-
-    def plain(self, bits: np.ndarray, lanes: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """Code a number of so many bits, all numbers alike, in some lanes."""
-        r = self.range[lanes] >> bits
-        if value is None:
-            most = (np.uint64(1) << bits) - np.uint64(1)
-            found = np.minimum((self.code[lanes] - self.low[lanes]) // r, most)
-            value = found.astype(np.int64)
-        else:
-            found = value.astype(np.uint64)
-        self.low[lanes] += found * r
-        self.range[lanes] = r
-        self._shift(lanes)
-        return value
-
-    def _shift(self, lanes: np.ndarray) -> None:
-        """Move settled upper words out, or in; a range grown small gives up what would carry."""
-        low, rng = self.low[lanes], self.range[lanes]
-        todo = lanes[((low ^ (low + rng)) < _TOP) | (rng < _BOT)]
+        r = rng >> np.uint64(SCALE)
+        low += lo.astype(np.uint64) * r
+        np.multiply(width.astype(np.uint64), r, out=rng)
+        todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
         while len(todo):
             x, y = self.low[todo], self.range[todo]
+            # A range grown small gives up what would carry.
             y = np.where((x ^ (x + y)) < _TOP, y, (~x + np.uint64(1)) & _LOW)
             k = self.at[todo]
             if self.decodes:
@@ -126,29 +114,101 @@ class _Coder:
         return [self.words[i, :k].astype("<u2").tobytes() + tails[i].tobytes() for i, k in enumerate(self.at.tolist())]
 
 
-class _Model:
-    """Predicted ids of orders 0 to 2, and the mix of how far each is to be trusted.
+class _Frequencies:
+    """Adaptive frequencies of symbols in many contexts, as running sums over groups of 16 and within each group.
 
-    An outcome is 0: the order-2 id, 1: the order-1 id, 2 or 3: an id that order 0 holds in
-    its small or its large table, 4: none.
+    A symbol's sums are read by single places; learning adds to the rest of its two rows.
     """
 
-    def __init__(self, n: int, bits: int):
-        self.bits = bits
-        self.s0, self.t0, self.t1, self.t2 = (np.zeros(n << k, np.int32) for k in (_S0, _T0, _T1, _T2))
-        # Of each outcome, 12-bit probabilities by an order's confidence and whether both orders agree.
-        self.p1, self.p2 = np.full((5, n * 8), 819, np.int32), np.full((5, n * 8), 819, np.int32)
-        self.w = np.full(n, 128, np.int32)  # the weight of order 2, of 256
+    def __init__(self, contexts: int, symbols: int, add: int, most: int, kind: type):
+        self.groups = -(-symbols // 16)
+        self.inner = np.tile(np.arange(17, dtype=kind), (contexts * self.groups, 1))
+        self.outer = np.tile(np.arange(self.groups + 1, dtype=kind) * kind(16), (contexts, 1))
+        rest = lambda n: add * (np.arange(n + 1) > np.arange(n)[:, None])
+        self.after_symbol, self.after_group = rest(16).astype(kind), rest(self.groups).astype(kind)
+        self.add, self.most = add, most
+
+        self.inner_flat, self.outer_flat = self.inner.reshape(-1), self.outer.reshape(-1)
+
+    def total(self, ctx: np.ndarray) -> np.ndarray:
+        return self.outer_flat.take(ctx * (self.groups + 1) + self.groups).astype(np.int64)
+
+    def of(self, ctx: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum before, frequency, row) of a symbol of each context."""
+        g = sym >> 4
+        row = ctx * self.groups + g
+        at = row * 17 + (sym & 15)
+        before = self.inner_flat.take(at).astype(np.int64)
+        # ctx * (groups + 1) + g, as row + ctx.
+        return self.outer_flat.take(row + ctx) + before, self.inner_flat.take(at + 1) - before, row
+
+    def find(self, ctx: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The symbol whose sums enclose the value."""
+        want = value.astype(self.inner.dtype)
+        outer = self.outer.take(ctx, axis=0)
+        g = (outer[:, 1:] <= want[:, None]).sum(1, dtype=np.int64)
+        want -= outer[np.arange(len(g)), g]
+        return (g << 4) + (self.inner.take(ctx * self.groups + g, axis=0)[:, 1:] <= want[:, None]).sum(1, dtype=np.int64)
+
+    def learn(self, ctx: np.ndarray, sym: np.ndarray, row: np.ndarray) -> None:
+        self.inner[row] = self.inner.take(row, axis=0) + self.after_symbol.take(sym & 15, axis=0)
+        outer = self.outer.take(ctx, axis=0) + self.after_group.take(sym >> 4, axis=0)
+        self.outer[ctx] = outer
+        full = np.flatnonzero(outer[:, self.groups] > self.most)
+        if len(full):
+            c = ctx[full]
+            rows = (c * self.groups)[:, None] + np.arange(self.groups)
+            half = (np.diff(self.inner[rows].astype(np.int64), axis=2) + 1) >> 1
+            self.inner[rows, 1:] = np.cumsum(half, axis=2)
+            self.outer[c, 1:] = np.cumsum(half.sum(2), axis=1)
+
+
+class _Model:
+    """The mixture of orders 0 to 2 for n lanes."""
+
+    def __init__(self, n: int, size: int):
+        self.upper = -(-size // 256)
+        self.f0 = _Frequencies(n, self.upper, _ADD_UP, _MOST_UP, np.int32)
+        self.f1 = _Frequencies(n * self.upper, 256, _ADD_LOW, _MOST_LOW, np.uint16)
+        self.t1, self.t2 = (np.zeros(n << k, np.int32) for k in (_T1, _T2))
+        # Weights of orders 1 and 2 by lane, by the order's confidence and whether both agree.
+        self.w1, self.w2 = np.full(n * 8, 0.1), np.full(n * 8, 0.1)
         self.base = np.arange(n, dtype=np.int64)
 
     @staticmethod
-    def learn(table: np.ndarray, at: np.ndarray, was: np.ndarray, ids: np.ndarray) -> None:
+    def remember(table: np.ndarray, at: np.ndarray, was: np.ndarray, ids: np.ndarray) -> None:
         """An id seen again gains confidence; another one takes it off, and then the place."""
         conf, want = was & 3, ids + 1
         same = (was >> 2) == want
         more = was + (same & (conf < 3)) - (~same & (conf > 1))
         table[at] = np.where(same | (conf > 1), more, (want << 2) | 1)
 
+    @staticmethod
+    def _symbol(coder: _Coder, f: _Frequencies, ctx: np.ndarray, predicted: list[np.ndarray], weights: list[np.ndarray], sym: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code a symbol under order 0's frequencies and two predicted symbols; (symbol, order 0's probability, row)."""
+        (q1, q2), (w1, w2) = predicted, [(w * (1 << SCALE)).astype(np.int64) for w in weights]
+        part, total = (1 << SCALE) - w1 - w2, f.total(ctx)
+        if sym is None:
+            t = coder.target(len(ctx))
+            # Of a predicted symbol's interval order 0's part comes first, its weight then; the lesser symbol comes first.
+            swap = q1 > q2
+            qa, qb, wa, wb = np.where(swap, q2, q1), np.where(swap, q1, q2), np.where(swap, w2, w1), np.where(swap, w1, w2)
+            known, rest = None, t
+            for q, w in ((qa, wa), (qb, wb)):
+                c, n, _ = f.of(ctx, q)
+                end = (c + n) * part // total
+                inside = (rest >= end) & (rest < end + w)
+                rest = rest - np.where(rest >= end + w, w, 0)
+                known = np.where(inside, q, -1 if known is None else known)
+                rest = np.where(known >= 0, 0, rest)
+            value = ((rest + 1) * total - 1) // part
+            sym = np.where(known >= 0, known, f.find(ctx, value))
+        c, n, row = f.of(ctx, sym)
+        lo = c * part // total
+        width = (c + n) * part // total - lo + w1 * (q1 == sym) + w2 * (q2 == sym)
+        coder.narrow(lo + w1 * (q1 < sym) + w2 * (q2 < sym), width)
+        return sym, n / total, row
+
     def code(self, coder: _Coder, k: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Code the next id of the first k lanes, after the ids a and before it b."""
         lanes = self.base[:k]
@@ -156,54 +216,38 @@ class _Model:
         i1 = (lanes << _T1) + ((mixed >> 3) & ((1 << _T1) - 1))
         i2 = (lanes << _T2) + ((mixed ^ (b * 30011 + (b >> 5))) & ((1 << _T2) - 1))
         v1, v2 = self.t1[i1], self.t2[i2]
-        id1, id2 = (v1 >> 2) - 1, (v2 >> 2) - 1
-        place = lanes * 8 + (id1 == id2)
+        p1, p2 = np.maximum((v1 >> 2) - 1, 0).astype(np.int64), np.maximum((v2 >> 2) - 1, 0).astype(np.int64)
+        place = lanes * 8 + (p1 == p2)
         c1, c2 = place + ((v1 & 3) << 1), place + ((v2 & 3) << 1)
-        g1, g2, w = self.p1.take(c1, axis=1), self.p2.take(c2, axis=1), self.w[:k]
-        cum = np.cumsum(((g2 * w + g1 * (256 - w)) >> 8) + 1, axis=0, dtype=np.uint64)
-        if ids is None:
-            sym, out = coder.mixed(cum, lanes, None), np.empty(k, np.int32)
-            first, second = sym == 0, sym == 1
-            out[first], out[second] = id2[first], id1[second]
-        else:
-            out = ids
-            small, large = self._zero(lanes, ids)
-            order0 = np.where((self.s0[small] >> 2) == ids + 1, 2, np.where((self.t0[large] >> 2) == ids + 1, 3, 4))
-            sym = np.where(ids == id2, 0, np.where(ids == id1, 1, order0))
-            coder.mixed(cum, lanes, sym)
-        rest = np.flatnonzero(sym >= 2)
-        if len(rest):
-            kind = sym[rest] - 2
-            bits = np.array([_S0, _T0, self.bits], np.uint64)[kind]
-            if ids is None:
-                got = coder.plain(bits, rest, None)
-                at, big = (rest << _S0) + np.where(kind == 0, got, 0), (rest << _T0) + np.where(kind == 1, got, 0)
-                out[rest] = np.where(kind == 0, (self.s0[at] >> 2) - 1, np.where(kind == 1, (self.t0[big] >> 2) - 1, got))
-            else:
-                coder.plain(bits, rest, np.where(kind == 0, small[rest] - (rest << _S0), np.where(kind == 1, large[rest] - (rest << _T0), ids[rest])))
-        np.minimum(np.maximum(w + 4 * np.sign(g2[sym, lanes] - g1[sym, lanes]), 16), 240, out=w)
-        for p, c, g in ((self.p1, c1, g1), (self.p2, c2, g2)):
-            g -= g >> 5
-            g[sym, lanes] += 127
-            p[:, c] = g
-        if ids is None:
-            small, large = self._zero(lanes, out)
-        self.learn(self.s0, small, self.s0[small], out)
-        self.learn(self.t0, large, self.t0[large], out)
-        self.learn(self.t1, i1, v1, out)
-        self.learn(self.t2, i2, v2, out)
+        w1, w2 = self.w1[c1] * (v1 > 0), self.w2[c2] * (v2 > 0)
+        most = np.minimum(1.0, _MOST_WEIGHT / (w1 + w2 + 1e-9))
+        w1, w2 = w1 * most, w2 * most
+        up1, up2 = p1 >> 8, p2 >> 8
+        up, of0, row0 = self._symbol(coder, self.f0, lanes, [up1, up2], [w1, w2], None if ids is None else ids.astype(np.int64) >> 8)
+        # What is left of each order's weight now that the upper part is known.
+        x1, x2 = w1 * (up1 == up), w2 * (up2 == up)
+        whole = x1 + x2 + (1.0 - w1 - w2) * of0
+        y1, y2 = x1 / whole, x2 / whole
+        most = np.minimum(1.0, _MOST_WEIGHT / (y1 + y2 + 1e-9))
+        ctx = lanes * self.upper + up
+        low, of1, row1 = self._symbol(coder, self.f1, ctx, [p1 & 255, p2 & 255], [y1 * most, y2 * most], None if ids is None else ids.astype(np.int64) & 255)
+        out = (up << 8) + low
+        m1, m2 = x1 * (p1 == out), x2 * (p2 == out)
+        whole = m1 + m2 + (1.0 - w1 - w2) * of0 * of1
+        for w, c, m in ((self.w1, c1, m1), (self.w2, c2, m2)):
+            was = w[c]
+            w[c] = was + (m / whole - was) * _RATE
+        self.f0.learn(lanes, up, row0)
+        self.f1.learn(ctx, low, row1)
+        self.remember(self.t1, i1, v1, out.astype(np.int32))
+        self.remember(self.t2, i2, v2, out.astype(np.int32))
         return out
 
-    @staticmethod
-    def _zero(lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = ids.astype(np.int64) * 40503
-        return (lanes << _S0) + ((h >> 6) & ((1 << _S0) - 1)), (lanes << _T0) + ((h >> 4) & ((1 << _T0) - 1))
-
 
-def _run(coder: _Coder, lengths: np.ndarray, bits: int, ids: np.ndarray | None) -> np.ndarray:
+def _run(coder: _Coder, lengths: np.ndarray, size: int, ids: np.ndarray | None) -> np.ndarray:
     """Code lanes whose lengths descend; ids: (lanes, most), None to decode. Returns the ids."""
     n = len(lengths)
-    model = _Model(n, bits)
+    model = _Model(n, size)
     most = int(lengths[0]) if n else 0
     out = np.zeros((most, n), np.int32) if ids is None else np.ascontiguousarray(ids.T)
     none = np.zeros(n, np.int64)
@@ -218,7 +262,7 @@ def _run(coder: _Coder, lengths: np.ndarray, bits: int, ids: np.ndarray | None)
     return out.T
 
 
-def encode_blocks(blocks: list[np.ndarray], bits: int = BITS) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], size: int = SIZE) -> list[bytes]:
     """The code of each block of ids, coded in step."""
     if not blocks:
         return []
@@ -227,17 +271,17 @@ def encode_blocks(blocks: list[np.ndarray], bits: int = BITS) -> list[bytes]:
     ids = np.zeros((len(order), int(lengths[0])), np.int32)
     for row, i in enumerate(order):
         ids[row, : lengths[row]] = blocks[i]
-    if ids.max(initial=0) >> bits:
-        raise ValueError(f"ids must be below {1 << bits}")
+    if max(int(np.max(b, initial=0)) for b in blocks) >= size:
+        raise ValueError(f"ids must be below {size}")
     coder = _Coder(len(order))
-    _run(coder, lengths, bits, ids)
+    _run(coder, lengths, size, ids)
     out: list[bytes] = [b""] * len(blocks)
     for i, code in zip(order, coder.finish(), strict=True):
         out[i] = code
     return out
 
 
-def decode_blocks(codes: list[bytes], lengths: list[int], bits: int = BITS) -> list[np.ndarray]:
+def decode_blocks(codes: list[bytes], lengths: list[int], size: int = SIZE) -> list[np.ndarray]:
     """The ids of each code; lengths: how many each holds."""
     if not codes:
         return []
@@ -247,7 +291,7 @@ def decode_blocks(codes: list[bytes], lengths: list[int], bits: int = BITS) -> l
         w = np.frombuffer(codes[i], "<u2")
         words[row, : len(w)] = w
     n = np.array([lengths[i] for i in order])
-    found = _run(_Coder(len(order), words), n, bits, None)
+    found = _run(_Coder(len(order), words), n, size, None)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(codes)
     for row, i in enumerate(order):
         out[i] = found[row, : lengths[i]].astype("<u4")
@@ -257,11 +301,12 @@ def decode_blocks(codes: list[bytes], lengths: list[int], bits: int = BITS) -> l
 class Writer:
     """One file: ids of documents in the order in which they come."""
 
-    def __init__(self, stream, bits: int = BITS, block: int = BLOCK, lanes: int = LANES):  # noqa: ANN001
-        self.stream, self.bits, self.block, self.lanes = stream, bits, block, lanes
+    def __init__(self, stream, size: int = SIZE, block: int = BLOCK, lanes: int = LANES):  # noqa: ANN001
+        self.stream, self.ids_below, self.block, self.lanes = stream, size, block, lanes
         self.parts: list[np.ndarray] = []
         self.held, self.docs, self.sizes, self.nulls = 0, [], [], []
-        self.size = self.stream.write(MAGIC + bytes([bits])) or len(MAGIC) + 1
+        self.stream.write(_START.pack(MAGIC, size))
+        self.size = _START.size
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append(doc_id or 0)
@@ -275,11 +320,10 @@ class Writer:
     def _flush(self, last: bool) -> None:
         stream = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
         end = len(stream) if last else len(stream) - len(stream) % self.block
-        block = min(self.block, max(LEAST, -(-end // SPLIT))) if last else self.block
-        blocks = [stream[i : min(i + block, end)] for i in range(0, end, block)]
+        blocks = [stream[i : min(i + self.block, end)] for i in range(0, end, self.block)]
         for i in range(0, len(blocks), self.lanes):
             part = blocks[i : i + self.lanes]
-            for ids, code in zip(part, encode_blocks(part, self.bits), strict=True):
+            for ids, code in zip(part, encode_blocks(part, self.ids_below), strict=True):
                 head = _HEAD.pack(len(ids), len(code), zlib.crc32(code), zlib.crc32(ids.astype("<u4").tobytes()))
                 self.stream.write(head + code)
                 self.size += len(head) + len(code)
@@ -303,8 +347,8 @@ def read_file(f, lanes: int = LANES) -> Iterator[tuple[int | None, int, np.ndarr
     f.seek(end - _FOOT.size)
     offset, size, n, _, crc, magic = _FOOT.unpack(f.read(_FOOT.size))
     f.seek(0)
-    head = f.read(len(MAGIC) + 1)
-    if magic != MAGIC or head[:-1] != MAGIC:
+    first, below = _START.unpack(f.read(_START.size))
+    if magic != MAGIC or first != MAGIC:
         raise ValueError("not a token file")
     f.seek(offset)
     table = f.read(size)
@@ -312,8 +356,8 @@ def read_file(f, lanes: int = LANES) -> Iterator[tuple[int | None, int, np.ndarr
         raise ValueError("the document table is damaged")
     raw = zlib.decompress(table)
     docs, sizes, nulls = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n, 8 * n), np.frombuffer(raw, "u1", n, 16 * n)
-    f.seek(len(head))
-    left, at, k, before = np.zeros(0, np.uint32), len(head), 0, 0
+    f.seek(_START.size)
+    left, at, k, before = np.zeros(0, np.uint32), _START.size, 0, 0
     while at < offset or k < n:
         heads, codes = [], []
         while at < offset and len(codes) < lanes:
@@ -322,7 +366,7 @@ def read_file(f, lanes: int = LANES) -> Iterator[tuple[int | None, int, np.ndarr
             at += _HEAD.size + h[1]
             if zlib.crc32(codes[-1]) != h[2]:
                 raise ValueError("a block is damaged")
-        found = decode_blocks(codes, [h[0] for h in heads], head[-1])
+        found = decode_blocks(codes, [h[0] for h in heads], below)
         if any(zlib.crc32(x.tobytes()) != h[3] for x, h in zip(found, heads, strict=True)):
             raise ValueError("a block's ids don't match their checksum")
         left, i = np.concatenate([left, *found]), 0
@@ -356,12 +400,12 @@ def write(docs: DataFrame, folder: str | None = None, file: str | None = None, e
         task, out, name = TaskContext.get(), None, ""
         enc = bpe.encoder(file)
         for b in batches:
-            for i, step in slices(b, 1):
+            for i, step in slices(b, 1, bpe.SLICE):
                 part = b.slice(i, step)
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}.vtid"
                     out = store.open_output_stream(f"{at}/{name}", compression=None)
-                    writer = Writer(out)
+                    writer = Writer(out, max(len(bpe.names(file)), end_id + 1))
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode_all(part.column(1).to_pylist()), strict=True):
                     writer.add(doc_id, ids + end)
         if out is not None:
