@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verispan.functions import text as T
-from verispan.functions.vectors import features, hash_embedding
+from verispan.functions.vectors import features
 from verispan.models import HashingEmbedder
 from verispan.operators import answer as A
 from verispan.operators import evaluate as E

@@ -25,7 +25,7 @@ from verispan.operators import trace as R
 from verispan.operators.guard import as_text
 from verispan.plans import bindings as B
 from verispan.plans import sqltext as X
-from verispan.plans.queries import QUERIES, _turns, _walk, guard
+from verispan.plans.queries import QUERIES, _walk, guard
 from verispan.session import shared_folder
 from verispan.sources import corpus, sinks
 
