@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verispan.session import shared_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,16 +25,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; in local mode (tests) a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="verispan-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder that all machines share, set as the checkpoint folder too."""
+    found = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return found
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
