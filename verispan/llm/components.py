@@ -33,7 +33,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a != b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node that has an edge.
 
     edges: columns a and b of one orderable type; loops and repeats are allowed, null
@@ -47,13 +47,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     mark = None
-    for _ in range(rounds):
+    while True:  # each round but the last changes something, and only ever to smaller roots
         now = checkpointed(_star(_star(now, True), False))
         # The forest is final when a round changes nothing; two sums tell that without moving rows.
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -1,6 +1,6 @@
 """Token counts of whole texts under a public tokenizer.
 
-Texts of ordinary size go to the library whole. A huge document is encoded in overlapping
+Texts up to CHUNK bytes go to the library whole. A longer one is encoded in overlapping
 chunks with offsets, so that memory follows the chunk and not the document; neighbouring
 chunks are spliced at a boundary that both have and that is proven stable: a space after
 something else than a space. No piece of the vocabulary holds a word mark after another
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from verispan.llm.common import with_python_columns
 
 #: UTF-8 bytes of a chunk, and by how much chunks overlap at first.
-CHUNK = 64 << 10
+CHUNK = 16 << 10
 OVERLAP = 512
 
 _MARK = "▁".encode()
