@@ -47,7 +47,7 @@ LONG_TEXT, LEAF_TEXT = 16_384, 8_192
 LONG, LEAF = 2048, 1024
 #: Characters on either side of a seam that are encoded again at first.
 WINDOW = 64
-#: Runs kept with their ids in each of a worker's two tables.
+#: Runs kept with their ids in each of a worker's two tables; about 200 bytes each.
 KEPT_RUNS = 200_000
 _MARKS = ".,;:!?"
 #: Bytes of text that are encoded at a time, and the library's threads for leaves.
@@ -315,8 +315,8 @@ def _head(tokens: list[Token], hi: int):
 
 
 @lru_cache(maxsize=4)
-def encoder(file: str) -> WordBpe:
-    return WordBpe(file)
+def encoder(file: str, kept: int = KEPT_RUNS) -> WordBpe:
+    return WordBpe(file, kept)
 
 
 def encode(docs: DataFrame, file: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:

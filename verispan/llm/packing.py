@@ -32,6 +32,8 @@ from verispan.session import ship
 
 CAPACITY = 4096
 END_ID = 1
+#: Runs in each of the encoder's two tables: a task has one Python worker here, so its tables can be larger.
+KEPT_RUNS = 600_000
 
 #: (number of equal sequences, [(length, how many of it in each)])
 Pattern = tuple[int, list[tuple[int, int]]]
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, e
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(file)
+        enc = bpe.encoder(file, KEPT_RUNS)
         for b in batches:
             for i, step in slices(b, 1, bpe.SLICE):
                 part = b.slice(i, step)
