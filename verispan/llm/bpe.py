@@ -104,6 +104,7 @@ class WordBpe:
     def _has_facts(self) -> bool:
         """Whether white space parts pre-tokens and has no token, letters and marks are pre-tokens of their own, and case doesn't count."""
         spec = json.loads(self.tok.to_str())
+        self.suffix: str | None = spec["model"].get("end_of_word_suffix")
         model, pre, norm = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         split = [p for p in pre.get("pretokenizers", [pre]) if p.get("type") == "Split"]
         steps = [n["type"] for n in norm.get("normalizers", [norm]) if n]
@@ -202,17 +203,21 @@ class WordBpe:
         """
         parts: dict[str, tuple[str, str]] = {}
         need: set[str] = set()
+        plain: set[str] = set()
         for x in new:
             word = x.rstrip(_MARKS)
-            if word and word.isalpha() and max(word) < "\u0250" and "\u0130" not in word and (low := word.lower()) != x:
-                marks = x[len(word) :]
-                parts[x] = (low, marks)
-                need.add(low)
-                if marks:
-                    need.add(marks)
+            if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
+                low = word.lower()
+                plain.add(low)
+                if low != x:
+                    marks = x[len(word) :]
+                    parts[x] = (low, marks)
+                    if marks:
+                        need.add(marks)
             else:
                 need.add(x)
         self._learn(sorted(need.difference(self.seen)))
+        self._learn_words(sorted(plain.difference(self.seen)))
         for x, (low, marks) in parts.items():
             self.seen[x] = self.seen[low] + self.seen[marks] if marks else self.seen[low]
 
@@ -228,6 +233,38 @@ class WordBpe:
                 for x, lo, hi in zip(group, cuts[:-1], cuts[1:], strict=True):
                     self.seen[x] = ids[lo:hi]
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode words of small letters, each one pre-token whose last token alone carries the end-of-word mark; that parts the ids."""
+        if not self.suffix:
+            return self._learn(words)
+        groups = [words[i : i + _GROUP] for i in range(0, len(words), _GROUP)]
+        for i in range(0, len(groups), 256):
+            part = groups[i : i + 256]
+            for group, e in zip(part, self.words.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False), strict=True):
+                found = np.array(e.ids, "<u4")
+                cuts = (4 * np.flatnonzero(self.ends[found]) + 4).tolist()
+                ids, lo = found.tobytes(), 0
+                for x, hi in zip(group, cuts, strict=True):
+                    self.seen[x] = ids[lo:hi]
+                    lo = hi
+
+    @cached_property
+    def words(self):  # noqa: ANN201
+        """The tokenizer for words of small letters, which need no normalizer and no pattern, only their bytes' signs."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = Tokenizer.from_file(self.file)
+        plain.no_truncation()
+        plain.no_padding()
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """By id, whether a token ends a word."""
+        return np.array([bool(x) and x.endswith(self.suffix) for x in names(self.file)])
+
     def _long_run(self, run: str) -> bytes:
         ids = array("I")
         for i, part in enumerate(self.special.split(run) if self.special else [run]):
