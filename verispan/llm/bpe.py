@@ -253,10 +253,7 @@ class WordBpe:
         """The tokenizer for words of small letters, which need no normalizer and no pattern, only their bytes' signs."""
         from tokenizers import Tokenizer, pre_tokenizers
 
-        plain = Tokenizer.from_file(self.file)
-        plain.no_truncation()
-        plain.no_padding()
-        plain.normalizer = None
+        plain = Tokenizer(self.tok.model)  # the same model, not a copy
         plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         return plain
 
