@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import corpus_pipeline
-from verispan.llm import bpe, components, fingerprint, linededup, packing, pii, quality, queries, simhash, tokenbin, tokencount, warc
+from verispan.llm import bpe, components, fingerprint, linededup, packing, pii, quality, queries, shingledup, simhash, tokenbin, tokencount, warc
 
 ODD = StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"), ("ids", "string"), ("n_words", "string"))]})
 LONG = "word " * 20_000
@@ -577,6 +577,35 @@ def test_pipeline_stages_with_odd_rows(spark):
     assert corpus_pipeline.best_fit_packing(spark, docs, "").count() == 4
 
 
+def test_near_dedup_orders_by_counts_of_all_shingles(spark):
+    texts = [(c, f"the same five words here and then w{c} of its own v{c} to u{c}") for c in range(-20, 21)]
+    got = shingledup._levels(spark.createDataFrame(texts, "c long, text string").repartition(5), 5)
+    counts = np.zeros(shingledup.BUCKETS, int)
+    for _, t in texts:
+        np.add.at(counts, shingledup._buckets(shingledup.shingle_set(t)), 1)
+    assert counts.max() >= 41
+    assert got.tolist() == [int(np.log2(max(n, 1)) * shingledup.STEPS) for n in counts.tolist()]
+    assert not shingledup._levels(spark.createDataFrame([], "c long, text string"), 5).any()
+
+
+def test_near_dedup_is_the_same_under_any_order(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(w if rng.random() > p else "new" for w in ws) for ws in base for p in (0, 0.01, 0.02, 0.04, 0.3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def groups():
+        found = {}
+        for r in shingledup.near_groups(docs).collect():
+            found.setdefault(r["root"], set()).add(r["doc_id"])
+        return sorted(map(sorted, found.values()))
+
+    want = groups()
+    assert 6 <= len(want) < 30
+    monkeypatch.setattr(shingledup, "_levels", lambda *_: np.random.default_rng(1).integers(0, 256, shingledup.BUCKETS).astype(np.uint8))
+    assert groups() == want
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     r = random.Random(22)
     text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(80))

@@ -7,8 +7,9 @@ texts' components.
 1. Texts of equal sets are one class, named by a 64-bit digest of the set; one text of each
    class goes on.
 2. Prefix index: the shingles of a set stand in one global order, and of n the first
-   n - ceil(0.8 n) + 1 are its keys. Linked sets share a key. The order puts shingles that a
-   sample of the classes shows to be frequent last; any order is exact, a good one is fast.
+   n - ceil(0.8 n) + 1 are its keys. Linked sets share a key. The order is by the counts of
+   hash buckets over the shingles of all classes, frequent ones last; any order is exact, a
+   good one is fast.
 3. Each class is compared with the least class of each of its keys, and with those that SimHash
    links to it: BK-trees over five-word fingerprints (simhash.py). That is linear, and joins
    nearly all of a large group of near copies.
@@ -27,6 +28,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,12 +47,10 @@ from verispan.session import ship
 #: The similarity as a fraction, so that bounds are exact in whole numbers.
 NUM, DEN = 4, 5
 WIDTH = 5
-#: One class in so many is sampled for the order, and buckets of the table of levels.
-SAMPLE, BUCKETS = 64, 1 << 20
+#: Buckets of the table of levels, the parts in which it is summed, and levels for each doubling of a count.
+BUCKETS, PARTS, STEPS = 1 << 20, 64, 8
 #: Up to this many classes are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-#: Shingles seen fewer times than this in the sample count as rare.
-SEEN = 4
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -58,36 +58,59 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingles(text, width))
 
 
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def _hashed(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """docs with c, the class, and n, the size of the set."""
+    """docs with c, the class, n, the size of the set, and fp, the SimHash fingerprint."""
 
     def load():
         def work(texts):
-            sets = [shingle_set(t, width) for t in texts]
-            names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).astype(np.int64)
-            return [pa.array(names), pa.array([len(s) for s in sets], pa.int32())]
+            names, sizes, fps = [], [], []
+            for t in texts:
+                hashes = shingles(t, width)
+                s = np.unique(hashes)
+                names.append(xxhash.xxh64_intdigest(s.tobytes()))
+                sizes.append(len(s))
+                fps.append(simhash.majority(hashes))
+            return [pa.array(np.array(names, np.uint64).astype(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).astype(np.int64))]
 
         return work
 
-    return with_python_columns(docs, load, text, "c long, n int")
+    return with_python_columns(docs, load, text, "c long, n int, fp long")
 
 
-def _sampled_levels(texts: DataFrame, width: int) -> np.ndarray:
-    """log2 of the sampled counts by hash bucket; 0 for what is rare. A table of BUCKETS bytes, whatever the corpus."""
+def _levels(texts: DataFrame, width: int) -> np.ndarray:
+    """STEPS log2 of the number of classes' shingles in each hash bucket, all of them counted. A table of BUCKETS bytes, whatever the corpus."""
+    size = BUCKETS // PARTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.uint32)
         for b in batches:
             for i, step in slices(b, 0):
                 sets = [shingle_set(t, width) for t in b.column(0).slice(i, step).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64))], ["h"])
-
-    seen = texts.filter(F.pmod("c", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
-    level = F.floor(F.log2("count")).cast("int")
-    rows = seen.filter(F.col("count") >= SEEN).groupBy(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("k")).agg(F.max(level).alias("v")).collect()
-    out = np.zeros(BUCKETS, np.uint8)
-    for r in rows:
-        out[r["k"]] = r["v"]
-    return out
+                seen += np.bincount(_buckets(np.concatenate(sets)), minlength=BUCKETS).astype(np.uint32)
+        if seen.any():
+            # Byte planes, as the upper bytes of counts are mostly zero.
+            packed = [zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in seen.reshape(PARTS, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                planes = np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(4, size)
+                total[p] = total.get(p, 0) + np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+        if total:
+            levels = [np.minimum(np.log2(np.maximum(v, 1)) * STEPS, 255).astype(np.uint8).tobytes() for v in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
+
+    parts = texts.select("text").mapInArrow(counted, "part int, packed binary").repartition(PARTS, "part").mapInArrow(summed, "part int, levels binary")
+    out = np.zeros((PARTS, size), np.uint8)
+    for r in parts.collect():
+        out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
 
 
 def _index(texts: DataFrame, levels: np.ndarray, width: int) -> DataFrame:
@@ -103,7 +126,7 @@ def _index(texts: DataFrame, levels: np.ndarray, width: int) -> DataFrame:
                     s = shingle_set(t, width)
                     n = len(s)
                     u = n - -(-n * NUM // DEN) + 1 if n else 0
-                    level = table.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                    level = table.value[_buckets(s)]
                     ks.append(s[np.argsort(level, kind="stable")[:u]])
                     cs.append(np.full(u, c, np.int64))
                     ns.append(np.full(u, n, np.int32))
@@ -144,16 +167,14 @@ def _enough(n: Column, m: Column, common: Column) -> Column:
     return lengths & ((common + F.greatest(least(n), least(m)) - 1) * (NUM + DEN) >= (n + m) * NUM)
 
 
-def _hints(texts: DataFrame, width: int) -> DataFrame:
+def _hints(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes, a < b, whose SimHash fingerprints are equal or linked: each class of a fingerprint with its least one."""
-    fps = written(simhash.fingerprints(texts, width, "text", "c").withColumnRenamed("doc_id", "c"), "class-fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("c").alias("c")), "fingerprint-classes")
     linked = simhash.links(least.select("fp"))
     side = lambda fp, c: least.select(F.col("fp").alias(fp), F.col("c").alias(c))
     across = linked.withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("fa", "x"), "fa").join(side("fb", "y"), "fb").select("x", "y")
     within = fps.join(side("fp", "x"), "fp").select("x", F.col("c").alias("y"))
     out = written(across.union(within).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-pairs")
-    discard(fps)
     discard(least)
     return out
 
@@ -170,13 +191,13 @@ def near_groups(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     rows = written(_hashed(own, "text", width), "shingle-classes")
     one = rows.groupBy("c").agg(F.min(F.xxhash64("text")).alias("h"))
     # Rows of one class and one text hash are equal texts, bar a collision; any of them will do.
-    texts = written(rows.select("c", "n", "text", F.xxhash64("text").alias("h")).join(one, ["c", "h"], "left_semi").dropDuplicates(["c"]).select("c", "n", "text"), "class-texts")
-    index = written(_index(texts, _sampled_levels(texts, width), width), "shingle-index")
+    texts = written(rows.select("c", "fp", "text", F.xxhash64("text").alias("h")).join(one, ["c", "h"], "left_semi").dropDuplicates(["c"]).select("c", "fp", "text"), "class-texts")
+    index = written(_index(texts, _levels(texts, width), width), "shingle-index")
     pivots = index.groupBy("k").agg(F.min("c").alias("pivot"), F.min_by("n", "c").alias("pn"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     shared = written(index.join(pivots, "k"), "shared-keys")
     discard(index)
     first = shared.filter("c != pivot").groupBy(F.col("pivot").alias("a"), F.col("c").alias("b")).agg(F.min("n").alias("n"), F.min("pn").alias("m"), F.count(F.lit(1)).alias("r"))
-    hints = _hints(texts, width)
+    hints = _hints(texts.select("c", "fp"))
     first = written(first.filter(_enough(F.col("n"), F.col("m"), F.col("r"))).select("a", "b").union(hints).distinct(), "pivot-pairs")
     discard(hints)
     linked = _verified(first, texts, width)
@@ -198,4 +219,4 @@ def near_groups(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     roots = _labels(linked.union(_verified(more, texts, width)))
     for t in (texts, shared, left, first, more):
         discard(t)
-    return rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")).drop("c", "n").withColumnRenamed("text", text).select(*[f"`{c}`" for c in docs.columns], "root")
+    return rows.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")).drop("c", "n", "fp").withColumnRenamed("text", text).select(*[f"`{c}`" for c in docs.columns], "root")

@@ -59,7 +59,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The SimHash of one text as an unsigned 64-bit integer."""
-    hashes = shingles(text, width)
+    return majority(shingles(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle values: the bits set in over half of them."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
