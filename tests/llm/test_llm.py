@@ -577,6 +577,18 @@ def test_pipeline_stages_with_odd_rows(spark):
     assert corpus_pipeline.best_fit_packing(spark, docs, "").count() == 4
 
 
+def test_near_dedup_leaves_no_table_but_its_rows(spark, monkeypatch):
+    made, gone = [], []
+    monkeypatch.setattr(shingledup, "written", lambda df, name, f=shingledup.written: made.append((name, f(df, name))) or made[-1][1])
+    monkeypatch.setattr(shingledup, "discard", lambda df, f=shingledup.discard: gone.append(df) or f(df))
+    docs = spark.createDataFrame([(i, PROSE * 3 + f"today {i}") for i in range(6)], "doc_id long, text string")
+    assert len({r["root"] for r in shingledup.near_groups(docs).collect()}) == 1
+    names = [name for name, _ in made]
+    # The index meets a table of the shared keys alone, and the classes' pass gives the fingerprints.
+    assert "pivots" in names and "class-fingerprints" not in names
+    assert {n for n, df in made if not any(df is x for x in gone)} <= {"shingle-classes", "verified-pairs"}
+
+
 def test_near_dedup_orders_by_counts_of_all_shingles(spark):
     texts = [(c, f"the same five words here and then w{c} of its own v{c} to u{c}") for c in range(-20, 21)]
     got = shingledup._levels(spark.createDataFrame(texts, "c long, text string").repartition(5), 5)

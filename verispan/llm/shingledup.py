@@ -28,9 +28,10 @@ gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,22 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingles(text, width))
 
 
+def _tidy(run: Callable) -> Callable:
+    """run, handing what its task's Python worker has freed back to the system: idle workers stay beside the JVM for a minute."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -106,7 +123,7 @@ def _levels(texts: DataFrame, width: int) -> np.ndarray:
             levels = [np.minimum(np.log2(np.maximum(v, 1)) * STEPS, 255).astype(np.uint8).tobytes() for v in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
 
-    parts = texts.select("text").mapInArrow(counted, "part int, packed binary").repartition(PARTS, "part").mapInArrow(summed, "part int, levels binary")
+    parts = texts.select("text").mapInArrow(_tidy(counted), "part int, packed binary").repartition(PARTS, "part").mapInArrow(_tidy(summed), "part int, levels binary")
     out = np.zeros((PARTS, size), np.uint8)
     for r in parts.collect():
         out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
@@ -134,7 +151,7 @@ def _index(texts: DataFrame, levels: np.ndarray, width: int) -> DataFrame:
                 cols = [np.concatenate(ks).astype(np.int64), *map(np.concatenate, (cs, ns, ps))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["k", "c", "n", "p"])
 
-    return texts.select("c", "text").mapInArrow(run, "k long, c long, n int, p int")
+    return texts.select("c", "text").mapInArrow(_tidy(run), "k long, c long, n int, p int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -155,7 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     some = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "c", "left_semi")
     side = lambda name: some.select(F.col("c").alias(name), F.col("text").alias(f"t{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    out = written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified-pairs")
+    out = written(both.select("a", "b", "ta", "tb").mapInArrow(_tidy(run), "a long, b long"), "verified-pairs")
     discard(ends)
     return out
 
@@ -194,8 +211,11 @@ def near_groups(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     texts = written(rows.select("c", "fp", "text", F.xxhash64("text").alias("h")).join(one, ["c", "h"], "left_semi").dropDuplicates(["c"]).select("c", "fp", "text"), "class-texts")
     index = written(_index(texts, _levels(texts, width), width), "shingle-index")
     pivots = index.groupBy("k").agg(F.min("c").alias("pivot"), F.min_by("n", "c").alias("pn"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    shared = written(index.join(pivots, "k"), "shared-keys")
+    # Most keys are one class's; where the others are few, the index is neither shuffled nor sorted to meet them.
+    pivots = written(pivots, "pivots")
+    shared = written(index.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_ROWS else pivots, "k"), "shared-keys")
     discard(index)
+    discard(pivots)
     first = shared.filter("c != pivot").groupBy(F.col("pivot").alias("a"), F.col("c").alias("b")).agg(F.min("n").alias("n"), F.min("pn").alias("m"), F.count(F.lit(1)).alias("r"))
     hints = _hints(texts.select("c", "fp"))
     first = written(first.filter(_enough(F.col("n"), F.col("m"), F.col("r"))).select("a", "b").union(hints).distinct(), "pivot-pairs")
