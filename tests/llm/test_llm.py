@@ -154,6 +154,34 @@ def test_line_dedup_of_frequent_tokens_against_brute_force(spark, monkeypatch):
     assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df).collect()} == want
 
 
+def test_line_dedup_takes_pivots_in_crowds_only(spark, monkeypatch):
+    """Against brute force, with lines on both sides of WIDE: rows that the two rounds of pivots look at, with a large group and without."""
+    probes = []
+
+    def pairs(probe, index, was=linededup._pairs):
+        probes.append(probe.count())
+        return was(probe, index)
+
+    monkeypatch.setattr(linededup, "_pairs", pairs)
+    r = random.Random(8)
+    pool = [f"w{i}" for i in range(400)]
+    single = [r.sample(pool, r.randint(50, 80)) for _ in range(60)]
+    single += [x[: r.randint(len(x) * 7 // 10, len(x) - 1)] for x in single]
+    base = [f"b{i}" for i in range(72)]
+    group = [[w for w in base if r.random() > 0.08] + r.sample(pool, r.randint(0, 3)) for _ in range(90)]
+    for lines, crowd in ((single, False), (single + group, True)):
+        r.shuffle(lines)
+        seen, want = [], {}
+        for k, line in enumerate(lines):
+            x = set(line)
+            want[k] = "" if any(9 * len(x & y) >= 4 * (len(x) + len(y)) for y in seen) else " ".join(line)
+            seen.append(x)
+        df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+        probes.clear()
+        assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df).collect()} == want
+        assert "" in want.values() and (probes[0] > len(group) if crowd else probes[:2] == [0, 0]), probes
+
+
 def test_line_dedup_of_a_document_of_many_lines(spark):
     text = "\n".join(f"line number {i} of so many {i * 7919}" if i % 3 else "" for i in range(60_000))
     out = linededup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts=True).first()

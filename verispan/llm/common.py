@@ -42,12 +42,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet into the shared folder and read them again."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet into the shared folder and read them again. options: of the writer."""
     spark = df.sparkSession
     release(spark)
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_path"] = path
     return out

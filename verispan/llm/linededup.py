@@ -13,7 +13,10 @@ without words stay. All of it is DataFrame operations.
 3. Pivots: in the buckets of PIVOTS least hashes of each line's rarer tokens, every line is
    compared with the bucket's earliest line only, then lines not yet decided with its SECOND
    earliest ones. Both are linear, and decide nearly all members of large groups of near
-   copies; they skip no comparison of the index below for lines that they don't decide.
+   copies; they skip no comparison of the index below for lines that they don't decide. Only
+   buckets of hashes of which a crowd of lines shares two are looked at: others hold no large
+   group, and in the index below a small one costs its lines no more meetings than a token does.
+   Like what is frequent, a crowd follows the buckets' mean.
 4. Prefix index: of n tokens the rarest n - ceil(0.8 n) + 1. Lines that share a token there
    meet, if lengths and positions allow the overlap. Frequent tokens have an index of their
    own, whose probes are cut to the lines not yet decided before the join. For lines of at most
@@ -21,9 +24,9 @@ without words stay. All of it is DataFrame operations.
    lines share their first two common tokens there); longer lines meet by the token alone.
    What is frequent follows the buckets' mean, so a larger vocabulary doesn't turn rare
    tokens into frequent ones. Only lines not yet decided look for earlier ones.
-5. A parity sketch of 128 bits of each set goes along with its index rows: each token flips
-   a bit. Two sketches differ in no more bits than the sets do in tokens, and similar sets
-   differ in (n + m) / 9 at most; nearly all other candidates end there, inside the join.
+5. A parity sketch of 64 bits, for sets of over WIDE tokens 128, goes along with the index rows: each
+   token flips a bit. Two sketches differ in no more bits than the sets do in tokens, and similar
+   sets differ in (n + m) / 9 at most; nearly all other candidates end there, inside the join.
 6. Candidates are verified by their exact token sets.
 
 Defined results. Null texts count as empty and stay empty strings in the cleaned text.
@@ -35,6 +38,8 @@ an empty result. A document of any number of lines costs time in proportion to t
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +52,24 @@ BUCKETS = 1 << 20
 STEPS = 4
 #: Least hashes of a line whose buckets have pivots.
 PIVOTS = 3
+#: A crowd is more lines than this, and than this many times the buckets' mean.
+CROWD, CROWD_TIMES = 32, 2
 #: Earliest lines of a bucket that undecided lines are compared with in the second round.
 SECOND = 16
 #: A token is frequent if seen more often than this, and than this many times the buckets' mean.
 FREQUENT, TIMES = 1000, 8
 #: Lines of up to this many tokens meet by two tokens where these are frequent; so at most C(SHORT / 4 + 2, 2) keys a line.
 SHORT = 24
+#: Sets of more tokens than this have sketches of 128 bits; two of at most this many differ in 14 tokens, far below what 64 bits tell.
+WIDE = 64
+#: Bytes of distinct tokens up to which a file of token sets holds places in a dictionary of them.
+DICTIONARY = 8 << 20
 #: Up to this many ids are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
 _HASH_BITS = 56
 _LOW = (1 << _HASH_BITS) - 1
+_LEVEL = 127 << _HASH_BITS
 _SPACES = "\t\x0b\x0c\r"
 
 
@@ -89,17 +101,20 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return first.select(F.monotonically_increasing_id().alias("sid"), "m.a", "m.b", F.size("m.ids").alias("n"), "m.ids")
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _place(h: Column) -> tuple[Column, Column]:
+    """A hash's place in the rarity table: the long, by its upper bits, and how far its byte is from the top there, 0 to 56."""
+    return F.shiftrightunsigned(h, 64 - (BUCKETS.bit_length() - 4)).cast("int"), h.bitwiseAND(F.lit(56)).cast("int")
 
 
 def _rarity(sets: DataFrame) -> tuple[str, int]:
     """The rarity table, 8 buckets in a long, and the mean count of a bucket. One row of BUCKETS bytes comes to the driver."""
-    seen = sets.select(F.explode("ids").alias("t")).groupBy(_bucket(F.col("t")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    # k: the long and the byte in it, from the top.
+    eight, down = _place(F.col("t"))
+    seen = sets.select(F.explode("ids").alias("t")).groupBy((eight * 8 + F.shiftright(down, 3)).alias("k")).agg(F.count(F.lit(1)).alias("c"))
     every = sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("c"))
     counts = seen.union(every).groupBy("k").agg(F.sum("c").alias("c"))
     level = F.when(F.col("c") > 1, F.least(F.floor(F.log2("c") * STEPS), F.lit(127))).otherwise(0).cast("long")
-    byte = F.call_function("shiftleft", level, F.col("k").bitwiseAND(F.lit(7)) * 8)
+    byte = F.call_function("shiftleft", level, 56 - F.col("k").bitwiseAND(F.lit(7)) * 8)
     eights = counts.select(F.shiftright("k", 3).alias("e"), byte.alias("v"), "c").groupBy("e").agg(F.sum("v").alias("v"), F.sum("c").alias("c"))
     parts = eights.groupBy(F.shiftright("e", 9).alias("hi")).agg(F.sort_array(F.collect_list(F.struct("e", "v"))).alias("vs"), F.sum("c").alias("c"))
     parts = parts.select("hi", "c", F.array_join(F.transform("vs", lambda x: x["v"].cast("string")), ",").alias("s"))
@@ -114,32 +129,35 @@ def _prefixes(sets: DataFrame, rarity: str) -> DataFrame:
     """
     table = F.split(F.lit(rarity), ",").cast("array<long>")  # folded to a constant
 
+    # These run on each token of each line, interpreted: as few steps as can be, and no nulls, so that sorting is on plain longs.
     def ranked(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-        eight = F.get(table, F.shiftright(at.bitwiseAND(F.lit(BUCKETS - 1)), 3))
-        level = F.call_function("shiftright", eight, at.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(127))
-        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+        eight, down = _place(h)
+        level = F.call_function("shiftleft", F.get(table, eight), down).bitwiseAND(F.lit(_LEVEL))
+        return F.coalesce(level.bitwiseOR(h.bitwiseAND(F.lit(_LOW))), F.lit(0).cast("long"))
 
     def parity(one) -> Column:  # noqa: ANN001
-        bit = lambda x: F.call_function("shiftleft", one(x), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))
+        # A shift goes by the lowest 6 bits of its number.
+        bit = lambda x: F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
         return F.aggregate("all", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
     rows = sets.select("sid", "a", "n", F.sort_array(F.transform("ids", ranked)).alias("all"))
     rows = rows.withColumn("u", F.col("n") - _least(F.col("n")) + 1)
     rarer = F.slice("all", F.lit(1), F.greatest(F.col("u"), F.floor(F.col("n") * 3 / 5).cast("int")))
-    low = F.transform(rarer, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    least = F.slice(F.sort_array(F.transform(rarer, lambda x: x.bitwiseAND(F.lit(_LOW)))), 1, PIVOTS)
+    half = parity(lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(1).cast("long")))
     return rows.select(
-        "sid", "a", "n", "u", F.slice("all", F.lit(1), F.col("u") + 1).alias("ids"), F.slice(F.sort_array(low), 1, PIVOTS).alias("piv"),
-        parity(lambda x: F.lit(1).cast("long")).alias("s0"), parity(lambda x: F.shiftright(x, 26).bitwiseAND(F.lit(1))).alias("s1"),
+        "sid", "a", "n", "u", F.slice("all", F.lit(1), F.col("u") + 1).alias("ids"),
+        F.transform(least, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("piv"),
+        parity(lambda x: F.lit(1).cast("long")).alias("s0"), F.when(F.col("n") > WIDE, half).otherwise(F.lit(0).cast("long")).alias("s1"),
     )
 
 
 def _similar_in_part(n: Column, m: Column) -> Column:
     """Lengths and sketches of x and y allow them to be similar."""
     lengths = (n * NUM <= m * DEN) & (m * NUM <= n * DEN)
-    # s0 has all flips, s1 those of one half of the tokens: together a sketch of 128 bits.
+    # s0 has all flips, s1 those of one half of the tokens: together a sketch of 128 bits, if both sets have it.
     both, half = (F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}")) for s in ("s0", "s1"))
-    apart = F.bit_count(half) + F.bit_count(both.bitwiseXOR(half))
+    apart = F.when((n > WIDE) & (m > WIDE), F.bit_count(half) + F.bit_count(both.bitwiseXOR(half))).otherwise(F.bit_count(both))
     return lengths & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM))
 
 
@@ -180,6 +198,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def _crowded(ranked: DataFrame, mean: int) -> DataFrame:
+    """(k) of the pivot hashes that a crowd of lines has together with one and the same other."""
+    twos = [F.shiftleft(F.get("piv", i).cast("long"), 32).bitwiseOR(F.get("piv", j).cast("long")) for i, j in combinations(range(PIVOTS), 2)]
+    shared = ranked.select(F.explode(F.array(*twos)).alias("two")).filter(F.col("two").isNotNull())
+    crowds = shared.groupBy("two").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max(CROWD, CROWD_TIMES * mean))
+    ends = F.array(F.shiftright("two", 32).cast("int"), F.col("two").bitwiseAND(0x7FFFFFFF).cast("int"))
+    return crowds.select(F.explode(ends).alias("k")).distinct()
+
+
 def _met(ranked: DataFrame, mean: int) -> DataFrame:
     """(x, y) of lines that meet in the prefix index. ranked: with `todo`."""
     limit = F.lit(float(STEPS)) * F.log2(F.lit(float(max(FREQUENT, TIMES * mean))))
@@ -201,14 +228,18 @@ def _met(ranked: DataFrame, mean: int) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(a, h, keep): for each document with kept lines that have words, their numbers. docs: a, h, text."""
-    sets = written(token_sets(docs), "token-sets")
+    # A file's distinct tokens pass Parquet's first bound of a dictionary, and 8 bytes for each token is what fills the disk.
+    sets = written(token_sets(docs), "token-sets", **{"parquet.dictionary.page.size": str(DICTIONARY)})
     # A set of under 4 tokens is similar to an equal one only; those are one row by now.
     able = sets.filter("n >= 4")
     rarity, mean = _rarity(able)
     ranked = written(_prefixes(able, rarity), "prefixes")
 
+    crowded = written(_crowded(ranked, mean), "crowded")
+    where = _small(crowded)
+
     def few(rows: DataFrame) -> DataFrame:
-        return rows.select("sid", "a", "n", F.lit(1).alias("p"), F.explode("piv").alias("k"), "s0", "s1")
+        return rows.select("sid", "a", "n", F.lit(1).alias("p"), F.explode("piv").alias("k"), "s0", "s1").join(where, "k", "left_semi")
 
     def marked(decided: DataFrame) -> DataFrame:
         return ranked.join(_small(decided.withColumn("done", F.lit(1))), "sid", "left").withColumn("todo", F.col("done").isNull())
@@ -223,7 +254,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     gone = written(decided.union(second).union(third).distinct(), "gone")
     kept = sets.select("sid", "a", "b").join(_small(gone), "sid", "left_anti")
     keep = written(kept.groupBy("a", F.col("b.h").alias("h")).agg(F.collect_list("b.i").alias("keep")), "kept-lines")
-    for t in (sets, ranked, decided, second, third, gone):
+    for t in (sets, ranked, crowded, decided, second, third, gone):
         discard(t)
     return keep
 
