@@ -226,6 +226,16 @@ def test_range_coder_blocks_and_checksums():
         list(tokenbin.read_file(io.BytesIO(bytes(data))))
 
 
+def test_range_coder_divides_exactly():
+    """Quotients by doubles at and just below whole numbers, over the coder's range."""
+    r = np.random.default_rng(6)
+    y = np.concatenate([np.arange(1, 2000), (1 << 24) - np.arange(2000), r.integers(1, 1 << 24, 20_000)])
+    for most in (1, 1 << 12, 1 << 24):
+        k = np.minimum(r.integers(1, most + 1, len(y)), ((1 << 52) - 1) // y)
+        for x in (k * y, k * y - 1, k * y + r.integers(0, y)):
+            assert (tokenbin._whole(x, y) == x // y).all()
+
+
 def test_range_coder_is_below_an_adaptive_order_0_model(spark):
     """The same blocks and resets: counts so far, and for an id not seen yet an escape and 16 bits."""
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("doc_id").limit(120).collect()]

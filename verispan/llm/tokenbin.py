@@ -64,6 +64,11 @@ _ADD_UP, _ADD_LOW, _MOST_UP, _MOST_LOW = 32, 64, 1 << 19, 65_000
 _RATE, _MOST_WEIGHT = 1.0 / 48, 0.95
 
 
+def _whole(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x // y for x from 0 to below 2**52 and y from 1: a double's error is below 1 / y, what parts x / y from the next whole number at least."""
+    return (x / y).astype(np.int64)
+
+
 class _Coder:
     """A range coder for many lanes; with words it decodes them."""
 
@@ -142,6 +147,11 @@ class _Frequencies:
         # ctx * (groups + 1) + g, as row + ctx.
         return self.outer_flat.take(row + ctx) + before, self.inner_flat.take(at + 1) - before, row
 
+    def end(self, ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """The sum before a symbol of each context and its frequency."""
+        row = ctx * self.groups + (sym >> 4)
+        return self.inner_flat.take(row * 17 + (sym & 15) + 1).astype(np.int64) + self.outer_flat.take(row + ctx)
+
     def find(self, ctx: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The symbol whose sums enclose the value."""
         want = value.astype(self.inner.dtype)
@@ -190,22 +200,18 @@ class _Model:
         part, total = (1 << SCALE) - w1 - w2, f.total(ctx)
         if sym is None:
             t = coder.target(len(ctx))
-            # Of a predicted symbol's interval order 0's part comes first, its weight then; the lesser symbol comes first.
-            swap = q1 > q2
-            qa, qb, wa, wb = np.where(swap, q2, q1), np.where(swap, q1, q2), np.where(swap, w2, w1), np.where(swap, w1, w2)
-            known, rest = None, t
-            for q, w in ((qa, wa), (qb, wb)):
-                c, n, _ = f.of(ctx, q)
-                end = (c + n) * part // total
-                inside = (rest >= end) & (rest < end + w)
-                rest = rest - np.where(rest >= end + w, w, 0)
-                known = np.where(inside, q, -1 if known is None else known)
-                rest = np.where(known >= 0, 0, rest)
-            value = ((rest + 1) * total - 1) // part
-            sym = np.where(known >= 0, known, f.find(ctx, value))
+            # Of a predicted symbol's interval order 0's part comes first, its weight then, and before it the weight of a lesser one.
+            at1 = _whole(f.end(ctx, q1) * part, total) + w2 * (q2 < q1)
+            at2 = _whole(f.end(ctx, q2) * part, total) + w1 * (q1 <= q2)
+            in1, in2 = t - at1, t - at2
+            past1, past2 = in1 >= w1, in2 >= w2
+            in1, in2 = (in1 >= 0) & ~past1, (in2 >= 0) & ~past2
+            # Where a predicted symbol is met, what order 0 finds is not used.
+            rest = np.minimum(t - w1 * past1 - w2 * past2, part - 1)
+            sym = np.where(in1, q1, np.where(in2, q2, f.find(ctx, _whole((rest + 1) * total - 1, part))))
         c, n, row = f.of(ctx, sym)
-        lo = c * part // total
-        width = (c + n) * part // total - lo + w1 * (q1 == sym) + w2 * (q2 == sym)
+        lo = _whole(c * part, total)
+        width = _whole((c + n) * part, total) - lo + w1 * (q1 == sym) + w2 * (q2 == sym)
         coder.narrow(lo + w1 * (q1 < sym) + w2 * (q2 < sym), width)
         return sym, n / total, row
 
