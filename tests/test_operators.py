@@ -180,6 +180,22 @@ def test_runaway_statement_is_stopped(spark):
         with_budget(spark, df, 1.0)
 
 
+def test_large_tables_meet_on_equal_keys(spark):
+    from verispan.operators.guard import SqlGuard, SqlRejected
+
+    t = lambda n: spark.range(n).withColumnRenamed("id", "a")
+    guard = SqlGuard(spark, {"big": t(400_000), "more": t(300_000), "few": t(200_000)})
+    assert guard.run("SELECT count(*) FROM big x JOIN more y ON x.a = y.a JOIN few z ON y.a = z.a", []).first()[0] == 200_000
+    assert guard.run("SELECT count(*) FROM (SELECT a, count(*) AS n FROM (SELECT x.a FROM big x JOIN more y ON x.a = y.a JOIN few z ON y.a = z.a) GROUP BY a) t WHERE n > 1", []).first()[0] == 0
+    for sql in (
+        "SELECT count(*) FROM big x JOIN more y ON x.a = y.a JOIN few z ON y.a < z.a JOIN few w ON z.a < w.a",
+        "SELECT count(*) FROM big WHERE a IN (SELECT x.a FROM big x, more y, few z WHERE x.a + y.a + z.a = 1)",
+        "SELECT (SELECT count(*) FROM big x, more y, few z WHERE x.a + y.a + z.a = 1) AS n FROM few",
+    ):
+        with pytest.raises(SqlRejected, match="more work"):
+            guard.run(sql, [])
+
+
 def test_pages_are_read_and_verified(engine):
     q = "How long are vials stored at 4 degrees?"
     engine.renderer = lambda ref: b"png"
