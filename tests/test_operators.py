@@ -196,6 +196,16 @@ def test_large_tables_meet_on_equal_keys(spark):
             guard.run(sql, [])
 
 
+def test_pairs_by_identifier_are_told_once_and_not_moved(spark):
+    texts = ["SOP-1 and DEV-2, SOP-1", "DEV-2 CC-3", "nothing", None, "CC-3 DEV-2 SOP-1"]
+    chunks = spark.createDataFrame([(i, t, "", [g], "current", i == 9) for i, (t, g) in enumerate((t, g) for t in texts for g in "xy")], "chunk_id long, text string, context string, groups array<string>, status string, is_table_row boolean")
+    questions = spark.createDataFrame([(1, "SOP-1 DEV-2 CC-3", ["x"]), (2, "CC-3 or DEV-2", ["y", "x"]), (3, "SOP-1", ["z"]), (4, "no id", ["x"])], "qid int, text string, groups array<string>")
+    got = S.by_identifiers(chunks, questions)
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (1, 2), (1, 8), (2, 0), (2, 1), (2, 2), (2, 3), (2, 8)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_pages_are_read_and_verified(engine):
     q = "How long are vials stored at 4 degrees?"
     engine.renderer = lambda ref: b"png"
