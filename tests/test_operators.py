@@ -206,6 +206,22 @@ def test_pairs_by_identifier_are_told_once_and_not_moved(spark):
     assert "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_the_best_of_two_hops_are_those_of_the_whole_walk(spark):
+    import random
+
+    rnd = random.Random(5)
+    groups = [["x"], ["y"], ["x", "y"]]
+    rows = {(c, f"e{int(30 * rnd.random() ** 2)}") for c in range(120) for _ in range(rnd.randrange(1, 8))}
+    edges = spark.createDataFrame([(c, groups[c % 3], e) for c, e in sorted(rows)], "chunk_id long, groups array<string>, entity string")
+    questions = spark.createDataFrame([(q, ["xy"[q % 2]]) for q in range(8)], "qid int, groups array<string>")
+    seeds = spark.createDataFrame([(q, f"e{29 - 3 * q + j}") for q in range(8) for j in range(1 + q % 2)], "qid int, entity string")
+    told = lambda df, k: sorted((r["qid"], r["rank"], r["chunk_id"], r["score"]) for r in df.filter(F.col("rank") <= k).collect())
+    whole = G.walk(edges, seeds, questions, 2, 0.2).cache()
+    for k in (1, 3, 10, 60):
+        part = G.walk(edges, seeds, questions, 2, 0.2, k=k)
+        assert told(part, k) == told(whole, k) and part.agg(F.max("rank")).first()[0] <= k
+
+
 def test_pages_are_read_and_verified(engine):
     q = "How long are vials stored at 4 degrees?"
     engine.renderer = lambda ref: b"png"
