@@ -278,6 +278,20 @@ def test_approximate_search_finds_nine_of_ten(spark):
     assert ann.search(index, questions).hits.count() == 0
 
 
+def test_approximate_search_moves_each_task_s_best_only(spark):
+    from verispan.operators import ann
+    from verispan.plans import bindings as B
+
+    d = "/root/testdata/sf0.01"
+    chunks, questions = B.vector_chunks(spark, d), B.vector_questions(spark, d)
+    index = ann.build(chunks)
+    hits = ann.search(index, questions).hits
+    assert "Join" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    index.probes = len(index.centroids)  # all cells give the exact search
+    told = lambda df: {(r["qid"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in df.collect()}
+    assert told(ann.search(index, questions).hits) == told(S.vector_search(chunks, questions).hits)
+
+
 def test_csv(spark, tmp_path):
     f = tmp_path / "t.csv"
     f.write_text("Id,Amount (EUR),Region\n1,2.5,north\n2,,\n")

@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from verispan.functions.vectors import dot
-from verispan.operators.search import Found, best, eligible, small, visible
+from verispan.operators.search import BLOCK, Found, _task_best, best, eligible
 from verispan.session import settled, ship
 
 #: The bounded sample that centroids are fitted on: the rows with the least id hashes.
@@ -81,23 +80,33 @@ def build(chunks: DataFrame, k: int = 30, cells: int = CELLS, recall: float = RE
     return CellIndex(settled(chunks.mapInArrow(run, StructType([*chunks.schema.fields, StructField("cell", IntegerType())])), "cells"), c, _probes(x, c, min(k, len(x)), recall))
 
 
+class _CellDots:
+    """Scores by dot product of a batch's chunks, cell by cell, with the questions that look into the cell."""
+
+    def __init__(self, vectors: np.ndarray, looks: np.ndarray) -> None:
+        self.matrix, self.looks = vectors.T, looks  # looks: (cells, questions)
+
+    def __call__(self, held):  # noqa: ANN001, ANN204
+        v, cell = np.array(held.field("embedding").to_pylist(), np.float64).reshape(len(held), -1), np.asarray(held.field("cell").to_pylist(), np.int64)
+        out = np.full((len(held), self.matrix.shape[1]), -np.inf)
+        for c in np.unique(cell):
+            rows, asks = np.flatnonzero(cell == c), np.flatnonzero(self.looks[c])
+            out[np.ix_(rows, asks)] = v[rows] @ self.matrix[:, asks]
+        return out
+
+
 def search(index: CellIndex, questions: DataFrame, k: int = 30, current_only: bool = False, table_rows: bool = False) -> Found:
     """Hidden chunks never rank; a question meets the chunks of its `probes` best cells only, so it may get fewer than k."""
-    spark = questions.sparkSession
-    c = spark.sparkContext.broadcast(index.centroids)
-    n, at = index.probes, questions.columns.index("embedding")
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            if b.num_rows:
-                v = np.array(b.column(at).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                near = v @ c.value.T if c.value.size else np.zeros((len(v), 1))  # an index of nothing has one empty cell
-                best_ = np.argsort(-near, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best_.tolist(), pa.list_(pa.int32()))], [*b.schema.names, "cells"])
-
-    asked = questions.mapInArrow(run, StructType([*questions.schema.fields, StructField("cells", ArrayType(IntegerType()))]))
-    q = small(asked.select("qid", F.col("groups").alias("_asker"), F.col("embedding").alias("_q"), F.explode("cells").alias("cell")))
-    rows = index.rows.filter(eligible(current_only, table_rows)).select("chunk_id", "groups", "embedding", "cell")
-    scored = rows.join(q, "cell").filter(visible("groups", F.col("_asker"))).select("qid", "chunk_id", dot(F.col("embedding"), F.col("_q")).alias("score"))
-    hits = best(scored, k).select("qid", "chunk_id", "score", F.lit("vector").alias("source"), "rank")
+    c, n = index.centroids, index.probes
+
+    def scorer(rows):  # noqa: ANN001, ANN202
+        v = np.array(rows.column("e").to_pylist(), np.float64).reshape(rows.num_rows, -1)
+        near = v @ c.T if c.size else np.zeros((len(v), 1))  # an index of nothing has one empty cell
+        looks = np.zeros(near.T.shape, bool)
+        np.put_along_axis(looks, np.argsort(-near, axis=1)[:, :n].T, True, 0)
+        return _CellDots(v, looks), 1024
+
+    asked = questions.select("qid", "groups", F.col("embedding").cast("array<double>").alias("e"))
+    rows = index.rows.filter(eligible(current_only, table_rows)).select("chunk_id", "groups", F.struct("embedding", "cell").alias("held"))
+    hits = best(_task_best(rows, "held", asked, k, True, scorer, BLOCK), k).select("qid", "chunk_id", "score", F.lit("vector").alias("source"), "rank")
     return Found(hits, questions.select("qid", F.lit(0).cast("long").alias("removed")))
